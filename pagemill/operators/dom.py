@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagemill.session import spread
+
 # --- fixed values -------------------------------------------------------------------------------------------------
 VOID_TAGS = frozenset(
     "area base basefont bgsound br col command embed frame hr image img input isindex keygen link menuitem meta "
@@ -236,4 +238,4 @@ def dom(html: Column) -> Column:
 
 
 def with_dom(pages: DataFrame, html: str = "html") -> DataFrame:
-    return pages.withColumn("dom", dom(F.col(html)))
+    return spread(pages).withColumn("dom", dom(F.col(html)))

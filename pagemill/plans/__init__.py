@@ -1,0 +1,13 @@
+"""Named queries: importing this package registers all of them."""
+
+from pagemill.plans import (  # noqa: F401
+    extraction_queries,
+    listing_queries,
+    page_queries,
+    quality_queries,
+    text_queries,
+    url_queries,
+)
+from pagemill.plans.catalog import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
