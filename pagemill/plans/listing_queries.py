@@ -56,7 +56,7 @@ def walk_info(spark, folder):
 def pager_links(spark, folder):
     """The next page each listing page points to."""
     _, pages = rd.order_listings(spark, folder)
-    rows = ls.listing_pages(pages).where(F.size("entries") > 0)
+    rows = ls.listing_pages(pages).where("gpath = '/orders/'")
     number = F.regexp_extract("url", r"(\d+)$", 1).try_cast("int")
     key = F.regexp_extract("url", r"//www\.shop(\d+)", 1).cast("bigint")
     page_no = (
