@@ -1,6 +1,7 @@
 """Named queries: importing this package registers all of them."""
 
 from pagemill.plans import (  # noqa: F401
+    crawl_queries,
     extraction_queries,
     listing_queries,
     page_queries,
