@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark import SparkContext
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def rows_of(df: DataFrame, keep: list, array: Column | str, required: str) -> DataFrame:
+    """One row per entry of a computed array of structs, next to the ``keep`` columns.
+
+    The outer generator with a test afterwards gives the same rows as the inner one. For the inner one the optimizer
+    infers a filter on the array's size and pushes it below the projection that computes the array, which would then be
+    computed twice more for every page."""
+    return df.select(*keep, F.inline_outer(array)).where(F.col(required).isNotNull())
+
+
 def built_once(make: Callable[..., Column]) -> Callable[..., Column]:
     """Cache for functions from column *names* to an expression: a page-level expression is thousands of calls to the
     JVM, and the result only depends on the names."""

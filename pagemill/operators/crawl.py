@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
+from pagemill.functions.lets import rows_of
 from pagemill.operators import graph as gr
 from pagemill.operators import links as lk
 from pagemill.operators import scoring as sc
@@ -83,7 +84,7 @@ def crawl(
         done = _union(visited) if visited else places
 
         rest = ranked.where(~((F.col("rn") <= 2 * tabs) & (F.col("rn") <= F.col("left")))).drop("rn", "left")
-        found = done.select("site", "depth", "round", "visit", F.inline("links")).join(sites.select("site"), "site", "left_semi")
+        found = rows_of(done, ["site", "depth", "round", "visit"], "links", "url").join(sites.select("site"), "site", "left_semi")
         listed = done.where((F.col("items") >= 5) & (F.col("gpath") != "/")).join(sites, "site").where(
             F.col("gpath") != F.col("scope")
         ).groupBy("site", "gpath").agg(F.min("round").alias("since"))
@@ -119,8 +120,8 @@ def crawl(
 
     everything = _union(visited)
     n_places = everything.groupBy("site").agg(F.count(F.lit(1)).alias("places"))
-    into = gr.inlinks(everything.select("site", F.col("norm_url").alias("src"), F.inline(
-        F.transform("links", lambda k: F.struct(k["url"].alias("dst"))))))
+    into = gr.inlinks(rows_of(
+        everything, ["site", F.col("norm_url").alias("src")], F.transform("links", lambda k: F.struct(k["url"].alias("dst"))), "dst"))
     scored = (
         everything.drop("links").join(n_places, "site")
         .join(into.withColumnRenamed("dst", "norm_url"), ["site", "norm_url"], "left")
@@ -131,7 +132,7 @@ def crawl(
         .drop("inlinks", "places")
     )
     ranked = gr.rank_places(scored)
-    menu = everything.where("depth = 0").select("site", F.inline("links")).select("site", "pos", "url", "text").where(
+    menu = rows_of(everything.where("depth = 0"), ["site"], "links", "url").select("site", "pos", "url", "text").where(
         F.length("text").between(2, 40)
     )
     return {

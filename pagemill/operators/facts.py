@@ -128,7 +128,7 @@ def _facts_column(dom: str, url: str) -> Column:
 def publication_facts(pages: DataFrame) -> DataFrame:
     """title, date, authors, summary, pdf, doi, topics, schema_type per page."""
     keep = [c for c in pages.columns if c != "html"]
-    return with_dom(pages).withColumn("facts", _facts_column("dom", "url")).select(*keep, F.inline(F.array("facts")))
+    return with_dom(pages).withColumn("facts", _facts_column("dom", "url")).select(*keep, "facts.*")
 
 
 def listed_facts(listed: DataFrame, facts: DataFrame) -> DataFrame:

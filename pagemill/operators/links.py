@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as tx
 from pagemill.functions import tree as tr
 from pagemill.functions import urls
-from pagemill.functions.lets import built_once, let
+from pagemill.functions.lets import built_once, let, rows_of
 from pagemill.operators.dom import with_dom
 
 # --- fixed values -------------------------------------------------------------------------------------------------
@@ -221,20 +221,19 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     on links; write it out once for a crawl over an archive, the markup is not needed again."""
     keep = [c for c in pages.columns if c not in ("html", "dom")]
     parsed = with_dom(pages).withColumn("page", _page_column("dom", "url"))
-    return parsed.select(*keep, F.inline(F.array("page")))
+    return parsed.select(*keep, "page.*")
 
 
 def page_links(parsed: DataFrame) -> DataFrame:
     """Link rows: one per page and target."""
-    return parsed.select(
-        "page_id", F.col("norm_url").alias("src"), "site", F.inline("links")
-    ).withColumnRenamed("url", "dst")
+    rows = rows_of(parsed, ["page_id", F.col("norm_url").alias("src"), "site"], "links", "pos")
+    return rows.withColumnRenamed("url", "dst")
 
 
 def page_anchors(pages: DataFrame) -> DataFrame:
     """Every anchor of every page, unfiltered by site or chrome."""
     rows = with_dom(pages).withColumn("a", _anchor_column("dom", "url"))
-    return rows.select("page_id", F.inline("a"))
+    return rows_of(rows, ["page_id"], "a", "pos")
 
 
 def titled_sample(links: Column, gpath: Column, longer_than: int, at_most: int) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as tx
 from pagemill.functions import tree as tr
 from pagemill.functions import urls
-from pagemill.functions.lets import built_once, let
+from pagemill.functions.lets import built_once, let, rows_of
 from pagemill.operators import values as vl
 
 # --- fixed values -------------------------------------------------------------------------------------------------
@@ -86,7 +86,7 @@ def _entries(item: str) -> Column:
 
 def outline_rows(items: DataFrame, key: str = "page_id", cap: int = OUTLINE_CAP) -> DataFrame:
     """``(key, n, kind, selector, label, text, values, node, line)``: entries numbered from 0, metadata first."""
-    metas = items.select(key, F.posexplode("item.metas").alias("at", "m")).select(
+    metas = items.select(key, F.posexplode_outer("item.metas").alias("at", "m")).where("m is not null").select(
         key, F.lit(0).alias("part"), F.col("at").alias("pre"), F.lit(0).alias("sub"), F.lit("meta").alias("kind"),
         F.concat(F.col("m.kind"), F.lit(":"), F.col("m.key")).alias("selector"), F.lit("").alias("label"),
         F.concat(F.col("m.key"), F.lit(": "), F.substring(F.array_join("m.values", "; "), 1, 300)).alias("text"),
@@ -103,7 +103,7 @@ def outline_rows(items: DataFrame, key: str = "page_id", cap: int = OUTLINE_CAP)
     ) & ~F.col("node.tag").isin(*INLINE_TAGS)
     adds = F.when(block, F.size("facts")).otherwise(kept.cast("int"))
     elements = (
-        items.select(key, F.size("item.metas").alias("n_meta"), F.inline(_entries("item")))
+        rows_of(items, [key, F.size("item.metas").alias("n_meta")], _entries("item"), "pre")
         .withColumn("adds", adds)
         .withColumn("so_far", F.col("n_meta") + F.coalesce(F.sum("adds").over(before), F.lit(0)))
         .where((F.col("adds") > 0) & (F.col("so_far") < cap))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pagemill.functions import text as tx
 from pagemill.functions import tree as tr
 from pagemill.functions import urls
-from pagemill.functions.lets import built_once, let
+from pagemill.functions.lets import built_once, let, rows_of
 from pagemill.operators import values as vl
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -91,7 +91,7 @@ def beam_walk(jobs: DataFrame, items: DataFrame, score: Callable[[DataFrame], Da
     from pagemill.session import cut_lineage
 
     for level in range(LEVELS):
-        rows = frontier.join(trees, key).select(key, "field", "type", F.inline(_child_rows("item", "pre")))
+        rows = rows_of(frontier.join(trees, key), [key, "field", "type"], _child_rows("item", "pre"), "pre")
         state = F.concat(F.lit("Element: <"), F.col("node.tag"), F.lit(">\nText: "), F.substring("text", 1, 350))
         scored = score(rows.withColumn("state", state))
         best_first = Window.partitionBy(key, "field").orderBy(F.desc("p"), "pre")
@@ -131,11 +131,11 @@ def finalists(
     blocks = kept.select(key, "field", "pre", "node", "text")
     latest = Window.partitionBy(key, "field").orderBy(F.desc("level"), F.desc("rn"))
     opened = kept.withColumn("k", F.row_number().over(latest)).where("k <= 2").select(key, "field", "pre")
-    children = opened.join(items.select(key, "item"), key).select(key, "field", F.inline(_child_rows("item", "pre")))
+    children = rows_of(opened.join(items.select(key, "item"), key), [key, "field"], _child_rows("item", "pre"), "pre")
     elements = blocks.unionByName(children).dropDuplicates([key, "field", "pre"]).select(
         key, "field", "pre", "node", "text", F.lit(None).cast("array<string>").alias("values"), F.lit("").alias("meta"))
     metas = kept.select(key, "field").distinct().join(
-        items.select(key, F.posexplode("item.metas").alias("at", "m")), key
+        items.select(key, F.posexplode_outer("item.metas").alias("at", "m")).where("m is not null"), key
     ).select(
         key, "field", (F.lit(-2) - F.col("at")).alias("pre"), F.lit(None).cast(tr.NODE).alias("node"),
         F.concat("m.key", F.lit(": "), F.substring(F.array_join("m.values", "; "), 1, 300)).alias("text"),
@@ -176,7 +176,7 @@ def assign(claims: DataFrame, key: str = "page_id") -> DataFrame:
             F.exists(acc, lambda a: (a["field"] == c["field"]) | ((c["vkey"] != "") & (a["vkey"] == c["vkey"]))), acc
         ).otherwise(F.concat(acc, F.array(c))),
     )
-    return pages.select(key, F.inline(won)).select(key, "field", "value", "items", F.round("p", 3).alias("confidence"), "p")
+    return rows_of(pages, [key], won, "field").select(key, "field", "value", "items", F.round("p", 3).alias("confidence"), "p")
 
 
 def with_guesses(values: DataFrame, guesses: DataFrame, key: str = "page_id") -> DataFrame:
