@@ -84,6 +84,26 @@ def _entries(item: str) -> Column:
     return F.transform(let(targets, visited), entry)
 
 
+@built_once
+def _fact_rows(item: str) -> Column:
+    tree, content = F.col(item)["tree"], F.col(item)["content"]
+    blocks = F.transform(
+        tr.below(tree, content), lambda x: F.struct(x.alias("node"), tr.facts_of(tree, x).alias("facts")))
+
+    def rows(block: Column) -> Column:
+        return let(tr.css_path(tree, block["node"], content), lambda path: F.transform(
+            block["facts"],
+            lambda f, i: F.struct(block["node"]["pre"].alias("block"), path.alias("block_path"), i.alias("pos"), f["label"].alias("label"),
+                                  tx.label_key(f["label"]).alias("label_key"), f["value"].alias("value"))))
+
+    return F.flatten(F.transform(F.filter(blocks, lambda b: F.size(b["facts"]) > 0), rows))
+
+
+def labelled_facts(items: DataFrame, key: str = "page_id") -> DataFrame:
+    """Every "Label: value" pair of every block: ``key, block, block_path, pos, label, label_key, value``."""
+    return rows_of(items, [key], _fact_rows("item"), "label")
+
+
 def outline_rows(items: DataFrame, key: str = "page_id", cap: int = OUTLINE_CAP) -> DataFrame:
     """``(key, n, kind, selector, label, text, values, node, line)``: entries numbered from 0, metadata first."""
     metas = items.select(key, F.posexplode_outer("item.metas").alias("at", "m")).where("m is not null").select(

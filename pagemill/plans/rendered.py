@@ -66,9 +66,9 @@ def order_pages(spark: SparkSession, folder: str) -> DataFrame:
     # few bytes, much work: spread the narrow rows before they become pages
     orders = orders.repartition(spark.sparkContext.defaultParallelism)
     html = F.format_string(_ORDER, "o_orderkey", "shown", "o_orderpriority", "o_totalprice", "o_orderstatus", listed)
+    url = F.format_string("https://www.shop%d.org/orders/order-no-%d", "o_custkey", "o_orderkey")
     return orders.select(
-        "o_orderkey", F.format_string("https://www.shop.org/orders/%d", "o_orderkey").alias("url"), html.alias("html"),
-        F.lit("orders").alias("recipe"), F.lit("/orders/").alias("item_pattern"),
+        "o_orderkey", url.alias("url"), html.alias("html"), F.lit("orders").alias("recipe"), F.lit("/orders/").alias("item_pattern"),
     )
 
 
