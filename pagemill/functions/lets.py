@@ -27,6 +27,14 @@ def rows_of(df: DataFrame, keep: list, array: Column | str, required: str) -> Da
     return df.select(*keep, F.inline_outer(array)).where(F.col(required).isNotNull())
 
 
+def opened(df: DataFrame, keep: list, struct: str) -> DataFrame:
+    """The fields of a computed struct as columns, next to ``keep``.
+
+    A filter or join on such a field would otherwise be pushed below the projection that computes the struct, and the
+    page would be worked through again for it. No filter passes a generator's own columns."""
+    return df.select(*keep, F.inline_outer(F.array(struct)))
+
+
 def built_once(make: Callable[..., Column]) -> Callable[..., Column]:
     """Cache for functions from column *names* to an expression: a page-level expression is thousands of calls to the
     JVM, and the result only depends on the names."""

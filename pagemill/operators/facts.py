@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as tx
 from pagemill.functions import tree as tr
 from pagemill.functions import urls
-from pagemill.functions.lets import built_once, let
+from pagemill.functions.lets import built_once, let, opened
 from pagemill.operators import content as ct
 from pagemill.operators.dom import with_dom
 
@@ -128,7 +128,7 @@ def _facts_column(dom: str, url: str) -> Column:
 def publication_facts(pages: DataFrame) -> DataFrame:
     """title, date, authors, summary, pdf, doi, topics, schema_type per page."""
     keep = [c for c in pages.columns if c != "html"]
-    return with_dom(pages).withColumn("facts", _facts_column("dom", "url")).select(*keep, "facts.*")
+    return opened(with_dom(pages).withColumn("facts", _facts_column("dom", "url")), keep, "facts")
 
 
 def listed_facts(listed: DataFrame, facts: DataFrame) -> DataFrame:

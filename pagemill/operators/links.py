@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as tx
 from pagemill.functions import tree as tr
 from pagemill.functions import urls
-from pagemill.functions.lets import built_once, let, rows_of
+from pagemill.functions.lets import built_once, let, opened, rows_of
 from pagemill.operators.dom import with_dom
 
 # --- fixed values -------------------------------------------------------------------------------------------------
@@ -221,7 +221,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     on links; write it out once for a crawl over an archive, the markup is not needed again."""
     keep = [c for c in pages.columns if c not in ("html", "dom")]
     parsed = with_dom(pages).withColumn("page", _page_column("dom", "url"))
-    return parsed.select(*keep, "page.*")
+    return opened(parsed, keep, "page")
 
 
 def page_links(parsed: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ def learn_selectors(picks: DataFrame, outline: DataFrame, items: DataFrame, key:
     shape are dropped, the most common selector wins, the first seen on ties."""
     chosen = (
         picks.join(outline, [key, "n"])
-        .join(items.select(key, "url", "item"), key)
+        .join(items.select(key, "url", "item").hint("merge"), key)
         .withColumn("v", _picked_value("item", "url", "type"))
         .where("v.fits")
     )

@@ -16,6 +16,7 @@ from pagemill.functions import tree as tr
 from pagemill.functions import urls
 from pagemill.functions.lets import built_once, let, rows_of
 from pagemill.operators import values as vl
+from pagemill.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -86,10 +87,9 @@ def beam_walk(jobs: DataFrame, items: DataFrame, score: Callable[[DataFrame], Da
     narrow; the number of levels is fixed."""
     kept = None
     frontier = jobs.select(key, "field", "type", F.lit(-1).alias("pre"))
-    trees = items.select(key, "item")
+    # trees are hashed by page once and never broadcast, so a level only moves its open blocks
+    trees = cut_lineage(items.select(key, "item").repartition(key)).hint("merge")
     levels = []
-    from pagemill.session import cut_lineage
-
     for level in range(LEVELS):
         rows = rows_of(frontier.join(trees, key), [key, "field", "type"], _child_rows("item", "pre"), "pre")
         state = F.concat(F.lit("Element: <"), F.col("node.tag"), F.lit(">\nText: "), F.substring("text", 1, 350))
@@ -131,7 +131,7 @@ def finalists(
     blocks = kept.select(key, "field", "pre", "node", "text")
     latest = Window.partitionBy(key, "field").orderBy(F.desc("level"), F.desc("rn"))
     opened = kept.withColumn("k", F.row_number().over(latest)).where("k <= 2").select(key, "field", "pre")
-    children = rows_of(opened.join(items.select(key, "item"), key), [key, "field"], _child_rows("item", "pre"), "pre")
+    children = rows_of(opened.join(items.select(key, "item").hint("merge"), key), [key, "field"], _child_rows("item", "pre"), "pre")
     elements = blocks.unionByName(children).dropDuplicates([key, "field", "pre"]).select(
         key, "field", "pre", "node", "text", F.lit(None).cast("array<string>").alias("values"), F.lit("").alias("meta"))
     metas = kept.select(key, "field").distinct().join(
@@ -141,7 +141,7 @@ def finalists(
         F.concat("m.key", F.lit(": "), F.substring(F.array_join("m.values", "; "), 1, 300)).alias("text"),
         F.col("m.values").alias("values"), F.lit("meta").alias("meta"),
     )
-    rows = elements.unionByName(metas).join(fields, "field").join(items.select(key, "url", "item"), key)
+    rows = elements.unionByName(metas).join(fields, "field").join(items.select(key, "url", "item").hint("merge"), key)
     # a plan's pattern is a Python regular expression over the candidate's own text
     subject = F.when(F.col("node").isNull(), F.array_join("values", "\n")).otherwise(F.col("text"))
     hit = search_patterns.asNondeterministic()(subject, F.array(F.coalesce("pattern", F.lit(""))))

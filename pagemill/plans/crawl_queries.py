@@ -76,7 +76,7 @@ def located_listings(spark, folder):
 @query(
     "guessed_listings",
     "SELECT 'nation' || s_nationkey || '.org' AS site, 'https://www.nation' || s_nationkey || '.org/suppliers/' AS url, "
-    "least(count(*), 1000) AS items FROM supplier GROUP BY s_nationkey HAVING count(*) >= 5",
+    f"count(*) AS items FROM supplier WHERE s_suppkey < {rd.LIST_RANGE} GROUP BY s_nationkey HAVING count(*) >= 5",
 )
 def guessed_listings(spark, folder):
     """Listing names tried as addresses: only pages that hold a real list count."""

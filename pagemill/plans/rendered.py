@@ -160,6 +160,9 @@ def order_listings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     return listings, pages.select(address.alias("url"), body.alias("html")).unionByName(landing)
 
 
+LIST_RANGE = 25_000  # keys per list page; a nation has every 25th
+
+
 def site_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """One site per nation: start page, about page, a list of its suppliers with their own pages, and a list of its
     customers. Every page carries the menu. Returns (starts, pages)."""
@@ -171,9 +174,8 @@ def site_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
     def list_page(rows: DataFrame, nation: str, key: str, name: str, section: str) -> DataFrame:
         entry = F.format_string('<li><a href="/%3$s/the-entry-%1$d/">Details about %2$s</a></li>', key, name, F.lit(section))
-        # a listing page names at most a thousand entries, like real ones; the rest is on its next pages
-        paged = rows.withColumn("at", F.row_number().over(Window.partitionBy(nation).orderBy(key)) - 1)
-        return paged.groupBy(F.col(nation).alias("n_nationkey"), F.floor(F.col("at") / 1000).cast("int").alias("k")).agg(
+        # pages of a list are ranges of keys, about a thousand entries each: no ranking over a whole nation is needed
+        return rows.groupBy(F.col(nation).alias("n_nationkey"), F.floor(F.col(key) / LIST_RANGE).cast("int").alias("k")).agg(
             F.array_sort(F.collect_list(F.struct(key, entry.alias("html")))).alias("entries")
         ).select(
             F.concat(site, F.lit(f"/{section}/"), F.when(F.col("k") > 0, F.concat(F.lit("page/"), (F.col("k") + 1).cast("string"), F.lit("/"))).otherwise(F.lit(""))).alias("url"),
