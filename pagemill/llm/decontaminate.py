@@ -7,7 +7,6 @@ located by walking to the next sampled suffix position. Removal spans of one tex
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -24,8 +23,12 @@ SAMPLE = 8  # every so many text positions keep their suffix position
 BLOCK_BYTES = 16 << 20  # benchmark text searched for in one pass over the documents
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.translate(LOWER)) if text else []
+#: Bytes as words see them: A-Z lower-cased, 0-9, a-z and all of UTF-8 beyond ASCII kept, the rest a blank.
+BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    return text.translate(BYTES).split() if text else []
 
 
 def suffix_array(values: np.ndarray) -> np.ndarray:
@@ -122,11 +125,11 @@ class FmIndex:
 class Phrases:
     """The windows of one block of items: distinct word sequences, by length, with the items each belongs to."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.names: list[str] = []
         number: dict[str, int] = {}
         owners: dict[tuple[int, ...], set[int]] = {}
-        self.vocabulary: dict[str, int] = {}
+        self.vocabulary: dict[bytes, int] = {}
         for name, text in items:
             words = words_of(text)
             if not words:
@@ -144,7 +147,7 @@ class Phrases:
         self.shortest = min(by_size, default=0)
         self.symbols = len(self.vocabulary) + 2
 
-    def shard(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    def shard(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of a shard and, for each, its place among all words of the shard (-1: separator).
 
         Runs of known words shorter than the shortest phrase can't hold one and are left out."""
@@ -169,7 +172,7 @@ class Phrases:
         place[first + length] = -1
         return np.where(place >= 0, ids[np.minimum(where, len(ids) - 1)], 1), place
 
-    def find(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def find(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Occurrences in a shard: place of the first word among all words, number of words, item number."""
         none = np.zeros(0, np.int64)
         symbols, place = self.shard(texts)
@@ -204,7 +207,7 @@ def _merged(firsts: list[int], ends: list[int]) -> list[dict[str, int]]:
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     """The items in blocks of bounded size; each is fetched only when its turn comes."""
-    own = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    own = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     n = -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
     return [own.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)] if n > 1 else [own]
 
@@ -218,13 +221,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     give 0 words and no spans; items without words or id have no window; repeated items count once; repeated rows of
     ``docs`` are judged each; other columns are not looked at; an empty benchmark finds nothing."""
     spark = docs.sparkSession
-    own = docs.select(*([F.col(id_col).cast("bigint").alias("doc_id")] if keep is None else keep), F.col(text_col).cast("string").alias("__text"))
+    own = docs.select(*([F.col(id_col).cast("bigint").alias("doc_id")] if keep is None else keep), F.col(text_col).cast("string").cast("binary").alias("__text"))
     names = own.columns[:-1]
     span_type = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
     state = own.select("*", F.expr("cast(array() AS array<struct<first: bigint, end: bigint>>)").alias("spans"), F.expr("cast(array() AS array<string>)").alias("items"))
     blocks = _blocks(benchmark, block_bytes)
     for k, block in enumerate(blocks):
-        held = ship(spark, Phrases([(r.item_id, r.text) for r in block.collect()], window))
+        held = ship(spark, Phrases([(r.item_id, bytes(r.text)) for r in block.collect()], window))
         carried = [*names, *["__text"] * (k + 1 < len(blocks))]
 
         def search(batches: Iterator[pa.RecordBatch], held=held, carried=carried) -> Iterator[pa.RecordBatch]:
@@ -260,7 +263,3 @@ def removed_text(text: str | None, spans: list) -> str | None:
         at = places[s["end"] - 1][1]
     left.append(text[at:].strip())
     return " ".join(x for x in left if x)
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, decontaminate, langid, linededup, simhash
+from pagemill.llm import bpe, decontaminate, embeddings, langid, linededup, ngramlm, simhash, urlfilter
 from pagemill.llm.shared import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,11 +41,40 @@ def op3_byte_bpe(spark, folder):
     return bpe.encode_documents(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
 
 
+#: The rules of the query, as its contract fixes them.
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query(
+    "op4_url_filters",
+    "WITH r(rule_host, rule_path, rule_verdict) AS (VALUES " + ", ".join(map(str, RULES)) + "), "
+    "p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, "
+    "coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages) "
+    "SELECT page_id, host, path, (SELECT arg_max(rule_host || rule_path, length(rule_host || rule_path)) FROM r WHERE (host = rule_host OR host LIKE '%.' || rule_host) AND starts_with(path, rule_path)) AS rule, "
+    "coalesce((SELECT arg_max(rule_verdict, length(rule_host || rule_path)) FROM r WHERE (host = rule_host OR host LIKE '%.' || rule_host) AND starts_with(path, rule_path)), 'allow') AS verdict FROM p",
+)
+def op4_url_filters(spark, folder):
+    return urlfilter.judge_urls(table(spark, folder, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+
+
 @query("op5_simhash")
 def op5_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op6_lm_scoring")
+def op6_lm_scoring(spark, folder):
+    held_out = F.coalesce(fold_of("doc_id") == 1, F.lit(False))
+    docs = table(spark, folder, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    scored = ngramlm.score_texts(docs, "NOT held_out")
+    return scored.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op7_embedding_dedup")
+def op7_embedding_dedup(spark, folder):
+    return embeddings.link_embeddings(table(spark, folder, "embeddings"))
+
+
 @query("op8_language_id")
 def op8_language_id(spark, folder):
     docs = table(spark, folder, "documents").withColumn("held_out", F.coalesce(fold_of("doc_id") == 0, F.lit(False)))

@@ -8,7 +8,6 @@ never all pairs; the stars are joined into components by Spark."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.components import components
-from pagemill.llm.shared import LOWER, parts_for, received, saved, ship, slices
+from pagemill.llm.shared import parts_for, received, saved, ship, slices
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE = 3
 DISTANCE = 3
 SHARD = 1_000_000  # fingerprints aimed at per shard, at most
@@ -29,13 +27,14 @@ SAMPLE = 65_536  # fingerprints the top of the tree is built from, at most
 LEAF = 96  # fingerprints compared one by one inside a shard
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """A bit is set where over half of the shingles' hashes have it; no words: zero."""
-    words = WORD.findall(text.translate(LOWER)) if text else []
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """A bit is set where over half of the shingles' hashes have it; no words: zero. Words are what ASCII white space
+    separates; A-Z alone are lower-cased."""
+    words = text.lower().split() if text else []
     if not words:
         return 0
     n = max(1, len(words) - shingle + 1)
-    shingles = map(" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [" ".join(words)]
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
     return _majority(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, n))
 
 
@@ -55,7 +54,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
             fps = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(fps, pa.int64())})
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "doc_id bigint, fp bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(work, "doc_id bigint, fp bigint")
 
 
 def _distance(a: np.ndarray, b) -> np.ndarray:
