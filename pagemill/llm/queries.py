@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, decontaminate, embeddings, langid, linededup, ngramlm, simhash, urlfilter
+from pagemill.llm import bpe, decontaminate, embeddings, langid, linededup, ngramlm, simhash, substrings, suffixdedup, urlfilter
 from pagemill.llm.shared import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,13 @@ def op9_decontamination(spark, folder):
     found = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s.end - s.first)
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+@query("op2_suffix_array_dedup")
+def op2_suffix_array_dedup(spark, folder):
+    return suffixdedup.dedup_suffixes(table(spark, folder, "documents"), with_text=False)
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark, folder):
+    return substrings.dedup_substrings(table(spark, folder, "documents"), with_text=False)

@@ -170,7 +170,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
             new = np.ones(len(gone), bool)
             new[1:] = (gone_row[1:] != gone_row[:-1]) | (gone[1:] > gone[:-1] + 1)
             cuts = np.flatnonzero(new)
-            last = np.append(cuts[1:], len(gone)) - 1
+            last = np.append(cuts[1:], len(gone))[: len(cuts)] - 1
             r = gone_row[cuts]
             for c, v in (("rank", rank[r]), ("key", key[r]), ("start", gone[cuts]), ("end", gone[last] + window), ("h1", np.zeros(len(r))), ("h2", np.zeros(len(r)))):
                 out[c] += v.astype(np.int64).tolist()
