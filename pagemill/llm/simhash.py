@@ -22,7 +22,7 @@ from pagemill.llm.shared import parts_for, received, saved, ship, slices
 SHINGLE = 3
 DISTANCE = 3
 SHARD = 1_000_000  # fingerprints aimed at per shard, at most
-LEAST = 4_096  # and at least, where smaller shards would keep more tasks busy
+LEAST = 32_768  # and at least, where smaller shards would keep more tasks busy
 SAMPLE = 65_536  # fingerprints the top of the tree is built from, at most
 LEAF = 96  # fingerprints compared one by one inside a shard
 
@@ -89,7 +89,8 @@ class Tree:
         return place
 
     def deal(self, fps: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row number, shard and whether the shard is the row's home, for every visit within ``reach`` of a boundary."""
+        """Row number, shard and whether the shard is the row's home. Of two near rows on either side of a boundary only the
+        outer one visits the other side; a visitor goes wherever a near row may be at home."""
         out, todo = [], [(self.root, np.arange(len(fps)), np.ones(len(fps), bool))]
         while todo:
             node, rows, home = todo.pop()
@@ -101,7 +102,7 @@ class Tree:
             point, radius, a, b = self.nodes[node]
             far = _distance(fps[rows], point).astype(np.int64)
             near = far <= radius
-            for child, goes, own in ((a, far - reach <= radius, near), (b, far + reach > radius, ~near)):
+            for child, goes, own in ((a, far - reach <= radius, near), (b, ~near | ~home & (far + reach > radius), ~near)):
                 todo.append((child, rows[goes], home[goes] & own[goes]))
         return tuple(map(np.concatenate, zip(*out, strict=True)))
 
