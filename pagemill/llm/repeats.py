@@ -3,7 +3,7 @@
 A text is a sequence of units (words or bytes). Every window of ``window`` units has an anchor, the piece of ``size``
 units in it with the smallest hash (the leftmost of equals), so equal windows have equal anchors in equal places. Only
 anchors are shuffled, about two in ``window - size`` units, packed by bucket of their hash, each with a hash of its
-context (all windows around it). An anchor whose context started earlier is settled: all of its windows are repeats. Of
+context (all windows that have it as their anchor). An anchor whose context started earlier is settled: all of its windows are repeats. Of
 the rest, those whose anchor alone is repeated are left open, one per different context, for the operators to decide
 exactly. What is settled inside a slice is not sent to its bucket, so copies add nothing to a hot bucket."""
 
@@ -78,13 +78,11 @@ def anchors(units: np.ndarray, sizes: np.ndarray, shape: Shape) -> dict[str, np.
         least = np.minimum(least[: -(wide - reach)], least[wide - reach :])
     place = (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)  # per window start
     doc = np.repeat(np.arange(len(sizes)), sizes)[: len(place)]
-    good = np.arange(len(place)) + window <= ends[doc]
-    place, doc = place[good], doc[good]
-    first = np.ones(len(place), bool)
-    first[1:] = place[1:] != place[:-1]
-    place, doc = place[first], doc[first]
+    windows = np.flatnonzero(np.arange(len(place)) + window <= ends[doc])
+    first = np.flatnonzero(_runs(place[windows]))
+    last = np.append(first[1:], len(windows))[: len(first)] - 1
+    start, end, place, doc = windows[first], windows[last] + window, place[windows[first]], doc[windows[first]]
     begin = ends[doc] - sizes[doc]
-    start, end = np.maximum(begin, place - (window - size)), np.minimum(ends[doc], place + window)
     context = mix(sums.of(start, end) + (place - start).astype(np.uint64) * np.uint64(MULTIPLIER) + (end - place).astype(np.uint64))
     return {"doc": doc, "pos": place - begin, "anchor": piece[place], "context": context, "start": start - begin, "end": end - begin}
 
