@@ -178,7 +178,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
                 "decoded_sha256": pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string()),
             }
             if with_ids:
-                out["ids"] = pa.array([np.array(i.split(), np.int32) for i in ids], pa.list_(pa.int32()))
+                out["ids"] = pa.array([np.fromstring(i, np.int32, sep=" ") for i in ids], pa.list_(pa.int32()))
                 out["decoded"] = pa.array(decoded, pa.binary())
             yield pa.RecordBatch.from_pydict(out)
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.llm.shared import LOWER, received, ship, slices
 
@@ -212,9 +213,10 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     return [own.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)] if n > 1 else [own]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None, with_cut: bool = False) -> DataFrame:
     """Per row of ``docs``: its id as doc_id (or the ``keep`` columns, which may hold the text too), n_words, ``spans``
-    (array of (first word, end) in order, merged) and ``items`` (sorted ids of the items with a window in the text).
+    (array of (first word, end) in order, merged) and ``items`` (sorted ids of the items with a window in the text); with
+    ``with_cut`` also ``cut``, the text without its spans (null where there are none).
 
     ``benchmark`` (item_id, text) is searched for in blocks of ``block_bytes``; each block is one more narrow step over
     the documents that adds to the spans found so far, so nothing is shuffled. Texts that are null or have no words
@@ -245,17 +247,28 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                     spans[r] = _merged(firsts, ends)
                     found[r] = sorted({*found[r], *(phrases.names[i] for i in np.unique(items[hit]).tolist())})
                 out = {c: batch.column(c) for c in carried} | {"n_words": pa.array(map(len, texts), pa.int64())}
-                yield pa.RecordBatch.from_pydict(out | {"spans": pa.array(spans, span_type), "items": pa.array(found, pa.list_(pa.string()))})
-
-        fields = ", ".join(f"`{c}` {state.schema[c].dataType.simpleString()}" for c in carried)
-        state = state.select(*names, "__text", "spans", "items").mapInArrow(search, f"{fields}, n_words bigint, spans array<struct<first: bigint, end: bigint>>, items array<string>")
+                out |= {"spans": pa.array(spans, span_type), "items": pa.array(found, pa.list_(pa.string()))}
+                if with_cut:
+                    out["cut"] = pa.array([removed_text(t.decode(), s) if s else None for t, s in zip(batch.column("__text").to_pylist(), spans, strict=True)], pa.string())
+                yield pa.RecordBatch.from_pydict(out)
+
+        state = state.select(*names, "__text", "spans", "items")
+        more = [T.StructField("n_words", T.LongType()), state.schema["spans"], state.schema["items"], *[T.StructField("cut", T.StringType())] * with_cut]
+        state = state.mapInArrow(search, T.StructType([*(state.schema[c] for c in carried), *more]))
     return state
 
 
-def removed_text(text: str | None, spans: list) -> str | None:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
+    """``docs`` with the spans of benchmark windows taken out of the text; all other columns stay. Rows of whose text no
+    word is left go; texts without a hit stay as they are, also null and empty ones."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"), F.col(text_col).alias("__own"))
+    found = find_contamination(whole, benchmark, window, text_col="__own", keep=["__doc"], with_cut=True)
+    left = found.where(F.col("cut").isNull() | F.col("cut").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")).withColumn("__doc", F.when(F.col("cut").isNull(), F.col("__doc")).otherwise(F.col("__doc").withField(f"`{text_col}`", F.col("cut"))))
+    return left.select("__doc.*")
+
+
+def removed_text(text: str, spans: list[dict[str, int]]) -> str:
     """``text`` without the words of ``spans`` and what lies between them; the pieces left are stripped and joined by one blank."""
-    if not spans or text is None:
-        return text
     places = [m.span() for m in WORD.finditer(text.translate(LOWER))]
     left, at = [], 0
     for s in spans:

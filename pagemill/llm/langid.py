@@ -13,6 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.llm.shared import received, ship, slices
 
@@ -157,5 +158,12 @@ def predict(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text
             yield pa.RecordBatch.from_pydict(columns | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
 
     own = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*keep).schema)
-    return own.mapInArrow(label, f"{schema}, lang_pred string, score double")
+    schema = T.StructType([*own.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return own.mapInArrow(label, schema)
+
+
+def keep_identified(docs: DataFrame, model: dict, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns as they are, whose language the model tells with at least
+    ``min_score``; ``und`` goes."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"), F.col(text_col).alias("__own"))
+    return predict(whole, model, ["__doc"], "__own").where(f"lang_pred <> 'und' AND score >= {min_score}").select("__doc.*")

@@ -154,10 +154,12 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
 
 
 def without_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated lines taken out of the text; all columns and rows stay. A text whose lines all go is empty."""
+    """``docs`` with the repeated lines taken out of the text; all columns stay. Rows that lose lines and keep none with
+    more than blanks go."""
     lists = repeated_lines(docs, threshold, min_chars, id_col, text_col).groupBy("rank", "text_key").agg(F.collect_list("line_no").alias("gone"))
     lists = lists.select(F.col("rank").alias("__rank"), F.col("text_key").alias("__key"), F.col("gone").alias("__gone"))
     keyed = docs.withColumn("__rank", rank_of(id_col)).withColumn("__key", F.xxhash64(F.col(text_col)))
     joined = keyed.join(lists, ["__rank", "__key"], "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("__gone", i)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    joined = joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept))
+    return joined.where(F.col("__gone").isNull() | F.col(text_col).rlike("\\S")).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.components import components
-from pagemill.llm.shared import parts_for, received, saved, ship, slices
+from pagemill.llm.shared import parts_for, rank_of, received, saved, ship, slices
 
 SHINGLE = 3
 DISTANCE = 3
@@ -46,15 +46,16 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * set_ > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp is the 64-bit pattern as bigint. Null and blank texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """(doc_id, fp) of every row, and the bigint columns ``more``; fp is the 64-bit pattern as bigint. Null and blank texts
+    have fingerprint 0."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fps = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(fps, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(fps, pa.int64())} | {c: batch.column(c) for c in more})
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(work, "doc_id bigint, fp bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), *more).mapInArrow(work, "doc_id bigint, fp bigint" + "".join(f", {c} bigint" for c in more))
 
 
 def _distance(a: np.ndarray, b) -> np.ndarray:
@@ -144,19 +145,13 @@ def local_groups(home: np.ndarray, visiting: np.ndarray, reach: int, seed: int =
     return root
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, fingerprint (16 lowercase hex digits) and component_id, the smallest doc_id that can
-    be reached over links of at most ``distance`` differing bits.
-
-    Null and blank texts have fingerprint zero and are linked like any other. Rows without id get the component of
-    their fingerprint (null if no row of it has an id). Repeated rows stay. An empty table gives an empty one."""
-    spark = docs.sparkSession
-    marked = saved(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    single = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    n = marked.agg(F.approx_count_distinct("fp")).first()[0]
+def fingerprint_groups(single: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, root) of distinct fingerprints (column fp): root is the same for all that links of at most ``distance`` bits
+    connect."""
+    spark = single.sparkSession
+    n = single.count()
     shards = max(1, -(-n // SHARD), min(parts_for(spark), n // LEAST))
-    most = min(SAMPLE, 256 * shards)
-    sample = [r.fp for r in marked.select("fp").distinct().orderBy(F.xxhash64("fp")).limit(most).collect()]
+    sample = [r.fp for r in single.orderBy(F.xxhash64("fp")).limit(min(SAMPLE, 256 * shards)).collect()]
     held = ship(spark, Tree(np.array(sample, np.int64).view(np.uint64), shards))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,15 +167,36 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
         fps = group.column("fp").to_numpy().astype(np.int64).view(np.uint64)
         home = group.column("home").to_numpy()
         every = np.concatenate([fps[home], fps[~home]])
-        parent = local_groups(fps[home], fps[~home], distance)
-        linked = np.flatnonzero(parent != np.arange(len(every)))
-        return pa.table({"a": pa.array(every[linked].view(np.int64)), "b": pa.array(every[parent[linked]].view(np.int64))})
-
-    visits = single.select("fp").mapInArrow(deal, "shard int, fp bigint, home boolean")
-    edges = visits.groupBy("shard").applyInArrow(link, "a bigint, b bigint")
-    groups = components(edges)
-    of_fp = single.join(groups.withColumnRenamed("node", "fp"), "fp", "left")
-    of_fp = of_fp.select("fp", "first", F.coalesce("component", "fp").alias("root"))
+        root = local_groups(fps[home], fps[~home], distance)
+        linked = np.flatnonzero(root != np.arange(len(every)))
+        return pa.table({"a": pa.array(every[linked].view(np.int64)), "b": pa.array(every[root[linked]].view(np.int64))})
+
+    visits = single.mapInArrow(deal, "shard int, fp bigint, home boolean")
+    groups = components(visits.groupBy("shard").applyInArrow(link, "a bigint, b bigint"))
+    return single.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: doc_id, fingerprint (16 lowercase hex digits) and component_id, the smallest doc_id that can
+    be reached over links of at most ``distance`` differing bits.
+
+    Null and blank texts have fingerprint zero and are linked like any other. Rows without id get the component of
+    their fingerprint (null if no row of it has an id). Repeated rows stay. Other columns are not looked at. An empty
+    table gives an empty one."""
+    marked = saved(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    single = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    of_fp = single.join(fingerprint_groups(single.select("fp"), distance), "fp")
     least = of_fp.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = of_fp.join(least, "root").select("fp", "component_id")
     return marked.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, without near-duplicates: of each group the row with the smallest id
+    stays (of several with that id, or without any, the one whose text has the smallest hash; of repeated rows, one)."""
+    keys = docs.select(rank_of(id_col).alias("rank"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    marked = saved(fingerprints(keys, shingle, "rank", "text", ["key"]).withColumnRenamed("doc_id", "rank"), "fingerprints")
+    groups = fingerprint_groups(saved(marked.select("fp").distinct(), "distinct"), distance)
+    stay = marked.join(groups, "fp").groupBy("root").agg(F.min(F.struct("rank", "key")).alias("w")).select(F.col("w.rank").alias("__rank"), F.col("w.key").alias("__key"))
+    keyed = docs.withColumn("__rank", rank_of(id_col)).withColumn("__key", F.xxhash64(text_col))
+    return keyed.join(stay, ["__rank", "__key"], "left_semi").dropDuplicates(["__rank", "__key"]).drop("__rank", "__key")
