@@ -25,13 +25,16 @@ RECALL = 0.97  # aimed at for pairs just at the threshold
 BLOCK = 1_024  # rows of a block of a bucket
 
 
-def learn_rotation(sample: np.ndarray, bits: int, seed: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (dim x bits) of an iterative quantisation: principal axes, turned so that signs lose least."""
-    mean = sample.mean(axis=0)
-    centred = sample - mean
-    _, _, axes = np.linalg.svd(centred, full_matrices=False)
+def learn_rotation(sample: np.ndarray, bits: int, seed: int, centred: bool = True, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Origin and projection (dim x bits) of an iterative quantisation: principal axes, turned so that signs lose least.
+
+    Around the mean the codes are balanced, but a narrow cloud is cut in the middle every time; around zero near vectors
+    agree in a bit with a chance that depends on their angle alone."""
+    mean = sample.mean(axis=0) if centred else np.zeros(sample.shape[1])
+    moved = sample - mean
+    _, _, axes = np.linalg.svd(moved, full_matrices=False)
     axes = axes[:bits].T
-    flat = centred @ axes
+    flat = moved @ axes
     dice = np.random.default_rng(seed)
     turn = np.linalg.qr(dice.standard_normal((flat.shape[1], flat.shape[1])))[0]
     for _ in range(rounds):
@@ -47,20 +50,25 @@ class Tables:
     def __init__(self, sample: np.ndarray, distinct: int, threshold: float, recall: float):
         sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         bits = min(sample.shape[1], 64, len(sample))
-        self.width = max(1, min(bits, max(12, math.ceil(math.log2(max(2, distinct / 16))))))
+        # as many buckets as keep a few vectors in each; what fits into one block is one bucket
+        self.width = min(bits, max(12, math.ceil(math.log2(distinct / 16)))) if distinct > BLOCK else 0
         meet = (1 - math.acos(min(1.0, threshold)) / math.pi) ** self.width  # a pair at the threshold, in one table
         self.count = max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet))) if meet < 1 else 1
-        each = max(1, bits // self.width)
-        self.rotations = [learn_rotation(sample, bits, seed) for seed in range(-(-self.count // each))]
+        each = bits // self.width if self.width else 1
+        self.rotations = [learn_rotation(sample, bits, seed, seed % 2 == 0) for seed in range(max(2, -(-self.count // each)))]
+        self.count = max(2, self.count)
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """Bucket of every vector in every table."""
         weights = 1 << np.arange(self.width, dtype=np.int64)
         out = []
+        if not self.width:
+            return np.zeros((len(unit), 1), np.int64)
         for mean, projection in self.rotations:
             code = (unit - mean) @ projection >= 0
-            out += [code[:, a : a + self.width] @ weights for a in range(0, max(1, code.shape[1] - self.width + 1), self.width)]
-        return np.stack(out[: self.count], axis=1).astype(np.int64)
+            out.append([code[:, a : a + self.width] @ weights for a in range(0, code.shape[1] - self.width + 1, self.width)])
+        by_turns = [table for tables in zip(*out, strict=True) for table in tables]
+        return np.stack(by_turns[: self.count], axis=1).astype(np.int64)
 
 
 def compare(table: int, left: tuple, right: tuple | None, threshold: float) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:

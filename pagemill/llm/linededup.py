@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.shared import rank_of
+from pagemill.llm.shared import rank_of, whole_row
 
 THRESHOLD = 2
 MIN_CHARS = 20
@@ -157,9 +157,8 @@ def without_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     """``docs`` with the repeated lines taken out of the text; all columns stay. Rows that lose lines and keep none with
     more than blanks go."""
     lists = repeated_lines(docs, threshold, min_chars, id_col, text_col).groupBy("rank", "text_key").agg(F.collect_list("line_no").alias("gone"))
-    lists = lists.select(F.col("rank").alias("__rank"), F.col("text_key").alias("__key"), F.col("gone").alias("__gone"))
-    keyed = docs.withColumn("__rank", rank_of(id_col)).withColumn("__key", F.xxhash64(F.col(text_col)))
-    joined = keyed.join(lists, ["__rank", "__key"], "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("__gone", i)), "\n")
-    joined = joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept))
-    return joined.where(F.col("__gone").isNull() | F.col(text_col).rlike("\\S")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(whole_row(docs).alias("doc"), rank_of(id_col).alias("rank"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n")
+    joined = keyed.join(lists, ["rank", "text_key"], "left").withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
+    joined = joined.where(F.col("kept").isNull() | F.col("kept").rlike("\\S"))
+    return joined.select(F.when(F.col("kept").isNull(), F.col("doc")).otherwise(F.col("doc").withField(f"`{text_col}`", F.col("kept"))).alias("doc")).select("doc.*")

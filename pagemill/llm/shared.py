@@ -49,6 +49,11 @@ def lower_ascii(column: Column | str) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a row as one struct, so that no helper column can clash with their names."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 LOWER = {c: c + 32 for c in range(65, 91)}  # for str.translate: A-Z alone
 
 

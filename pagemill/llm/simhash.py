@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.components import components
-from pagemill.llm.shared import parts_for, rank_of, received, saved, ship, slices
+from pagemill.llm.shared import parts_for, rank_of, received, saved, ship, slices, whole_row
 
 SHINGLE = 3
 DISTANCE = 3
@@ -197,6 +197,6 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
     keys = docs.select(rank_of(id_col).alias("rank"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     marked = saved(fingerprints(keys, shingle, "rank", "text", ["key"]).withColumnRenamed("doc_id", "rank"), "fingerprints")
     groups = fingerprint_groups(saved(marked.select("fp").distinct(), "distinct"), distance)
-    stay = marked.join(groups, "fp").groupBy("root").agg(F.min(F.struct("rank", "key")).alias("w")).select(F.col("w.rank").alias("__rank"), F.col("w.key").alias("__key"))
-    keyed = docs.withColumn("__rank", rank_of(id_col)).withColumn("__key", F.xxhash64(text_col))
-    return keyed.join(stay, ["__rank", "__key"], "left_semi").dropDuplicates(["__rank", "__key"]).drop("__rank", "__key")
+    stay = marked.join(groups, "fp").groupBy("root").agg(F.min(F.struct("rank", "key")).alias("w")).select("w.*")
+    keyed = docs.select(whole_row(docs).alias("doc"), rank_of(id_col).alias("rank"), F.xxhash64(text_col).alias("key"))
+    return keyed.join(stay, ["rank", "key"], "left_semi").dropDuplicates(["rank", "key"]).select("doc.*")
