@@ -67,6 +67,17 @@ def normalise(url: Column) -> Column:
     return let(parts(url), build)
 
 
+def lookup_key(url: Column) -> Column:
+    """One form per stored page: normalised, with its query and without its fragment."""
+    return F.concat(normalise(url), _prefixed("?", query(url)))
+
+
+def cleaned(href: Column) -> Column:
+    """A link as written without what does not count in it: tabs and line breaks anywhere, controls and blanks in front,
+    blanks behind."""
+    return F.regexp_replace(F.regexp_replace(href, r"[\t\r\n]+", ""), r"^[\x00-\x20]+| +$", "")
+
+
 def site(url: Column) -> Column:
     """Registrable domain: the last two host labels, or three below a two-letter country's second level."""
     labels = F.split(F.split_part(F.lower(netloc(url)), F.lit(":"), F.lit(1)), r"\.")
@@ -172,18 +183,18 @@ def resolve_from(base: Column, href: Column) -> Column:
     """Absolute form of ``href`` as seen on the page whose URL ``parts`` are ``base``. Links of other schemes come
     back unchanged."""
 
-    def build(u: Column) -> Column:
+    def build(href: Column, u: Column) -> Column:
         tail = F.concat(_prefixed("?", u["query"]), _prefixed("#", u["fragment"]))
         own_directory = _or(F.regexp_replace(base["path"], "[^/]*$", ""), "/")
         relative = F.regexp_replace(F.concat(own_directory, u["path"]), "(?<=.)/{2,}(?=[^/])", "/")
         query_ = F.when(u["query"] == "", base["query"]).otherwise(u["query"])
-        fragment = F.when(F.trim(href) == "", base["fragment"]).otherwise(u["fragment"])
+        fragment = F.when(href == "", base["fragment"]).otherwise(u["fragment"])
         same_page = F.concat(base["path"], _prefixed("?", query_), _prefixed("#", fragment))
         target = F.when(u["path"] == "", same_page).otherwise(
             F.concat(_fold_dots(F.when(u["path"].startswith("/"), u["path"]).otherwise(relative)), tail)
         )
         return (
-            F.when((u["scheme"] != "") & (F.lower(u["scheme"]) != F.lower(base["scheme"])), F.trim(href))
+            F.when((u["scheme"] != "") & (F.lower(u["scheme"]) != F.lower(base["scheme"])), href)
             .when(
                 u["netloc"] != "",
                 F.concat(base["scheme"], F.lit("://"), u["netloc"], u["path"], tail),
@@ -191,7 +202,7 @@ def resolve_from(base: Column, href: Column) -> Column:
             .otherwise(F.concat(base["scheme"], F.lit("://"), base["netloc"], target))
         )
 
-    return let(parts(F.trim(href)), build)
+    return let(cleaned(href), lambda h: let(parts(h), lambda u: build(h, u)))
 
 
 def resolve(base: Column, href: Column) -> Column:
@@ -208,9 +219,12 @@ def page_candidates(url: Column, n: Column) -> Column:
     def with_key(key: str, value: Column) -> Column:
         mine = F.concat(F.lit(key + "="), value.cast("string"))
         present = F.exists(pairs, lambda kv: kv.startswith(key + "="))
+        names = F.array_distinct(F.transform(pairs, lambda kv: F.substring_index(kv, "=", 1)))
+        # of a repeated key the last value counts, in the place of the first
+        single = F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda kv: F.substring_index(kv, "=", 1) == n), -1))
         merged = F.when(
-            present, F.transform(pairs, lambda kv: F.when(kv.startswith(key + "="), mine).otherwise(kv))
-        ).otherwise(F.concat(pairs, F.array(mine)))
+            present, F.transform(single, lambda kv: F.when(kv.startswith(key + "="), mine).otherwise(kv))
+        ).otherwise(F.concat(single, F.array(mine)))
         return F.concat(plain, F.lit("?"), F.array_join(merged, "&"), frag)
 
     def entry(shape: str, offset: int, u: Column) -> Column:

@@ -44,9 +44,10 @@ def crawl(
     avoided = avoid.groupBy("site").agg(F.collect_set("prefix").alias("avoid"))
     sites = cut_lineage(scope.join(avoided, "site", "left").withColumn(
         "avoid", F.coalesce("avoid", F.array().cast("array<string>"))))
+    # several stored pages may share an address: the one fetched by exactly that address counts, else the first in order
+    stored = Window.partitionBy("key").orderBy(F.col("fetch_url") != F.col("key"), F.length("fetch_url"), "fetch_url")
     pages = cut_lineage(
-        archive.withColumn("key", urls.normalise(F.col("fetch_url"))).dropDuplicates(["key"]).repartition("key")
-    )
+        archive.withColumn("key", urls.normalise(F.col("fetch_url"))).withColumn("nth", F.row_number().over(stored)).where("nth = 1").drop("nth"))
     queue = cut_lineage(start.select(
         "site", "url", F.lit("").alias("text"), F.lit(0).alias("depth"), F.lit(1.0).alias("prio"), F.lit(-1).alias("round"),
         F.lit(0).alias("ahead"), F.lit(0).alias("pos"),

@@ -108,9 +108,11 @@ def fill_rates(values: DataFrame) -> DataFrame:
     return values.groupBy("field").agg(F.count_if(is_filled()).alias("filled"), F.count(F.lit(1)).alias("total"))
 
 
-def coverage_gaps(values: DataFrame) -> DataFrame:
+def coverage_gaps(values: DataFrame, with_selector: DataFrame | None = None) -> DataFrame:
     """Fields empty on a fifth of the pages or more: they probably have a second form somewhere. Integers only, so
-    exactly a fifth counts."""
+    exactly a fifth counts. ``with_selector(field)``: the fields that have a selector at all; others are not asked for."""
+    if with_selector is not None:
+        values = values.join(with_selector.select("field").distinct(), "field", "left_semi")
     counted = values.groupBy("field").agg(F.count_if(~is_filled()).alias("empty"), F.count(F.lit(1)).alias("total"))
     return counted.where(5 * F.col("empty") >= F.col("total"))
 

@@ -164,11 +164,12 @@ def assign(claims: DataFrame, key: str = "page_id") -> DataFrame:
     Sequential by nature, but only within a page, and a page has at most three claims per field: the fold runs over one
     short array per page."""
     text = F.lower(F.substring(tx.clean(F.coalesce(F.array_join("items", "; "), F.col("value"))), 1, 200))
+    place = F.col("field_pos") if "field_pos" in claims.columns else F.lit(0)  # claims of equal confidence: in the plan's order
     claim = F.struct(
-        (-F.col("p")).alias("order"), F.col("field"), F.col("rn"), F.col("value"), F.col("items"), F.col("p"),
+        (-F.col("p")).alias("order"), place.cast("int").alias("place"), F.col("field"), F.col("rn"), F.col("value"), F.col("items"), F.col("p"),
         F.when(F.col("type").isin(*EXEMPT), F.lit("")).otherwise(text).alias("vkey"),
     )
-    kind = "array<struct<order:double,field:string,rn:int,value:string,items:array<string>,p:double,vkey:string>>"
+    kind = "array<struct<order:double,place:int,field:string,rn:int,value:string,items:array<string>,p:double,vkey:string>>"
     pages = claims.groupBy(key).agg(F.array_sort(F.collect_list(claim)).cast(kind).alias("claims"))
     won = F.aggregate(
         "claims", F.array().cast(kind),

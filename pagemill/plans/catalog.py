@@ -27,5 +27,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows that are about to become pages, dealt to as many tasks as a shuffle has: rendering and parsing are bound by
+    CPU, and these tables come in one piece. A choice of the queries' own input; operators take pages as they come."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def big(column: Column | str, name: str) -> Column:
     return F.col(column).cast("bigint").alias(name) if isinstance(column, str) else column.cast("bigint").alias(name)

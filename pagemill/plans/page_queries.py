@@ -9,7 +9,7 @@ from pagemill.functions import urls
 from pagemill.operators import graph as gr
 from pagemill.operators import links as lk
 from pagemill.operators import scoring as sc
-from pagemill.plans.catalog import big, query, table
+from pagemill.plans.catalog import big, dealt, query, table
 from pagemill.plans.url_queries import NETLOC, SCHEME, sql_norm, sql_path, sql_site
 
 _ROOT = f"{SCHEME.format(u='url')} || '://' || {NETLOC.format(u='url')}"
@@ -36,12 +36,12 @@ _LINKS = (
 
 @query("page_anchors", f"WITH a AS ({_ANCHORS}) SELECT page_id, {_ROOT} || href AS url, {_plain('text')} AS text FROM a")
 def page_anchors(spark, folder):
-    return lk.page_anchors(table(spark, folder, "pages")).select("page_id", "url", "text")
+    return lk.page_anchors(dealt(table(spark, folder, "pages"))).select("page_id", "url", "text")
 
 
 @query("page_links", f"{_LINKS} SELECT page_id, src, dst, text, site FROM b WHERE rn = 1")
 def page_links(spark, folder):
-    return lk.page_links(lk.parse_pages(table(spark, folder, "pages"))).select("page_id", "src", "dst", "text", "site")
+    return lk.page_links(lk.parse_pages(dealt(table(spark, folder, "pages")))).select("page_id", "src", "dst", "text", "site")
 
 
 _TITLE, _H1 = (f"regexp_extract(html, '(?s)<{t}>(.*?)</{t}>', 1)" for t in ("title", "h1"))
@@ -49,7 +49,7 @@ _TITLE, _H1 = (f"regexp_extract(html, '(?s)<{t}>(.*?)</{t}>', 1)" for t in ("tit
 
 @query("page_titles", f"SELECT page_id, left({_plain(_TITLE)}, 150) AS title, left({_plain(_H1)}, 150) AS h1 FROM pages")
 def page_titles(spark, folder):
-    return lk.parse_pages(table(spark, folder, "pages")).select("page_id", "title", "h1")
+    return lk.parse_pages(dealt(table(spark, folder, "pages"))).select("page_id", "title", "h1")
 
 
 @query(
@@ -59,14 +59,14 @@ def page_titles(spark, folder):
     "FROM pages LEFT JOIN n USING (page_id)",
 )
 def page_stats(spark, folder):
-    p = lk.parse_pages(table(spark, folder, "pages"))
+    p = lk.parse_pages(dealt(table(spark, folder, "pages")))
     return p.select("page_id", big(F.size("links"), "n_links"), big("kids", "kids"), big("pdfs", "pdfs"), "paged", "gpath")
 
 
 @query("page_states")
 def page_states(spark, folder):
     """Pages as a scoring model would read them, and whether they look like empty shells."""
-    p = lk.parse_pages(table(spark, folder, "pages"))
+    p = lk.parse_pages(dealt(table(spark, folder, "pages")))
     return p.select("page_id", sc.page_state(F.col("url")).alias("state"), gr.is_thin().alias("thin"))
 
 
@@ -76,7 +76,7 @@ def site_page_counts(spark, folder):
 
 
 def _links(spark, folder):
-    return lk.page_links(lk.parse_pages(table(spark, folder, "pages")))
+    return lk.page_links(lk.parse_pages(dealt(table(spark, folder, "pages"))))
 
 
 @query("site_inlinks", f"{_LINKS} SELECT site, dst, count(DISTINCT src) AS inlinks FROM b WHERE rn = 1 GROUP BY 1, 2")

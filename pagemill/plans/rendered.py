@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.plans.catalog import table
+from pagemill.plans.catalog import dealt, table
 from pagemill.plans.text_queries import written_dates
 
 _PART_A = (
@@ -32,7 +32,7 @@ def part_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Item pages in two layouts of the same site; the second needs every field's fallback."""
     args = ["p_name", "p_brand", "p_type", "p_size", "p_retailprice", "p_partkey", F.col("p_partkey") + 1]
     html = F.when(F.col("p_partkey") % 2 == 0, F.format_string(_PART_A, *args)).otherwise(F.format_string(_PART_B, *args))
-    return table(spark, folder, "part").select(
+    return dealt(table(spark, folder, "part")).select(
         "p_partkey", F.format_string("https://www.parts.org/part/%d", "p_partkey").alias("url"), html.alias("html"),
         F.lit("parts").alias("recipe"), F.lit("/part/").alias("item_pattern"),
     )
@@ -63,8 +63,7 @@ def order_pages(spark: SparkSession, folder: str) -> DataFrame:
     items = F.array_join(F.transform("lines", lambda x: F.concat(F.lit("<li>Part "), x["l_partkey"].cast("string"), F.lit("</li>"))), "\n")
     listed = F.when(F.col("lines").isNotNull(), F.concat(F.lit('<ul class="parts">'), items, F.lit("</ul>"))).otherwise(F.lit(""))
     orders = written_dates(spark, folder).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    # few bytes, much work: spread the narrow rows before they become pages
-    orders = orders.repartition(spark.sparkContext.defaultParallelism)
+    orders = dealt(orders)
     html = F.format_string(_ORDER, "o_orderkey", "shown", "o_orderpriority", "o_totalprice", "o_orderstatus", listed)
     url = F.format_string("https://www.shop%d.org/orders/order-no-%d", "o_custkey", "o_orderkey")
     return orders.select(
@@ -113,7 +112,7 @@ def customer_pages(spark: SparkSession, folder: str) -> DataFrame:
     args = ["c_name", F.initcap("c_mktsegment"), day, "c_custkey"]
     forms = [F.format_string(form, *args) for form in _FACTS]
     html = F.when(F.col("c_custkey") % 3 == 0, forms[0]).when(F.col("c_custkey") % 3 == 1, forms[1]).otherwise(forms[2])
-    return table(spark, folder, "customer").select(
+    return dealt(table(spark, folder, "customer")).select(
         "c_custkey", F.format_string("https://www.people.org/p/%d", "c_custkey").alias("url"), html.alias("html"))
 
 
@@ -132,7 +131,7 @@ def order_listings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     per_page = orders.groupBy("o_custkey", F.floor(F.col("at") / PER_PAGE).cast("int").alias("k")).agg(
         F.array_sort(F.collect_list(F.struct("at", entry.alias("html")))).alias("entries"), F.count(F.lit(1)).alias("n"))
     counts = orders.groupBy("o_custkey").agg(F.ceil(F.count(F.lit(1)) / PER_PAGE).cast("int").alias("n_pages"))
-    pages = per_page.join(counts, "o_custkey")
+    pages = dealt(per_page.join(counts, "o_custkey"))
     form, last = F.col("o_custkey") % 4, F.col("k") == F.col("n_pages") - 1
     site = F.format_string("https://www.shop%d.org", "o_custkey")
     numbers = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n_pages")), lambda i: F.format_string(

@@ -16,11 +16,9 @@ PUBLICATION_COLUMNS = (
 
 
 def write_archive(pages: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Pages by host bucket. The bucket is salted with the URL, so one huge host is spread over several files of its
-    bucket instead of ending up in one."""
+    """Pages by host bucket. The rebalance hint cuts a bucket by its size, so one huge host is written by many tasks."""
     host = F.pmod(F.xxhash64(urls.site(F.col("url"))), F.lit(BUCKETS)).cast("int")
-    pages.withColumn("host_bucket", host).repartition(F.col("host_bucket"), F.pmod(F.xxhash64("url"), F.lit(16))).write.mode(
-        mode).partitionBy("host_bucket").parquet(path)
+    pages.withColumn("host_bucket", host).hint("rebalance", "host_bucket").write.mode(mode).partitionBy("host_bucket").parquet(path)
 
 
 def _text(column: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,12 +73,18 @@ def matching_recipes(recipes_: DataFrame, plans_: DataFrame) -> DataFrame:
     return recipes_.join(wanted, "prompt").where(F.col("fields_in_plan") == F.col("names")).drop("names")
 
 
-def recipe_selectors(recipes_: DataFrame, fields: DataFrame, key: str = "prompt") -> DataFrame:
-    """Selector rows for ``compile_recipes``: ``recipe, field_pos, field, type, prio, selector``."""
-    exploded = recipes_.select(key, F.explode("selectors").alias("name", "many")).select(
-        key, "name", F.posexplode("many").alias("prio", "selector"))
-    return exploded.join(fields.select("prompt", "name", "field_pos", "type"), [key, "name"] if key == "prompt" else ["name"]).select(
-        F.col(key).alias("recipe"), "field_pos", F.col("name").alias("field"), "type", "prio", "selector")
+def recipe_id(site: Column | str, prompt: Column | str) -> Column:
+    """What a recipe is known by: its site and its prompt. Pages carry the same in their column ``recipe``."""
+    return F.to_json(F.struct(F.col(site).alias("site"), F.col(prompt).alias("prompt")) if isinstance(site, str) else F.struct(site.alias("site"), prompt.alias("prompt")))
+
+
+def recipe_selectors(recipes_: DataFrame, fields: DataFrame) -> DataFrame:
+    """Selector rows for ``compile_recipes``: ``recipe, field_pos, field, type, prio, selector``. Several sites may have a
+    recipe for one prompt, and a site recipes for several; types come from the plan of the recipe's own prompt."""
+    exploded = recipes_.select("site", "prompt", F.explode("selectors").alias("name", "many")).select(
+        "site", "prompt", "name", F.posexplode("many").alias("prio", "selector"))
+    return exploded.join(fields.select("prompt", "name", "field_pos", "type"), ["prompt", "name"]).select(
+        recipe_id("site", "prompt").alias("recipe"), "field_pos", F.col("name").alias("field"), "type", "prio", "selector")
 
 
 def page_cache(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

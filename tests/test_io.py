@@ -40,7 +40,8 @@ def test_plans_and_recipes(spark, tmp_path):
     known = src.matching_recipes(src.recipes(spark, str(tmp_path / "recipes")), plans)
     assert [r.site for r in known.collect()] == ["s0"]
     rows = src.recipe_selectors(known, fields).orderBy("prio").collect()
-    assert [(r.recipe, r.field, r.prio, r.selector) for r in rows] == [("calls", "title", 0, "h1"), ("calls", "title", 1, "meta:t")]
+    one = '{"site":"s0","prompt":"calls"}'
+    assert [(r.recipe, r.field, r.prio, r.selector) for r in rows] == [(one, "title", 0, "h1"), (one, "title", 1, "meta:t")]
     # a changed recipe is saved with its first validation date; an unchanged one is not saved at all
     old = known.withColumn("validated_on", F.lit("2026-01-01")).withColumn("listing", F.lit("l"))
     new = old.withColumn("validated_on", F.lit("2026-09-09"))
@@ -49,6 +50,18 @@ def test_plans_and_recipes(spark, tmp_path):
     assert sinks.changed_recipes(old, more).first().validated_on == "2026-01-01"
 
 
+def test_recipes_of_sites_stay_apart(spark):
+    """Two sites with one prompt, and one site with two prompts whose fields share a name."""
+    known = spark.createDataFrame(
+        [("s1", "pubs", {"title": ["h1"]}), ("s2", "pubs", {"title": ["h2"]}), ("s2", "calls", {"title": ["h3"]})],
+        "site string, prompt string, selectors map<string, array<string>>")
+    fields = spark.createDataFrame([("pubs", "title", 0, "text"), ("calls", "title", 1, "date")], "prompt string, name string, field_pos int, type string")
+    got = sorted((r.recipe, r.field_pos, r.type, r.selector) for r in src.recipe_selectors(known, fields).collect())
+    assert got == [('{"site":"s1","prompt":"pubs"}', 0, "text", "h1"), ('{"site":"s2","prompt":"calls"}', 1, "date", "h3"), ('{"site":"s2","prompt":"pubs"}', 0, "text", "h2")]
+    pages = spark.createDataFrame([("s2", "calls")], "site string, prompt string").select(src.recipe_id("site", "prompt").alias("recipe"))
+    assert pages.first().recipe == got[1][0]
+
+
 def test_archive_and_csv(spark, tmp_path):
     pages = spark.createDataFrame([(f"https://a.org/{i}", HTML.format(i, "x")) for i in range(6)], "url string, html string")
     sinks.write_archive(pages, str(tmp_path / "archive"))
