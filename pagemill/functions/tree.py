@@ -176,7 +176,7 @@ def innermost(tree: Column, node: Column) -> Column:
     return let(written, pick)
 
 
-LABEL_TAGS = ("strong", "b", "dt", "th", "label")
+LABEL_TAGS = ("strong", "b", "dt", "th", "label")  # fixed value
 
 
 def label_of(tree: Column, node: Column) -> Column:

@@ -56,6 +56,7 @@ DOM = T.StructType([
 ])
 
 
+# fixed value
 SITE_FURNITURE = re.compile("Breadcrumb|WebSite|SearchAction|SiteNavigation|ImageObject")
 
 
