@@ -29,16 +29,17 @@ def _starts(length: Column, segment: int, threshold: int) -> tuple[Column, Colum
 
 
 def index_keys(line: Column, length: Column, threshold: int) -> Column:
-    """One key per segment: hash of (length, segment number, its characters)."""
+    """One key per segment: hash of its number, its length (which tells the line's length but for the rest of the
+    division) and its characters."""
     keys = []
     for i in range(threshold + 1):
         start, size = _starts(length, i, threshold)
-        keys.append(F.xxhash64(length, F.lit(i), F.substring(line, start, size)))
+        keys.append(F.xxhash64(F.lit(i), size, F.substring(line, start, size)))
     return F.array(*keys)
 
 
 def probe_keys(line: Column, length: Column, threshold: int) -> Column:
-    """Keys of the substrings that may equal a segment of a line shorter by 0..threshold characters.
+    """Keys of the substrings that may equal a segment of a line shorter by 0..threshold characters, each once.
 
     A segment moved by ``s`` has at least |s| edits on its left and |s - d| on its right (``d``: difference in length);
     with the earlier and the later segments differing at least once each, s lies within segment number and segments
@@ -49,8 +50,8 @@ def probe_keys(line: Column, length: Column, threshold: int) -> Column:
             start, size = _starts(length - d, i, threshold)
             for s in range(-threshold, threshold + 1):
                 if abs(s) <= i and abs(s - d) <= threshold - i:
-                    keys.append(F.when((start + s >= 1) & (start + s + size - 1 <= length), F.xxhash64(length - d, F.lit(i), F.substring(line, start + s, size))))
-    return F.array_compact(F.array(*keys))
+                    keys.append(F.when((start + s >= 1) & (start + s + size - 1 <= length), F.xxhash64(F.lit(i), size, F.substring(line, start + s, size))))
+    return F.array_compact(F.array_distinct(F.array(*keys)))
 
 
 def within(shorter: Column, longer: Column, threshold: int) -> Column:
@@ -115,29 +116,48 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.select("rank", "text_key", F.posexplode("lines").alias("line_no", "line"))
 
 
-def _ids(line: Column) -> list[Column]:
+#: A line is known by 128 bits of hashes of its text, its place among all lines by one number: rank, nine digits of the
+#: text's hash, nine digits of the line number.
+
+def _ids(line: str) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
-def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rank, text_key, line_no) of every line to remove; see :func:`dedup_lines` for the rules."""
-    lines = _lines(docs, id_col, text_col).where(F.char_length("line") >= max(min_chars, threshold + 1))
-    single = lines.groupBy("line").agg(F.min(F.struct("rank", "text_key", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
-    single = single.select("line", "first", "n", F.char_length("line").alias("size"), *_ids(F.col("line")))
-    index = single.select(F.explode(index_keys(F.col("line"), F.col("size"), threshold)).alias("key"), F.col("h1").alias("a"))
-    probe = single.select(F.explode(probe_keys(F.col("line"), F.col("size"), threshold)).alias("key"), F.col("h1").alias("b"))
+def _place() -> Column:
+    return F.expr("CAST(rank AS DECIMAL(19, 0)) * 1000000000000000000BD + CAST(pmod(text_key, 1000000000) * 1000000000 + line_no AS DECIMAL(19, 0))").cast("decimal(38,0)")
+
+
+def near_pairs(lines: DataFrame, threshold: int) -> DataFrame:
+    """(h1, h2) of lines within the threshold of a line that starts earlier, from ``lines`` (rank, text_key, line_no,
+    line).
+
+    Equal lines enter the index once; each probes by itself, so a line that holds a third of all lines adds rows but no
+    pairs. Texts are fetched for candidates only: a filter on hash classes of bounded size (``BUCKETS``) keeps the rest
+    out of the shuffle."""
+    size = F.char_length("line")
+    index = lines.select(F.explode(index_keys(F.col("line"), size, threshold)).alias("key"), F.xxhash64("line").alias("a")).distinct()
+    probe = lines.select(F.explode(probe_keys(F.col("line"), size, threshold)).alias("key"), F.xxhash64("line").alias("b"))
     pairs = index.join(probe, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     bucket = F.pmod("h1", F.lit(BUCKETS))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).select(bucket.alias("bucket")).distinct()
-    texts = single.withColumn("bucket", bucket).join(F.broadcast(wanted), "bucket", "left_semi").select("h1", F.struct("line", "size", "first", "h1", "h2").alias("x"))
+    texts = lines.select(*_ids("line"), "line", _place().alias("place")).withColumn("bucket", bucket).join(F.broadcast(wanted), "bucket", "left_semi")
+    texts = texts.groupBy("h1", "h2", "line").agg(F.min("place").alias("first")).select("h1", F.struct("line", "first", "h1", "h2").alias("x"))
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-    both = both.select(F.when(F.expr("x.size <= y.size"), F.struct("x", "y")).otherwise(F.struct(F.col("y").alias("x"), F.col("x").alias("y"))).alias("p")).select("p.x", "p.y")
+    in_order = F.char_length("x.line") <= F.char_length("y.line")
+    both = both.select(F.when(in_order, F.struct("x", "y")).otherwise(F.struct(F.col("y").alias("x"), F.col("x").alias("y"))).alias("p")).select("p.x", "p.y")
     linked = both.where(within(F.col("x.line"), F.col("y.line"), threshold))
     later = F.when(F.expr("x.first < y.first"), F.col("y")).otherwise(F.col("x"))
-    near = linked.select(later.alias("l")).select("l.h1", "l.h2").distinct().withColumn("near", F.lit(True))
-    known = single.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").where("n > 1 OR near")
-    where_ = lines.select("rank", "text_key", "line_no", *_ids(F.col("line")))
-    gone = where_.join(known.select("h1", "h2", "first", "near"), ["h1", "h2"]).where("near OR struct(rank, text_key, line_no) > first")
+    return linked.select(later.alias("l")).select("l.h1", "l.h2").distinct()
+
+
+def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(rank, text_key, line_no) of every line to remove; see :func:`dedup_lines` for the rules."""
+    lines = _lines(docs, id_col, text_col).where(F.char_length("line") >= max(min_chars, threshold + 1))
+    placed = lines.select(*_ids("line"), "rank", "text_key", "line_no", _place().alias("place"))
+    known = placed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    near = near_pairs(lines, threshold).withColumn("near", F.lit(True))
+    known = known.join(near, ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", "first", "near")
+    gone = placed.join(known, ["h1", "h2"]).where("near OR place > first")
     return gone.select("rank", "text_key", "line_no").distinct()
 
 
