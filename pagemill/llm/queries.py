@@ -70,7 +70,15 @@ def op6_lm_scoring(spark, folder):
     return scored.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-@query("op7_embedding_dedup")
+@query(
+    "op7_embedding_dedup",
+    "WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL), "
+    "l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95), "
+    "reach(a, b) AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a), "
+    "c AS (SELECT a, min(b) AS least FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a) "
+    "SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least, vec_id)) AS kept "
+    "FROM embeddings LEFT JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a",
+)
 def op7_embedding_dedup(spark, folder):
     return embeddings.link_embeddings(table(spark, folder, "embeddings"))
 
@@ -82,7 +90,20 @@ def op8_language_id(spark, folder):
     return langid.predict(docs, model, ["doc_id", "held_out"])
 
 
-@query("op9_decontamination")
+_WORDS9 = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op9_decontamination",
+    f"WITH d AS (SELECT doc_id, {_WORDS9} AS w FROM documents), b AS (SELECT item_id::VARCHAR AS item, {_WORDS9} AS w FROM benchmark), "
+    "p AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[s : s + least(len(w), 10) - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS s FROM b WHERE len(w) > 0)), "
+    "sizes AS (SELECT DISTINCT n FROM p), x AS (SELECT doc_id, s, n, array_to_string(w[s : s + n - 1], ' ') AS phrase FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes)), "
+    "h AS (SELECT doc_id, s, p.n, item FROM x JOIN p USING (phrase) WHERE x.n = p.n), "
+    "hit AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(s, s + n)) AS place FROM h) GROUP BY 1), "
+    "i AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1) "
+    "SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated "
+    "FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN i USING (doc_id)",
+)
 def op9_decontamination(spark, folder):
     found = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s.end - s.first)
@@ -94,6 +115,14 @@ def op2_suffix_array_dedup(spark, folder):
     return suffixdedup.dedup_suffixes(table(spark, folder, "documents"), with_text=False)
 
 
-@query("op10_substring_dedup")
+@query(
+    "op10_substring_dedup",
+    "WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents), "
+    "x AS (SELECT doc_id, s, array_to_string(w[s : s + 12], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d)), "
+    "f AS (SELECT t, min(doc_id) AS first FROM x GROUP BY t), "
+    "g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS place FROM x JOIN f USING (t) WHERE first < doc_id), "
+    "k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS kept, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM d) ANTI JOIN g USING (doc_id, place) GROUP BY 1) "
+    "SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)",
+)
 def op10_substring_dedup(spark, folder):
     return substrings.dedup_substrings(table(spark, folder, "documents"), with_text=False)

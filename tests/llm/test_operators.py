@@ -139,7 +139,7 @@ def test_lines(spark):
         rows.append((i if i % 9 else None, "\n".join(lines)))
     rows += [(70, None), (71, ""), rows[5], (72, "a" * 5000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
-    keys = {r.text: r.k for r in df.selectExpr("text", "xxhash64(text) AS k").collect()}
+    keys = {r.text: r.k for r in df.selectExpr("text", "pmod(xxhash64(text), 1000000000) AS k").collect()}
     first = {}
     for i, text in rows:
         for n, line in enumerate((text if text is not None else "").split("\n")):
