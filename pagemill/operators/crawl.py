@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
@@ -36,7 +36,7 @@ def crawl(
 
     Every round works on all sites with ``site`` as key; a round's state is checkpointed, so its plan never grows and
     lost executors only repeat the round. Returns ``places`` (ranked), ``sections``, ``menu`` and ``top``."""
-    w_best = Window.partitionBy("site").orderBy(F.desc("prio"), "round", "ahead", "pos")
+    best = (F.desc("prio"), "round", "ahead", "pos")
     start = starts.select("site", urls.normalise(F.col("url")).alias("url"))
     scope = start.select("site", F.concat(urls.without_slash(urls.path(F.col("url"))), F.lit("/")).alias("scope"))
     if avoid is None:
@@ -63,14 +63,13 @@ def crawl(
             budget = budget.withColumn("left", F.least(F.lit(2 * tabs), max_pages - F.coalesce("spent", F.lit(0)))).drop("spent")
         else:
             budget = budget.withColumn("left", F.lit(min(2 * tabs, max_pages)))
-        ranked = queue.join(budget, "site").withColumn("rn", F.row_number().over(w_best))
+        ranked = numbered(queue.join(budget, "site"), *best)
         batch = ranked.where((F.col("rn") <= 2 * tabs) & (F.col("rn") <= F.col("left")))
         fetched = batch.select("site", F.col("url").alias("key"), "depth", "prio", "rn").join(
             pages.withColumnRenamed("site", "page_site"), "key"
         ).where(F.col("page_site") == F.col("site"))
         # redirects may land on a page already visited, in an earlier round or in this one
-        once = Window.partitionBy("site", "norm_url").orderBy("rn")
-        fetched = fetched.withColumn("nth", F.row_number().over(once)).where("nth = 1")
+        fetched = first_landings(fetched, "rn")
         if done is not None:
             fetched = fetched.join(done.select("site", "norm_url"), ["site", "norm_url"], "left_anti")
         judged = score_pages(fetched.withColumn("state", sc.page_state(F.col("url"))))
@@ -94,7 +93,7 @@ def crawl(
             listed.where(F.col("since") == round_), ["site", "gpath"], "left"
         ).withColumn("prio", F.when(F.col("since").isNotNull(), F.col("prio") * 0.2).otherwise(F.col("prio"))).drop("gpath", "since")
 
-        open_links = found.where((F.col("depth") < max_depth) & ~urls.is_page_number(F.col("url")))
+        open_links = places_to_go(found.where(F.col("depth") < max_depth))
         first_seen = open_links.groupBy("site", "url").agg(
             F.min_by(F.struct("text", "depth", "round", "visit", "pos"), F.struct("round", "visit", "pos")).alias("f")
         ).join(start, ["site", "url"], "left_anti")
@@ -142,6 +141,36 @@ def crawl(
     }
 
 
+def numbered(queue: DataFrame, *best: Column | str) -> DataFrame:
+    """A queue's rows with ``rn``, their place within their site in the order ``best``. A filter on ``rn`` is cut before the
+    shuffle."""
+    return queue.withColumn("rn", F.row_number().over(Window.partitionBy("site").orderBy(*best)))
+
+
+def first_landings(fetched: DataFrame, order: Column | str) -> DataFrame:
+    """Redirects can land on a page already read: the first fetch (by ``order``) that ends at an address stands for it."""
+    once = Window.partitionBy("site", "norm_url").orderBy(order)
+    return fetched.withColumn("nth", F.row_number().over(once)).where("nth = 1")
+
+
+def places_to_go(links: DataFrame, url: str = "url") -> DataFrame:
+    """Links that lead to places of their own: not to a further page of a list."""
+    return links.where(~urls.is_page_number(F.col(url)))
+
+
+def unseen(links: DataFrame, known: DataFrame) -> DataFrame:
+    """Distinct places (url) that links lead to and that are not ``known(url)``."""
+    return places_to_go(links).select("url").distinct().join(known.select("url").distinct(), "url", "left_anti")
+
+
+def guessed_addresses(plans: DataFrame, known: DataFrame) -> DataFrame:
+    """Root and slug of every listing name, but for those already known. ``plans(site, root, names)``, ``known(url)``."""
+    seen = known.select(urls.without_slash(F.col("url")).alias("url")).distinct()
+    guesses = plans.select("site", "root", F.explode("names").alias("name")).withColumn("slug", urls.slug(F.col("name")))
+    return guesses.where((F.col("name") != "") & (F.length("slug") < 30)).select(
+        "site", F.concat("root", F.lit("/"), "slug").alias("url")).distinct().join(seen, "url", "left_anti")
+
+
 def needs_rendering(judged: DataFrame, known: DataFrame) -> DataFrame:
     """Pages that are on topic and have pages beneath them but list nothing: their list is loaded by script, so the
     page has to be stored again from a browser."""
@@ -156,10 +185,7 @@ def guessed_listings(plans: DataFrame, known: DataFrame, listing: DataFrame) ->
     archive holds a page there with a real list. ``plans(site, root, names)``, ``known(url)``; ``listing`` comes from
     ``parse_pages`` with ``fetch_url``."""
     seen = known.select(urls.without_slash(F.col("url")).alias("url")).distinct()
-    guesses = plans.select("site", "root", F.explode("names").alias("name")).withColumn("slug", urls.slug(F.col("name")))
-    guesses = guesses.where((F.col("name") != "") & (F.length("slug") < 30)).select(
-        "site", F.concat("root", F.lit("/"), "slug").alias("url")
-    ).distinct().join(seen, "url", "left_anti")
+    guesses = guessed_addresses(plans, known)
     pages = listing.withColumn("guess", urls.without_slash(F.col("fetch_url")))
     hits = guesses.withColumnRenamed("site", "plan_site").join(pages.drop("site"), guesses["url"] == pages["guess"]).drop(guesses["url"])
     hits = hits.join(seen.withColumnRenamed("url", "seen"), urls.without_slash(F.col("norm_url")) == F.col("seen"), "left_anti")

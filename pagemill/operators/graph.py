@@ -33,7 +33,9 @@ def best_rendering(fetches: DataFrame) -> DataFrame:
     """One usable fetch per URL: a browser rendering wins over the plain one, failures never win; of equal ones the longer
     page, then a fixed order of the contents."""
     rank = F.when(F.col("via") == "browser", 0).otherwise(1)
-    w = Window.partitionBy("url").orderBy(rank, F.desc(F.length("html")), F.xxhash64("html"))
+    order = [F.desc(F.length("html"))] if "html" in fetches.columns else []
+    plain = [c for c, kind in fetches.dtypes if "map<" not in kind]
+    w = Window.partitionBy("url").orderBy(rank, *order, F.xxhash64(*plain))
     return fetches.where(usable()).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
+from pagemill.operators import crawl as cr
 from pagemill.operators import graph as gr
 from pagemill.operators import links as lk
 from pagemill.operators import scoring as sc
@@ -133,8 +133,7 @@ def robots_allowed(spark, folder):
 def frontier_topk(spark, folder):
     queue = table(spark, folder, "pages").select(
         "page_id", urls.site(F.col("url")).alias("site"), ((F.length("html") % 97) / F.lit(97.0)).alias("prio"))
-    w = Window.partitionBy("site").orderBy(F.desc("prio"), "page_id")
-    return queue.withColumn("rn", F.row_number().over(w).cast("bigint")).where("rn <= 8").select("site", "page_id", "rn")
+    return cr.numbered(queue, F.desc("prio"), "page_id").where("rn <= 8").select("site", "page_id", big("rn", "rn"))
 
 
 @query(
@@ -197,7 +196,8 @@ def walled_sites(spark, folder):
 def redirect_dedup(spark, folder):
     """Redirects can land on a page already read: the first fetch of a final address stands for it."""
     ok = fetches(spark, folder).where(gr.usable() & (F.col("via") == "requests"))
-    return ok.groupBy(urls.normalise(F.col("final_url")).alias("final")).agg(F.min("page_id").alias("page_id"))
+    landed = ok.select("site", "page_id", urls.normalise(F.col("final_url")).alias("norm_url"))
+    return cr.first_landings(landed, "page_id").select(F.col("norm_url").alias("final"), "page_id")
 
 
 @query(
@@ -206,9 +206,8 @@ def redirect_dedup(spark, folder):
 )
 def new_links(spark, folder):
     """Links no stored page answers: what a crawl would fetch next."""
-    seen = table(spark, folder, "pages").select(urls.normalise(F.col("url")).alias("dst")).distinct()
-    found = _links(spark, folder).where(~urls.is_page_number(F.col("dst"))).select("dst").distinct()
-    return found.join(seen, "dst", "left_anti")
+    known = table(spark, folder, "pages").select(urls.normalise(F.col("url")).alias("url"))
+    return cr.unseen(_links(spark, folder).select(F.col("dst").alias("url")), known).withColumnRenamed("url", "dst")
 
 
 @query(

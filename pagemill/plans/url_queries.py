@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
+from pagemill.operators import crawl as cr
 from pagemill.plans.catalog import big, query, table
 
 # SQL pieces shared by the texts below; ``{u}`` is the URL expression
@@ -150,9 +151,6 @@ def guessed_urls(spark, folder):
     """Root + slug of every listing name (here the region names: a fixed handful), minus the known pages."""
     names = table(spark, folder, "region").agg(F.collect_list("r_name").alias("names"))
     pages = table(spark, folder, "pages")
-    roots = pages.select(urls.root(F.col("url")).alias("root")).distinct()
-    guesses = roots.select("root", F.explode(names.scalar()).alias("name")).select(
-        F.concat("root", F.lit("/"), urls.slug(F.col("name"))).alias("url")
-    ).distinct()
-    known = pages.select(urls.without_slash(urls.normalise(F.col("url"))).alias("url")).distinct()
-    return guesses.join(known, "url", "left_anti")
+    plans = pages.select(urls.root(F.col("url")).alias("root")).distinct().select(
+        F.col("root").alias("site"), "root", names.scalar().alias("names"))
+    return cr.guessed_addresses(plans, pages.select(urls.normalise(F.col("url")).alias("url"))).select("url")
