@@ -20,38 +20,45 @@ MIN_CHARS = 20
 BUCKETS = 1 << 20  # of line hashes; bound of the one table that is broadcast
 
 
-def _starts(length: Column, segment: int, threshold: int) -> tuple[Column, Column]:
-    """First character (from 1) and length of a segment of a line of ``length`` characters; later ones take the rest."""
+PIECE = 28  # bits for a place in a line, and for a length
+
+
+def _piece(length: Column, segment: int, threshold: int, shift: int = 0) -> Column:
+    """A segment of a line of ``length`` characters, moved by ``shift``, as one number: segment, first character (from 1),
+    number of characters. The last segments have one character more where the division leaves a rest."""
     n = threshold + 1
-    short = F.floor(length / n).cast("int")
+    short = (length / n).cast("bigint")
     longer = n - (length - short * n)  # segments from this number on have one character more
-    return (F.lit(1) + F.lit(segment) * short + F.greatest(F.lit(0), F.lit(segment) - longer)), short + F.when(F.lit(segment) >= longer, 1).otherwise(0)
+    start = short * segment + F.greatest(F.lit(0), F.lit(segment) - longer) + (1 + shift)
+    size = short + F.when(F.lit(segment) >= longer, 1).otherwise(0)
+    return start * (1 << PIECE) + size + (segment << 2 * PIECE)
 
 
-def index_keys(line: Column, length: Column, threshold: int) -> Column:
-    """One key per segment: hash of its number, its length (which tells the line's length but for the rest of the
-    division) and its characters."""
-    keys = []
-    for i in range(threshold + 1):
-        start, size = _starts(length, i, threshold)
-        keys.append(F.xxhash64(F.lit(i), size, F.substring(line, start, size)))
-    return F.array(*keys)
+def index_pieces(length: Column, threshold: int) -> Column:
+    return F.array(*(_piece(length, i, threshold) for i in range(threshold + 1)))
 
 
-def probe_keys(line: Column, length: Column, threshold: int) -> Column:
-    """Keys of the substrings that may equal a segment of a line shorter by 0..threshold characters, each once.
+def probe_pieces(length: Column, threshold: int) -> Column:
+    """The substrings that may equal a segment of a line shorter by 0..threshold characters.
 
     A segment moved by ``s`` has at least |s| edits on its left and |s - d| on its right (``d``: difference in length);
     with the earlier and the later segments differing at least once each, s lies within segment number and segments
     left of the threshold on both counts."""
-    keys = []
-    for d in range(threshold + 1):
-        for i in range(threshold + 1):
-            start, size = _starts(length - d, i, threshold)
-            for s in range(-threshold, threshold + 1):
-                if abs(s) <= i and abs(s - d) <= threshold - i:
-                    keys.append(F.when((start + s >= 1) & (start + s + size - 1 <= length), F.xxhash64(F.lit(i), size, F.substring(line, start + s, size))))
-    return F.array_compact(F.array_distinct(F.array(*keys)))
+    pieces = [
+        _piece(length - d, i, threshold, s)
+        for i in range(threshold + 1) for d in range(threshold + 1) for s in range(-threshold, threshold + 1)
+        if abs(s) <= i and abs(s - d) <= threshold - i
+    ]
+    return F.array_distinct(F.array(*pieces))
+
+
+def piece_key(line: Column, piece: Column) -> Column:
+    """Hash of the segment's number, its length (which tells the line's length but for the rest of the division) and its
+    characters."""
+    mask = (1 << PIECE) - 1
+    size = piece.bitwiseAND(mask).cast("int")
+    start = F.shiftright(piece, PIECE).bitwiseAND(mask).cast("int")
+    return F.xxhash64(F.shiftright(piece, 2 * PIECE), size, F.substring(line, start, size))
 
 
 def within(shorter: Column, longer: Column, threshold: int) -> Column:
@@ -112,8 +119,9 @@ def _let(value: Column, body) -> Column:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(rank, text_key, line_no from 0, line) of every line."""
-    own = docs.select(rank_of(id_col).alias("rank"), F.xxhash64(F.col(text_col)).alias("text_key"), F.split(F.col(text_col), "\n").alias("lines")).where("lines IS NOT NULL")
-    return own.select("rank", "text_key", F.posexplode("lines").alias("line_no", "line"))
+    own = docs.select(rank_of(id_col).alias("rank"), F.xxhash64(F.col(text_col)).alias("text_key"), F.split(F.col(text_col), "\n").alias("lines"))
+    # the outer generator: for the inner one the optimizer adds a filter that would split every text once more
+    return own.select("rank", "text_key", F.posexplode_outer("lines").alias("line_no", "line")).where("line IS NOT NULL")
 
 
 #: A line is known by 128 bits of hashes of its text, its place among all lines by one number: rank, nine digits of the
@@ -127,6 +135,12 @@ def _place() -> Column:
     return F.expr("CAST(rank AS DECIMAL(19, 0)) * 1000000000000000000BD + CAST(pmod(text_key, 1000000000) * 1000000000 + line_no AS DECIMAL(19, 0))").cast("decimal(38,0)")
 
 
+def _keys(lines: DataFrame, pieces, threshold: int) -> DataFrame:
+    """(hash of the line, key). Pieces are numbers until they are rows: one small expression per row then reads the text."""
+    sized = lines.select("line", pieces(F.char_length("line"), threshold).alias("pieces"))
+    return sized.select("line", F.explode_outer("pieces").alias("piece")).select(F.xxhash64("line").alias("h"), piece_key(F.col("line"), F.col("piece")).alias("key"))
+
+
 def near_pairs(lines: DataFrame, threshold: int) -> DataFrame:
     """(h1, h2) of lines within the threshold of a line that starts earlier, from ``lines`` (rank, text_key, line_no,
     line).
@@ -134,9 +148,8 @@ def near_pairs(lines: DataFrame, threshold: int) -> DataFrame:
     Equal lines enter the index once; each probes by itself, so a line that holds a third of all lines adds rows but no
     pairs. Texts are fetched for candidates only: a filter on hash classes of bounded size (``BUCKETS``) keeps the rest
     out of the shuffle."""
-    size = F.char_length("line")
-    index = lines.select(F.explode(index_keys(F.col("line"), size, threshold)).alias("key"), F.xxhash64("line").alias("a")).distinct()
-    probe = lines.select(F.explode(probe_keys(F.col("line"), size, threshold)).alias("key"), F.xxhash64("line").alias("b"))
+    index = _keys(lines, index_pieces, threshold).toDF("a", "key").distinct()
+    probe = _keys(lines, probe_pieces, threshold).toDF("b", "key")
     pairs = index.join(probe, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     bucket = F.pmod("h1", F.lit(BUCKETS))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).select(bucket.alias("bucket")).distinct()
