@@ -13,10 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.shared import rank_of, whole_row
+from pagemill.llm.shared import rank_of, saved, whole_row
 
 THRESHOLD = 2
 MIN_CHARS = 20
+LETTERS = "abcdefghijklmnopqrstuvwxyz"  # counted to rule pairs out; right with any choice of up to 60
 BUCKETS = 1 << 20  # of line hashes; bound of the one table that is broadcast
 
 
@@ -135,27 +136,54 @@ def _place() -> Column:
     return F.expr("CAST(rank AS DECIMAL(19, 0)) * 1000000000000000000BD + CAST(pmod(text_key, 1000000000) * 1000000000 + line_no AS DECIMAL(19, 0))").cast("decimal(38,0)")
 
 
-def _keys(lines: DataFrame, pieces, threshold: int) -> DataFrame:
-    """(hash of the line, key). Pieces are numbers until they are rows: one small expression per row then reads the text."""
-    sized = lines.select("line", pieces(F.char_length("line"), threshold).alias("pieces"))
-    return sized.select("line", F.explode_outer("pieces").alias("piece")).select(F.xxhash64("line").alias("h"), piece_key(F.col("line"), F.col("piece")).alias("key"))
+def with_odd_letters(lines: DataFrame) -> DataFrame:
+    """``lines`` (line) with ``letters``: a bit per letter that occurs an odd number of times. An edit changes two of the bits
+    at most.
 
+    A few letters at a time: each step is a generator of its own, so the compiled code of a step stays small."""
+    lines = lines.select("line", F.lit(0).cast("bigint").alias("letters"))
+    for at in range(0, len(LETTERS), 5):
+        bits = F.col("letters")
+        for k, c in enumerate(LETTERS[at : at + 5], at):
+            count = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(c), F.lit("")))
+            bits = bits + F.shiftleft(count.cast("bigint").bitwiseAND(1), k)
+        lines = lines.select(F.inline_outer(F.array(F.struct("line", bits.alias("letters")))))
+    return lines
 
-def near_pairs(lines: DataFrame, threshold: int) -> DataFrame:
+
+def _keys(lines: DataFrame, pieces, threshold: int, *keep: str) -> DataFrame:
+    """(hash of the line, key) and the columns ``keep`` of ``lines``. Pieces are numbers until they are rows: one small
+    expression per row then reads the text."""
+    cut = lines.select("line", *keep, F.explode_outer(pieces(F.char_length("line"), threshold)).alias("piece"))
+    return cut.select(F.xxhash64("line").alias("h"), piece_key(F.col("line"), F.col("piece")).alias("key"), *keep)
+
+
+def _bucket(h: str) -> Column:
+    return F.pmod(h, F.lit(BUCKETS)).alias("bucket")
+
+
+def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
     """(h1, h2) of lines within the threshold of a line that starts earlier, from ``lines`` (rank, text_key, line_no,
     line).
 
-    Equal lines enter the index once; each probes by itself, so a line that holds a third of all lines adds rows but no
-    pairs. Texts are fetched for candidates only: a filter on hash classes of bounded size (``BUCKETS``) keeps the rest
-    out of the shuffle."""
+    First, without texts and without pairs, the lines that share a key with another line; a line that holds a third of all
+    lines enters the index once. Their texts are fetched (a filter on hash classes of bounded size keeps most others out of
+    the shuffle) and, each text once, joined by key; lines whose odd letters differ in too many places never become a
+    pair, so many variants of one line don't make all their pairs."""
     index = _keys(lines, index_pieces, threshold).toDF("a", "key").distinct()
     probe = _keys(lines, probe_pieces, threshold).toDF("b", "key")
-    pairs = index.join(probe, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    bucket = F.pmod("h1", F.lit(BUCKETS))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).select(bucket.alias("bucket")).distinct()
-    texts = lines.select(*_ids("line"), "line", _place().alias("place")).withColumn("bucket", bucket).join(F.broadcast(wanted), "bucket", "left_semi")
-    texts = texts.groupBy("h1", "h2", "line").agg(F.min("place").alias("first")).select("h1", F.struct("line", "first", "h1", "h2").alias("x"))
-    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
+    shared = index.join(probe, (index["key"] == probe["key"]) & (F.col("a") != F.col("b")), "left_semi").select(_bucket("a"))
+    shared = shared.union(probe.join(index, (index["key"] == probe["key"]) & (F.col("a") != F.col("b")), "left_semi").select(_bucket("b")))
+    wanted = shared.distinct()
+    texts = lines.select(*_ids("line"), "line", _place().alias("place")).withColumn("bucket", _bucket("h1")).join(F.broadcast(wanted), "bucket", "left_semi")
+    texts = saved(texts.groupBy("h1", "h2", "line").agg(F.min("place").alias("first")), "lines")
+    lettered = with_odd_letters(texts.select("line"))
+    left = _keys(lettered, index_pieces, threshold, "letters").toDF("a", "key", "of_a")
+    right = _keys(lettered, probe_pieces, threshold, "letters").toDF("b", "key", "of_b")
+    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("of_a").bitwiseXOR(F.col("of_b"))) <= 2 * threshold)
+    pairs = left.join(right, (left["key"] == right["key"]) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    whole = texts.select("h1", F.struct("line", "first", "h1", "h2").alias("x"))
+    both = pairs.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
     in_order = F.char_length("x.line") <= F.char_length("y.line")
     both = both.select(F.when(in_order, F.struct("x", "y")).otherwise(F.struct(F.col("y").alias("x"), F.col("x").alias("y"))).alias("p")).select("p.x", "p.y")
     linked = both.where(within(F.col("x.line"), F.col("y.line"), threshold))
@@ -168,7 +196,7 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     lines = _lines(docs, id_col, text_col).where(F.char_length("line") >= max(min_chars, threshold + 1))
     placed = lines.select(*_ids("line"), "rank", "text_key", "line_no", _place().alias("place"))
     known = placed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
-    near = near_pairs(lines, threshold).withColumn("near", F.lit(True))
+    near = near_lines(lines, threshold).withColumn("near", F.lit(True))
     known = known.join(near, ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", "first", "near")
     gone = placed.join(known, ["h1", "h2"]).where("near OR place > first")
     return gone.select("rank", "text_key", "line_no").distinct()
