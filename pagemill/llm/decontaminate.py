@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.shared import LOWER, received, ship, slices, whole_row
+from pagemill.llm.shared import LOWER, received, ship, slices, small_batches, whole_row
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
@@ -261,6 +261,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """``docs`` with the spans of benchmark windows taken out of the text; all other columns stay. Rows of whose text no
     word is left go; texts without a hit stay as they are, also null and empty ones."""
+    small_batches(docs.sparkSession)
     whole = docs.select(whole_row(docs).alias("__doc"), F.col(text_col).alias("__own"))
     found = find_contamination(whole, benchmark, window, text_col="__own", keep=["__doc"], with_cut=True)
     left = found.where(F.col("cut").isNull() | F.col("cut").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")).withColumn("__doc", F.when(F.col("cut").isNull(), F.col("__doc")).otherwise(F.col("__doc").withField(f"`{text_col}`", F.col("cut"))))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.shared import received, ship, slices, whole_row
+from pagemill.llm.shared import received, ship, slices, small_batches, whole_row
 
 WORD = regex.compile(r"\p{L}+")
 CACHE = 300_000  # words whose scores a task remembers before it starts anew
@@ -165,5 +165,6 @@ def predict(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text
 def keep_identified(docs: DataFrame, model: dict, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns as they are, whose language the model tells with at least
     ``min_score``; ``und`` goes."""
+    small_batches(docs.sparkSession)
     whole = docs.select(whole_row(docs).alias("__doc"), F.col(text_col).alias("__own"))
     return predict(whole, model, ["__doc"], "__own").where(f"lang_pred <> 'und' AND score >= {min_score}").select("__doc.*")

@@ -68,6 +68,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             yield batch.slice(at, step)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Whole documents go through Python in Arrow batches of so many rows from now on in this session: a batch is held by
+    the JVM and by the worker at once, and with texts the default of 10,000 rows is too much for small executors."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def parts_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
