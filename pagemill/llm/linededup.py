@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.shared import rank_of, saved, whole_row
 
 THRESHOLD = 2
-MIN_CHARS = 20
+NEAR_CHARS = 20  # lines under it are compared for equality only: two edits would make many short lines alike
 LETTERS = "abcdefghijklmnopqrstuvwxyz"  # counted to rule pairs out; right with any choice of up to 60
 BUCKETS = 1 << 20  # of line hashes; bound of the one table that is broadcast
 
@@ -191,21 +191,26 @@ def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
     return linked.select(later.alias("l")).select("l.h1", "l.h2").distinct()
 
 
-def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rank, text_key, line_no) of every line to remove; see :func:`dedup_lines` for the rules."""
-    lines = _lines(docs, id_col, text_col).where(F.char_length("line") >= max(min_chars, threshold + 1))
+    near_chars = max(NEAR_CHARS if min_chars is None else min_chars, threshold + 1)
+    long = F.char_length("line") >= near_chars
+    every = _lines(docs, id_col, text_col)
+    lines = every.where(F.col("line").rlike("\\S") | long if min_chars is None else long)
     placed = lines.select(*_ids("line"), "rank", "text_key", "line_no", _place().alias("place"))
     known = placed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
-    near = near_lines(lines, threshold).withColumn("near", F.lit(True))
+    near = near_lines(every.where(long), threshold).withColumn("near", F.lit(True))
     known = known.join(near, ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", "first", "near")
     gone = placed.join(known, ["h1", "h2"]).where("near OR place > first")
     return gone.select("rank", "text_key", "line_no").distinct()
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_lines, ``removed_lines`` (sorted line numbers from 0).
 
-    Lines are what newlines separate. Lines under ``min_chars`` characters are neither removed nor compared. A null text
+    Lines are what newlines separate. Equal lines of any length are repeats, but for blank ones under ``NEAR_CHARS``
+    characters; lines from ``NEAR_CHARS`` on are also compared within the threshold. With ``min_chars`` that is the floor of
+    both instead: lines under it are neither removed nor compared. A null text
     has 0 lines, an empty one has 1. Documents are ordered by id; rows without id come last, ordered by a hash of their
     text, as do rows that share an id; a row repeated with id and text is one document. Other columns are not looked at.
     An empty table gives an empty one."""
@@ -214,7 +219,7 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     return base.join(lists, ["rank", "text_key"], "left").select("doc_id", "n_lines", F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"))
 
 
-def without_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated lines taken out of the text; all columns stay. Rows that lose lines and keep none with
     more than blanks go."""
     lists = repeated_lines(docs, threshold, min_chars, id_col, text_col).groupBy("rank", "text_key").agg(F.collect_list("line_no").alias("gone"))

@@ -162,6 +162,15 @@ def test_lines(spark):
     assert got(kept) == sorted(texts, key=str)
 
 
+def test_short_lines_that_repeat_go_at_the_default_floor(spark):
+    long = "a line of more than twenty characters"
+    rows = [(1, f"Home\n{long}\n\n  \n你好。"), (2, f"Home\nHomes\n{long}!\n\n  \n你好。"), (3, "Homes\nx\nHome\nx"), (4, "Home"), (5, None), (6, "\n" + " " * 30), (7, " " * 30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = [(1, 5, []), (2, 6, [0, 2, 5]), (3, 4, [0, 2, 3]), (4, 1, [0]), (5, 0, []), (6, 2, []), (7, 1, [0])]
+    assert got(linededup.dedup_lines(df)) == sorted(want, key=str)
+    assert {r.doc_id: r.text for r in linededup.without_lines(df).collect()} == {1: rows[0][1], 2: "Homes\n\n  ", 3: "x", 5: None, 6: rows[5][1]}
+
+
 def test_bands_equal_edit_distance(spark):
     dice = random.Random(2)
     pairs = [sorted(("".join(dice.choice("ab") for _ in range(dice.randint(1, 9))) for _ in range(2)), key=len) for _ in range(400)]
