@@ -1,11 +1,12 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Counts are taken over all training texts. Words with a share of at least ``word_share`` of the tokens, and n-grams with a
-share of at least ``gram_share`` (all of whose parts then have that share too), make the automaton: a state per context,
-an arc per n-gram kept, and a failure arc to the next shorter context that carries the backoff weight. These shares bound
-its size (at most 1 / share entries), so it is broadcast. One left-to-right walk per text carries the state and adds
-up log probabilities. All other words enter with their exact counts through a join; they never were frequent, so no key
-of that join is hot."""
+Every n-gram of the training texts is counted and makes an arc; every context has a failure arc to the next shorter one,
+which carries the backoff weight. Nothing is pruned, so arcs and failure arcs are Spark tables, keyed by 64-bit hashes of
+their words, and grow with the input. Texts that were learnt from find their longest n-grams at once; the others follow
+failure arcs, a join per order. Arcs with a share of at least ``gram_share`` of the tokens (so at most 1 / share of them
+per order) are broadcast as well and looked up where texts are read, which keeps hot keys out of the joins. In the same
+way words with a share of at least ``word_share`` are broadcast with their counts; all other words enter with their exact
+counts through a join. Neither share changes a result."""
 
 from __future__ import annotations
 
@@ -16,14 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.repeats import MULTIPLIER, mix
 from pagemill.llm.shared import received, saved, ship, slices
 
 END = b" "  # no word holds a blank
 FLUSH = 400_000  # distinct items a counting task holds before it hands them on
+HASHES = 1_000_000  # word hashes a task remembers before it starts anew
 MEMO = 1_000_000  # transitions a scoring task remembers before it starts anew
 
 
@@ -61,44 +65,57 @@ def _counts(total: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
 
 
-def count_grams(texts: DataFrame, place: dict[bytes, int], kept: np.ndarray | None, size: int) -> DataFrame:
-    """(gram, n): n-grams of ``size`` words of ``place``, each written as one number in base len(place) + 1. With
-    ``kept`` (sorted numbers of the shorter n-grams), only those whose two parts are in it."""
-    base = len(place) + 1
-    held = ship(texts.sparkSession, (place, kept))
+class Hasher:
+    """Hashes of the n-grams of texts: of a word as in Spark's xxhash64, of more words from that of all but the last."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def grams(self, texts: list[bytes | None], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The sizes of the texts in words, and for n = 1, 2 .. order the hash of the n-gram that starts at each word of
+        the texts in a row (also of those that reach into the next text)."""
+        if len(self.known) > HASHES:
+            self.known = {}
+        known, words, sizes = self.known, [], []
+        for text in texts:
+            own = tokens_of(text)
+            words += own
+            sizes.append(len(own))
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh64_intdigest(w, 42)
+        one = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        out = [one]
+        for n in range(2, order + 1):
+            out.append(mix(out[-1][: max(0, len(one) - n + 1)] * np.uint64(MULTIPLIER) + one[n - 1 :]))
+        return np.array(sizes, np.int64), out
+
+
+def count_grams(texts: DataFrame, order: int) -> DataFrame:
+    """(size, gram, context, shorter, n) of every n-gram of 2 to ``order`` words: ``context`` lacks its last word, ``shorter``
+    its first; added up for each slice of texts before anything is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shorter = received(held)
-        get = words.get
-        grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        hasher = Hasher()
         for batch in slices(batches):
-            ids = np.fromiter((get(w, -1) for t in batch.column("text").to_pylist() for w in (*tokens_of(t), None)), np.int64)
-            n = len(ids) - size + 1
-            if n < 1:
-                continue
-            number, good = np.zeros(n, np.int64), np.ones(n, bool)
-            for k in range(size):
-                part = ids[k : k + n]
-                good &= part >= 0
-                number = number * base + part
-            number = number[good]
-            if shorter is not None:
-                number = number[np.isin(number // base, shorter) & np.isin(number % base ** (size - 1), shorter)]
-            new, many = np.unique(number, return_counts=True)
-            both = np.concatenate([grams, new])
-            grams, back = np.unique(both, return_inverse=True)
-            counts = np.bincount(back, weights=np.concatenate([counts, many]), minlength=len(grams)).astype(np.int64)
-            if len(grams) > FLUSH:
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(grams), "n": pa.array(counts)})
-                grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(grams):
-            yield pa.RecordBatch.from_pydict({"gram": pa.array(grams), "n": pa.array(counts)})
-
-    return texts.mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+            sizes, hashes = hasher.grams(batch.column("text").to_pylist(), order)
+            left = np.repeat(np.cumsum(sizes), sizes) - np.arange(sizes.sum())  # words from here to the end of the text
+            for n in range(2, order + 1):
+                at = np.flatnonzero(left >= n)
+                if not len(at):
+                    continue
+                gram, first, many = np.unique(hashes[n - 1][at], return_index=True, return_counts=True)
+                at = at[first]
+                columns = {"gram": gram, "context": hashes[n - 2][at], "shorter": hashes[n - 2][at + 1]}
+                yield pa.RecordBatch.from_pydict({"size": pa.array(np.full(len(at), n, np.int32))} | {k: pa.array(v.view(np.int64)) for k, v in columns.items()} | {"n": pa.array(many.astype(np.int64))})
+
+    counted = texts.mapInArrow(count, "size int, gram bigint, context bigint, shorter bigint, n bigint")
+    return counted.groupBy("size", "gram").agg(F.min("context").alias("context"), F.min("shorter").alias("shorter"), F.sum("n").alias("n"))
 
 
 class Automaton:
-    """States are contexts (word numbers); state 0 is the empty one. The last word number stands for all rare words."""
+    """The automaton in one process, for n-grams that fit into its memory; the tables of :func:`train` are held against it.
+
+    States are contexts (word numbers); state 0 is the empty one. The last word number stands for all rare words."""
 
     def __init__(self, words: list[bytes], counts: list[int], tokens: int, kinds: int, grams: dict[tuple[int, ...], int], discount: float):
         self.place = {w: i for i, w in enumerate(words)}
@@ -160,24 +177,102 @@ class Automaton:
         return total
 
 
-def train(texts: DataFrame, settings: Settings = Settings()) -> tuple[Automaton, DataFrame, int, int]:
-    """The automaton, all word counts (word, n), the numbers of tokens and of different ones, from a binary column ``text``."""
+@dataclass
+class Model:
+    words: list[bytes]  # the frequent ones
+    sizes: list[int]
+    counts: DataFrame  # word, n: all words
+    tokens: int
+    kinds: int
+    arcs: DataFrame  # gram, n, gain: log10 of the probability over that of the last word alone
+    failures: DataFrame  # context, weight (log10)
+
+    @property
+    def floor(self) -> float:
+        return self.tokens + 0.5 * (self.kinds + 1)
+
+
+def train(texts: DataFrame, settings: Settings = Settings()) -> Model:
+    """The model from a binary column ``text``."""
     counts = saved(count_words(texts), "words")
     tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     rows = counts.where(F.col("n") >= max(1.0, settings.word_share * tokens)).toArrow().to_pydict()
-    frequent = sorted(zip(rows["word"], rows["n"], strict=True), key=lambda x: (-x[1], x[0]))
-    words, sizes = [w for w, _ in frequent], [n for _, n in frequent]
-    least = max(1.0, settings.gram_share * tokens)
-    place = {w: i for i, (w, n) in enumerate(frequent) if n >= least}
-    base, kept, grams = len(place) + 1, None, {}
+    grams = saved(count_grams(texts, settings.order), "grams")
+    single = (F.col("n") + 0.5) / float(tokens + 0.5 * (kinds + 1))
+    below = counts.select(F.xxhash64("word").alias("shorter"), single.alias("lower"), F.log10(single).alias("base"))
+    arcs, failures = [], []
     for size in range(2, settings.order + 1):
-        if base**size >= 1 << 63 or kept is not None and not len(kept):
-            break
-        found = count_grams(texts, place, kept, size).where(F.col("n") >= least).toArrow()
-        kept = np.sort(found.column("gram").to_numpy())
-        for number, n in zip(found.column("gram").to_pylist(), found.column("n").to_pylist(), strict=True):
-            grams[tuple(number // base**k % base for k in range(size - 1, -1, -1))] = n
-    return Automaton(words, sizes, tokens, kinds, grams, settings.discount), counts, tokens, kinds
+        own = grams.where(F.col("size") == size).drop("size")
+        total = own.groupBy("context").agg(F.sum("n").alias("total"))
+        made = own.join(total, "context").join(below, "shorter")
+        made = saved(made.select("gram", "context", "n", ((F.col("n") - settings.discount) / F.col("total")).alias("p"), "lower", "base"), "arcs")
+        left = [F.greatest(F.lit(1e-12), 1 - F.sum(c)) for c in ("p", "lower")]
+        failures.append(saved(made.groupBy("context").agg(F.log10(left[0] / left[1]).alias("weight")), "failures"))
+        arcs.append(made.select("gram", "n", (F.log10("p") - F.col("base")).alias("gain")))
+        below = made.select(F.col("gram").alias("shorter"), F.col("p").alias("lower"), "base")
+    none = grams.limit(0)
+    all_arcs, all_failures = none.select("gram", "n", F.lit(0.0).alias("gain")), none.select("context", F.lit(0.0).alias("weight"))
+    for more, fail in zip(arcs, failures, strict=True):
+        all_arcs, all_failures = all_arcs.union(more), all_failures.union(fail)
+    return Model(rows["word"], rows["n"], counts, tokens, kinds, all_arcs, all_failures)
+
+
+def gains(texts: DataFrame, model: Model, settings: Settings) -> DataFrame:
+    """(row, gain) from (row, text, learnt): what the contexts of a text's words add to its score. Rows without any are left
+    out."""
+    spark, order = texts.sparkSession, settings.order
+    hot = model.arcs.where(F.col("n") >= max(2.0, settings.gram_share * model.tokens)).select("gram", "gain").toArrow()
+    grams, values = hot.column("gram").to_numpy(), hot.column("gain").to_numpy()
+    held = ship(spark, (np.sort(grams), values[np.argsort(grams)]))
+
+    def places(narrow: bool):
+        names = ["gram"] if narrow else [f"{c}{n}" for n in range(order, 1, -1) for c in ("gram", "context")]
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hasher, (keys, worth) = Hasher(), received(held)
+            for batch in slices(batches):
+                sizes, hashes = hasher.grams(batch.column("text").to_pylist(), order)
+                row = np.repeat(batch.column("row").to_numpy(), sizes)
+                before = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # words of the text before this one
+                for n in range(2, order + 1):  # words whose longest n-gram has n words
+                    at = np.flatnonzero(before >= n - 1 if n == order else before == n - 1)
+                    if not len(at):
+                        continue
+                    longest = hashes[n - 1][at - n + 1].view(np.int64)
+                    found = np.minimum(np.searchsorted(keys, longest), max(0, len(keys) - 1))
+                    hit = keys[found] == longest if len(keys) else np.zeros(len(at), bool)
+                    if hit.any():
+                        rows, which = np.unique(row[at[hit]], return_inverse=True)
+                        yield _places(names, {"row": rows, "gain": np.bincount(which, weights=worth[found[hit]])})
+                    at, longest = at[~hit], longest[~hit]
+                    columns = {"row": row[at], "gain": np.zeros(len(at))}
+                    if narrow:
+                        columns["gram"] = longest
+                    else:
+                        for k in range(n, 1, -1):
+                            columns |= {f"gram{k}": hashes[k - 1][at - k + 1].view(np.int64), f"context{k}": hashes[k - 2][at - k + 1].view(np.int64)}
+                    yield _places(names, columns)
+
+        return work, "row bigint, gain double, " + ", ".join(f"{c} bigint" for c in names)
+
+    known = texts.where("learnt").select("row", "text").mapInArrow(*places(True))  # every n-gram of these has an arc
+    parts = known.where("gram IS NULL").select("row", "gain")
+    parts = parts.union(known.where("gram IS NOT NULL").select("row", "gram").join(model.arcs.select("gram", "gain"), "gram").select("row", "gain"))
+    todo = saved(texts.where("NOT learnt").select("row", "text").mapInArrow(*places(False)), "places")
+    for n in range(order, 1, -1):
+        gram, context, rest = f"gram{n}", f"context{n}", [f"{c}{k}" for k in range(n - 1, 1, -1) for c in ("gram", "context")]
+        shorter = todo.where(F.col(gram).isNull()).select("row", "gain", *rest)  # the text's second word, or a hot arc's sum
+        tried = todo.where(F.col(gram).isNotNull()).join(model.arcs.select(F.col("gram").alias(gram), F.col("gain").alias("arc")), gram, "left")
+        tried = saved(tried.select("row", (F.col("gain") + F.coalesce("arc", F.lit(0.0))).alias("gain"), F.col("arc").isNotNull().alias("found"), context, *rest), "tried")
+        parts = parts.union(tried.where("found").select("row", "gain"))
+        failed = tried.where("NOT found").join(model.failures.select(F.col("context").alias(context), "weight"), context, "left")
+        todo = shorter.union(failed.select("row", (F.col("gain") + F.coalesce("weight", F.lit(0.0))).alias("gain"), *rest))
+    return parts.union(todo.select("row", "gain")).groupBy("row").agg(F.sum("gain").alias("gain"))
+
+
+def _places(names: list[str], columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    n = len(columns["row"])
+    return pa.RecordBatch.from_pydict({c: pa.array(columns[c]) if c in columns else pa.nulls(n, pa.int64()) for c in ("row", "gain", *names)})
 
 
 def score_texts(docs: DataFrame, learn_from: str, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,37 +283,32 @@ def score_texts(docs: DataFrame, learn_from: str, settings: Settings = Settings(
     smoothed word frequencies alone. A null text is an empty one: its end is its only token. Rows are scored each, also
     repeated ones; other columns are not looked at. Without any row to learn from every token is unknown."""
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.coalesce(F.expr(learn_from), F.lit(False)).alias("learnt"))
-    model, counts, tokens, kinds = train(own.where("learnt").select("text"), settings)
-    held = ship(docs.sparkSession, model)
+    texts = saved(own.withColumn("row", F.monotonically_increasing_id()), "texts")
+    model = train(texts.where("learnt").select("text"), settings)
+    gained = gains(texts, model, settings)
+    floor = float(model.floor)
+    held = ship(docs.sparkSession, dict(zip(model.words, ((n, math.log10((n + 0.5) / floor)) for n in model.sizes), strict=True)))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = received(held)
-        get, rare, known, base = automaton.place.get, automaton.rare, automaton.known.tolist(), automaton.base
-        row = TaskContext.get().partitionId() << 40
+        frequent = received(held)
         for batch in slices(batches):
-            out: dict[str, list] = {c: [] for c in ("row", "n_tokens", "n_known", "base", "score", "rare")}
+            out: dict[str, list] = {c: [] for c in ("n_tokens", "n_known", "base", "rare")}
             for text in batch.column("text").to_pylist():
-                words = tokens_of(text)
-                ids = [get(w, rare) for w in words]
-                other = Counter(w for w, i in zip(words, ids, strict=True) if i == rare)
-                out["row"].append(row)
-                out["n_tokens"].append(len(words))
-                out["n_known"].append(sum(known[i] for i in ids))
-                out["base"].append(sum(base[i] for i in ids))
-                out["score"].append(automaton.score(ids))
-                out["rare"].append([{"word": w, "n": n} for w, n in other.items()])
-                row += 1
-            kinds_ = {"row": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "rare": pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))}
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "learnt": batch.column("learnt")} | {c: pa.array(out[c], k) for c, k in kinds_.items()})
-
-    walked = saved(own.mapInArrow(walk, "doc_id bigint, learnt boolean, row bigint, n_tokens bigint, n_known bigint, base double, score double, rare array<struct<word: binary, n: bigint>>"), "walked")
+                words = Counter(tokens_of(text))
+                here = [(n, frequent[w]) for w, n in words.items() if w in frequent]
+                out["n_tokens"].append(words.total())
+                out["n_known"].append(sum(n for n, (count, _) in here if count))
+                out["base"].append(sum(n * base for n, (_, base) in here))
+                out["rare"].append([{"word": w, "n": n} for w, n in words.items() if w not in frequent])
+            kinds_ = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "rare": pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))}
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("doc_id", "learnt", "row")} | {c: pa.array(out[c], k) for c, k in kinds_.items()})
+
+    walked = saved(texts.mapInArrow(walk, "doc_id bigint, learnt boolean, row bigint, n_tokens bigint, n_known bigint, base double, rare array<struct<word: binary, n: bigint>>"), "walked")
     rare = walked.select("row", F.inline("rare").alias("word", "times"))
-    floor = float(tokens + 0.5 * (kinds + 1))
-    least = max(1.0, settings.word_share * tokens)
-    parts = rare.join(counts.where(F.col("n") < least), "word", "left").groupBy("row").agg(
+    least = max(1.0, settings.word_share * model.tokens)
+    parts = rare.join(model.counts.where(F.col("n") < least), "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / floor)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("met"))
-    joined = walked.drop("rare").join(parts, "row", "left")
-    more, met = F.coalesce("more", F.lit(0.0)), F.coalesce("met", F.lit(0))
+    joined = walked.drop("rare").join(parts, "row", "left").join(gained, "row", "left").withColumn("base_score", F.col("base") + F.coalesce("more", F.lit(0.0)))
     return joined.select(
-        "doc_id", "learnt", "n_tokens", (F.col("n_known") + met).alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+        "doc_id", "learnt", "n_tokens", (F.col("n_known") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
+        "base_score", (F.col("base_score") + F.coalesce("gain", F.lit(0.0))).alias("score"))

@@ -287,6 +287,23 @@ def test_lm(docs, rows):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in empty)
 
 
+def test_lm_holds_every_gram_of_the_training_texts(docs, rows):
+    split = lambda t: [*(t or "").encode().lower().split(), b" "]
+    learn = [i is not None and zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows]
+    texts = [split(t) for (_, t), own in zip(rows, learn, strict=True) if own]
+    counts = Counter(w for t in texts for w in t)
+    place = {w: k for k, w in enumerate(counts)}
+    grams = Counter(tuple(place[w] for w in t[i : i + n]) for t in texts for n in (2, 3) for i in range(len(t) - n + 1))
+    total, floor = counts.total(), counts.total() + 0.5 * (len(counts) + 1)
+    whole = ngramlm.Automaton(list(counts), list(counts.values()), total, len(counts), grams, 0.75)
+    score = lambda t: whole.score([place.get(w, whole.rare) for w in t]) + sum(math.log10(0.5 / floor) for w in t if w not in place)
+    want = sorted(((i, own, round(score(split(t)), 5)) for (i, t), own in zip(rows, learn, strict=True)), key=str)
+    assert any(n == 1 for n in grams.values()) and sum(not own for own in learn) > 5
+    for settings in (ngramlm.Settings(), ngramlm.Settings(word_share=0.01, gram_share=0.01), ngramlm.Settings(gram_share=0.5)):
+        out = ngramlm.score_texts(docs, "crc32(cast(doc_id AS string)) % 5 <> 1", settings).collect()
+        assert sorted(((r.doc_id, r.learnt, round(r.score, 5)) for r in out), key=str) == want
+
+
 def test_lm_beats_word_frequencies_on_held_out(spark, tables):
     row = queries.QUERIES["op6_lm_scoring"](spark, tables).where("held_out").selectExpr("sum(score) AS s", "sum(base_score) AS b").first()
     assert row.s > row.b
