@@ -223,6 +223,37 @@ def test_simhash(docs, rows):
     assert len(ids) == len(set(root.values())) and sorted(i for i in ids if i is not None) == sorted(least.values())
 
 
+def test_near_duplicates_of_the_pipeline(spark, tmp_path):
+    dice = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(40):
+        words = [dice.choice(vocabulary) for _ in range(dice.randint(60, 260))] + ["one", "line", "that", "is", "in", "every", "text"]
+        rows.append(words)
+        for _ in range(3):
+            near = list(words)
+            for _ in range(dice.randint(1, 7)):
+                near[dice.randrange(len(near))] = dice.choice(vocabulary)
+            rows.append(near)
+    texts = [" ".join(w) for w in rows] + ["", None, " ", "two words", "Two  words", "two word"]
+    dice.shuffle(texts)
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root, missed = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            common, every = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if 5 * common >= 4 * every:
+                missed += (simhash.fingerprint((texts[i] or "").encode()) ^ simhash.fingerprint((texts[j] or "").encode())).bit_count() > 3
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert missed > 20  # three bits do not reach these
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, str(tmp_path)).collect()) == sorted(set(root))
+
+
 def test_decontamination(spark, docs, rows):
     items = [("b1", " ".join((rows[0][1] or "x y").split()[:15])), ("b2", "ünïcode ä ß"), ("a3", None), (None, "a b"), ("c4", "  "), ("c5", "zz"), ("c5", "zz"), ("d6", rows[5][1])]
     bench = spark.createDataFrame(items, "item_id string, text string")
