@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, decontaminate, embeddings, langid, linededup, ngramlm, simhash, substrings, suffixdedup, urlfilter
+from pagemill.llm import bpe, conversations, decontaminate, embeddings, langid, linededup, ngramlm, simhash, substrings, suffixdedup, urlfilter
 from pagemill.llm.shared import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,9 @@ def op2_suffix_array_dedup(spark, folder):
 )
 def op10_substring_dedup(spark, folder):
     return substrings.dedup_substrings(table(spark, folder, "documents"), with_text=False)
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark, folder):
+    turns = table(spark, folder, "conversations")
+    return conversations.repair_conversations(conversations.damage(turns), all_ids=turns)
