@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, conversations, decontaminate, embeddings, langid, linededup, ngramlm, simhash, substrings, suffixdedup, urlfilter
+from pagemill.llm import bpe, conversations, decontaminate, embeddings, langid, linededup, ngramlm, pieces, simhash, substrings, suffixdedup, urlfilter
 from pagemill.llm.shared import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,9 @@ def op10_substring_dedup(spark, folder):
 def op11_conversation_repair(spark, folder):
     turns = table(spark, folder, "conversations")
     return conversations.repair_conversations(conversations.damage(turns), all_ids=turns)
+
+
+@query("op12_sentencepiece")
+def op12_sentencepiece(spark, folder):
+    model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.encode_pieces(table(spark, folder, "documents"), model, with_ids=False)
