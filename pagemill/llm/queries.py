@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, conversations, decontaminate, embeddings, langid, linededup, ngramlm, pieces, simhash, substrings, suffixdedup, urlfilter
+from pagemill.llm import bpe, collocations, conversations, decontaminate, embeddings, langid, linededup, ngramlm, pieces, simhash, substrings, suffixdedup, urlfilter
 from pagemill.llm.shared import fold_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,21 @@ def op11_conversation_repair(spark, folder):
 def op12_sentencepiece(spark, folder):
     model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
     return pieces.encode_pieces(table(spark, folder, "documents"), model, with_ids=False)
+
+
+@query(
+    "op13_collocations",
+    "WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w FROM documents), "
+    "o AS (SELECT lang, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i : i + 2])) AS w FROM p), "
+    "g AS MATERIALIZED (SELECT lang, k, array_to_string(w[1 : k], ' ') AS phrase, count(*) AS f FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS k FROM o) GROUP BY ALL), "
+    "n AS (SELECT lang, sum(f) AS n FROM g WHERE k = 1 GROUP BY lang), c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 10), "
+    "parts AS MATERIALIZED (SELECT lang, k, phrase, f AS a, j, array_to_string(w[1 : j], ' ') AS front, array_to_string(w[j + 1 :], ' ') AS back FROM (SELECT *, unnest(range(1, k)) AS j FROM c)), "
+    "cut AS (SELECT p.*, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score FROM parts p JOIN g l ON l.lang = p.lang AND l.phrase = front JOIN g r ON r.lang = p.lang AND r.phrase = back), "
+    "best AS (SELECT lang, phrase, k, a, min((score, j, l, r)) AS m FROM cut GROUP BY ALL), "
+    "inside AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, f, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL), "
+    "left_over AS (SELECT b.lang, b.phrase, a, m[3] AS l, m[4] AS r, m[1]::BIGINT AS score FROM best b LEFT JOIN inside i ON b.k = 2 AND i.lang = b.lang AND i.phrase = b.phrase WHERE i.f IS NULL OR 100 * i.f < 50 * b.a), "
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over) "
+    "SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000",
+)
+def op13_collocations(spark, folder):
+    return collocations.mine_phrases(table(spark, folder, "documents"))
