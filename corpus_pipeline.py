@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, decontaminate, langid, linededup, shingles
+from pagemill.llm import bpe, decontaminate, langid, linededup, simhash
 from pagemill.llm.shared import fold_of, saved
 
 
@@ -19,7 +19,8 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fitted on the labelled rows outside fold 0; documents whose language isn't told with a score of 0.5 go."""
+    """Fitted on the labelled rows outside fold 0; documents whose language isn't told with a score of 0.5 go, those
+    with a null, empty or letterless text among them. Rows without an id are not learnt from; repeated rows share their lot."""
     model = langid.fit(docs.where(F.coalesce(fold_of("doc_id") != 0, F.lit(False))))
     return langid.keep_identified(docs, model)
 
@@ -30,8 +31,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; links are a similarity of 0.8 of shingles of five words."""
-    return shingles.one_of_each(docs, similarity=0.8, shingle=5)
+    """One document of each group stays, the one with the smallest id; links are fingerprints of three-word shingles within
+    three bits. Null and blank texts have fingerprint zero; of repeated rows one stays; rows without an id come last."""
+    return simhash.one_of_each(docs, distance=3, shingle=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, checked by decoding them."""
+    """Token ids of every document, checked by decoding them. A null or empty text has none; repeated rows are encoded each."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN).drop("decoded")
 
