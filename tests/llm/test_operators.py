@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 
 import corpus_pipeline
@@ -223,35 +224,15 @@ def test_simhash(docs, rows):
     assert len(ids) == len(set(root.values())) and sorted(i for i in ids if i is not None) == sorted(least.values())
 
 
-def test_near_duplicates_of_the_pipeline(spark, tmp_path):
-    dice = random.Random(12)
-    vocabulary = [f"w{i}" for i in range(3000)]
-    rows = []
-    for i in range(40):
-        words = [dice.choice(vocabulary) for _ in range(dice.randint(60, 260))] + ["one", "line", "that", "is", "in", "every", "text"]
-        rows.append(words)
-        for _ in range(3):
-            near = list(words)
-            for _ in range(dice.randint(1, 7)):
-                near[dice.randrange(len(near))] = dice.choice(vocabulary)
-            rows.append(near)
-    texts = [" ".join(w) for w in rows] + ["", None, " ", "two words", "Two  words", "two word"]
-    dice.shuffle(texts)
-    sets = []
-    for t in texts:
-        w = (t or "").lower().split()
-        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    root, missed = list(range(len(texts))), 0
-    for i in range(len(texts)):
-        for j in range(i):
-            common, every = len(sets[i] & sets[j]), len(sets[i] | sets[j])
-            if 5 * common >= 4 * every:
-                missed += (simhash.fingerprint((texts[i] or "").encode()) ^ simhash.fingerprint((texts[j] or "").encode())).bit_count() > 3
-                a, b = sorted((root[i], root[j]))
-                root = [a if r == b else r for r in root]
-    assert missed > 20  # three bits do not reach these
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
-    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, str(tmp_path)).collect()) == sorted(set(root))
+def test_near_duplicates_of_the_pipeline(spark, docs, rows, tmp_path):
+    """One document of each group of fingerprints within three bits, the one with the smallest id."""
+    root = groups_of({simhash.fingerprint((t or "").encode()) for _, t in rows})
+    least = {}
+    for i, t in rows:
+        own = root[simhash.fingerprint((t or "").encode())]
+        least[own] = min(least.get(own, LAST), rank(i))
+    kept = [rank(r.doc_id) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    assert sorted(kept) == sorted(least.values())
 
 
 def test_decontamination(spark, docs, rows):
@@ -287,14 +268,67 @@ def test_decontamination(spark, docs, rows):
     assert decontaminate.find_contamination(docs, bench.limit(0)).where("size(spans) > 0 OR size(items) > 0").count() == 0
 
 
-def test_language_id(docs):
-    model = langid.fit(docs)
-    assert model["langs"] == ["en"]
-    for r in langid.predict(docs, model, ["doc_id", "text"]).collect():
-        assert (r.lang_pred == "und" and r.score == 0) == (not any(c.isalpha() for c in r.text or "")) and 0 <= r.score <= 1
-    assert {r.lang_pred for r in langid.predict(docs, langid.fit(docs.limit(0)), ["doc_id"]).collect()} == {"und"}
-    kept = langid.keep_identified(docs, model)
-    assert kept.columns == docs.columns and kept.where("text IS NULL").count() == 0
+def predicted(rows, labelled, settings):
+    """Word first, then ever shorter n-grams, in plain Python over the labelled (lang, text)."""
+    langs = sorted({lang for lang, _ in labelled})
+    counts = {lang: [Counter() for _ in range(settings.longest + 1)] for lang in langs}
+    padded = lambda w, k: [f"<{w}>"[i : i + k] for i in range(len(w) + 3 - k)]
+    words = lambda t: regex.findall(r"\p{L}+", (t or "").lower())
+    for lang, text in labelled:
+        for w in words(text):
+            counts[lang][0][w] += 1
+            for k in range(1, settings.longest + 1):
+                counts[lang][k].update(padded(w, k))
+    known = [set().union(*(counts[lang][k] for lang in langs)) for k in range(settings.longest + 1)]
+
+    def log(lang, k, item):
+        n = counts[lang][k][item]
+        return max(math.log(n / counts[lang][k].total()), settings.low) if n else settings.low
+
+    out = []
+    for text in rows:
+        found = words(text)
+        if not found or not langs:
+            out.append(("und", 0.0))
+            continue
+        total = dict.fromkeys(langs, 0.0)
+        for w in found:
+            k, items = 0, [w]
+            if w not in known[0]:
+                k = next((k for k in range(settings.longest, 0, -1) if not known[k].isdisjoint(padded(w, k))), 1)
+                items = padded(w, k)
+            for lang in langs:
+                total[lang] += sum(log(lang, k, x) for x in items) / len(items) / len(found)
+        most = max(total.values())
+        odds = [math.exp((total[lang] - most) * settings.sharpness) for lang in langs]
+        out.append((langs[odds.index(max(odds))], max(odds) / sum(odds)))
+    return out
+
+
+def test_language_id(spark):
+    dice = random.Random(2)
+    make = {lang: [a + b for a in letters for b in letters] for lang, letters in {"de": "abcdü", "en": "abefg", "fr": "acgéh", "es": "añ"}.items()}
+    rows = [(i, lang, " ".join(dice.choice(make[lang]) + dice.choice(["", "", "x", "ung"]) for _ in range(dice.randint(1, 12)))) for i in range(120) for lang in [dice.choice(list(make))]]
+    rows += [(200, None, "abc"), (201, "en", None), (202, "en", ""), (203, None, "42 ²"), (204, None, "zzz qqq"), (None, None, "ab ab"), (205, "de", "Ab, aB\ncd " * 3000)] + rows[:3]
+    df = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id bigint, lang string, text string, part string, n double").repartition(4)
+    for settings in (langid.Settings(), langid.Settings(longest=2)):
+        for fitted in ([r for r in rows if r[1] and r[0] % 3], rows[:40], []):
+            model = langid.fit(spark.createDataFrame(fitted, "doc_id bigint, lang string, text string"), settings)
+            want = predicted([t for _, _, t in rows], [(lang, t) for _, lang, t in fitted if lang and t is not None], settings)
+            got_ = sorted(((r.doc_id, r.text, r.lang_pred, round(r.score, 4)) for r in langid.predict(df, model, ["doc_id", "text"]).collect()), key=str)
+            assert got_ == sorted(((i, t, lang, round(p, 4)) for (i, _, t), (lang, p) in zip(rows, want, strict=True)), key=str)
+    kept = langid.keep_identified(df, model := langid.fit(df))
+    want = predicted([t for _, _, t in rows], [(lang, t) for _, lang, t in rows if lang and t is not None], langid.Settings())
+    assert kept.columns == df.columns and kept.count() == sum(lang != "und" and p >= 0.5 for lang, p in want)
+    assert langid.predict(df.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_language_sample_holds_the_smallest_hashes(spark):
+    rows = [(i, "en", f"w{i:04d}".translate(str.maketrans("0123456789", "abcdefghij"))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string").repartition(3)
+    model = langid.fit(df, langid.Settings(sample_docs=50))
+    first = [r.text for r in df.selectExpr("text", "xxhash64(doc_id) AS h").orderBy("h").limit(50).collect()]
+    assert len(model["tables"][0].first) == 50 and (model["tables"][0].find(first) >= 0).all()
 
 
 def test_language_id_on_held_out(spark, tables):

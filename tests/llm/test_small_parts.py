@@ -202,13 +202,14 @@ def test_automaton_is_a_distribution():
 
 
 def test_word_first_then_shorter_grams():
-    low = langid.Settings().low
-    tables = [{"the": np.array([-1.0, low])}, {}, {"<x": np.array([-3.0, -2.0])}, {}, {}, {}]
+    low, none = langid.Settings().low, langid.Items([], np.zeros((0, 2), np.float32))
+    tables = [langid.Items(["the"], np.array([[-1.0, low]], np.float32)), none, langid.Items(["<x"], np.array([[-3.0, -2.0]], np.float32)), none, none, none]
     scorer = langid.Scorer({"langs": ["en", "fr"], "tables": tables, "settings": langid.Settings()})
-    assert scorer.word("the").tolist() == [-1.0, low]
-    assert scorer.word("x")[1] > scorer.word("x")[0]  # by its one known pair
-    assert scorer.predict([None, "", "12 ²", "the"]) [0] == ["und", "und", "und", "en"]
-    assert langid.Scorer({"langs": [], "tables": [{}] * 6, "settings": langid.Settings()}).predict(["a"]) == (["und"], [0.0])
+    the, x, y = scorer.words(["the", "x", "y"]).tolist()
+    assert the == [-1.0, low] and y == [low, low]
+    assert x == [(-3 + low) / 2, (-2 + low) / 2]  # by its one known pair of two
+    assert scorer.predict([None, "", "12 ²", "the"])[0] == ["und", "und", "und", "en"]
+    assert langid.Scorer({"langs": [], "tables": [none] * 6, "settings": langid.Settings()}).predict(["a"]) == (["und"], [0.0])
 
 
 def test_every_window_has_one_anchor_of_its_own_content():
