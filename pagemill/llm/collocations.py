@@ -33,7 +33,8 @@ def windows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, w1, w2, w3, f) of all phrases of one to three words that occur ``least`` times or more, and (lang, n)."""
     counted = windows(docs, text_col, lang_col).groupBy("lang", "w1", "w2", "w3").agg(F.count(F.lit(1)).alias("c"))
-    longest = counted.where(F.col("w3").isNotNull()).select("lang", "w1", "w2", "w3", F.col("c").alias("f"), F.lit(0).alias("level"))
+    # the condition on the count keeps this filter above the aggregate, so that both branches read one shuffle
+    longest = counted.where(F.when(F.col("w3").isNotNull(), F.col("c")) >= least).select("lang", "w1", "w2", "w3", F.col("c").alias("f"), F.lit(0).alias("level"))
     # grouping_id: 0 two words (or one at the end of its piece), 1 one word, 3 all words of a language
     shorter = counted.rollup("lang", "w1", "w2").agg(F.sum("c").alias("f"), F.grouping_id().alias("level"))
     shorter = shorter.where("level = 3 OR level = 1 OR (level = 0 AND w2 IS NOT NULL)")
