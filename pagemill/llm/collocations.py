@@ -1,46 +1,101 @@
 """Phrases whose words occur together more often than apart, per language.
 
 Counting starts at the top order alone: at every word there is one window of three lead columns, padded with nulls where
-its piece ends, and only these windows are counted. ROLLUP over the counted windows then sums the shorter prefixes, so
-no n-gram of another length is ever made from the texts. Whatever a phrase is divided by occurs at least as often as the
-phrase itself, so everything below the least count goes right after the counting and the joins that follow are small."""
+its piece ends, and only these windows are counted: within each task first, then after one shuffle by the first two
+words. There the pairs are sums over windows that already lie together, and ROLLUP sums the shorter prefixes, words and
+languages, so no n-gram of another length is ever made from the texts. Whatever a phrase is divided by occurs at least
+as often as the phrase itself, so everything below the least count goes right after the counting and the joins that
+follow are small."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.shared import lower_ascii, parts_for, saved
+from pagemill.llm.shared import LOWER, parts_for, saved, slices
 
 LEAST, TOP, COVERED = 10, 2_000, 50  # least occurrences, rows of a language, per cent of a phrase inside a longer one
-BREAKS, WORD = r"[.,;:!?\x0A-\x0D]", r"[^\x20\x09]+"
+TOKEN = re.compile(r"[.,;:!?\x0A-\x0D]|[^\x20\x09.,;:!?\x0A-\x0D]+")  # a break or a word
+BREAKS = list(".,;:!?\n\x0b\x0c\r")
 SCALE = 1_000_000
 WIDE = "decimal(20,0)"  # counts; products of two have 40 digits and are held in 38, enough for 10^16 occurrences
+HELD, WORDS = 4_000_000, 400_000  # tokens and different words a task counts together; 2^21 words would fit a key
+BITS = 21
+
+
+class WindowCounts:
+    """Windows of the texts seen since the last flush, as numbers of words; number 0 pads."""
+
+    def __init__(self) -> None:
+        self.start()
+
+    def start(self) -> None:
+        self.words: dict[str, int] = dict.fromkeys(BREAKS, 0)
+        self.tokens: dict[str, list[np.ndarray]] = {}
+        self.held = 0
+
+    def add(self, lang: str | None, text: str | None) -> None:
+        found = TOKEN.findall((text or "").translate(LOWER))
+        for new in set(found).difference(self.words):
+            self.words[new] = len(self.words)
+        own = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
+        self.tokens.setdefault("und" if lang is None else lang, []).append(np.append(own, 0))
+        self.held += len(own)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        names = pa.array([None, *list(self.words)[len(BREAKS) :]], pa.string()) if len(self.words) > len(BREAKS) else None
+        for lang, held in self.tokens.items():
+            one = np.concatenate([*held, [0, 0]])
+            two, three = one[1:-1], one[2:]
+            one = one[:-2]
+            key = one << 2 * BITS | two << BITS | np.where(two > 0, three, 0)
+            keys, counts = np.unique(key[one > 0], return_counts=True)
+            for at in range(0, len(keys), 100_000):
+                part = keys[at : at + 100_000]
+                columns = [names.take(pa.array(self._place(part >> shift & (1 << BITS) - 1))) for shift in (2 * BITS, BITS, 0)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), *columns, pa.array(counts[at : at + 100_000], pa.int64())], names=["lang", "w1", "w2", "w3", "c"])
+        self.start()
+
+    @staticmethod
+    def _place(numbers: np.ndarray) -> np.ndarray:
+        return np.where(numbers > 0, numbers - len(BREAKS) + 1, 0)
 
 
 def windows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, w1, w2, w3) at every word of every text; w2 and w3 are null beyond the end of the word's piece."""
-    text = lower_ascii(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und"))
-    # outer generators: for the inner ones the optimizer infers a filter that would cut every text twice
-    pieces = docs.select(lang.alias("lang"), F.explode_outer(F.split(text, BREAKS)).alias("piece"))
-    words = pieces.select("lang", F.regexp_extract_all("piece", F.lit(WORD), F.lit(0)).alias("w"))
-    size = F.greatest(F.size("w"), F.lit(1))
-    lead = F.arrays_zip(F.col("w").alias("w1"), F.slice("w", 2, size).alias("w2"), F.slice("w", 3, size).alias("w3"))
-    return words.select("lang", F.inline_outer(lead)).where("w1 IS NOT NULL")
+    """(lang, w1, w2, w3, c): the windows at every word of every text, counted within each task; w2 and w3 are null
+    beyond the end of the word's piece."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = WindowCounts()
+        for batch in slices(batches):
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                counts.add(lang, text)
+            if counts.held >= HELD or len(counts.words) >= WORDS:
+                yield from counts.flush()
+        yield from counts.flush()
+
+    own = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return own.mapInArrow(count, "lang string, w1 string, w2 string, w3 string, c bigint")
 
 
 def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, w1, w2, w3, f) of all phrases of one to three words that occur ``least`` times or more, and (lang, n)."""
-    counted = windows(docs, text_col, lang_col).groupBy("lang", "w1", "w2", "w3").agg(F.count(F.lit(1)).alias("c"))
-    # the condition on the count keeps this filter above the aggregate, so that both branches read one shuffle
-    longest = counted.where(F.when(F.col("w3").isNotNull(), F.col("c")) >= least).select("lang", "w1", "w2", "w3", F.col("c").alias("f"), F.lit(0).alias("level"))
-    # grouping_id: 0 two words (or one at the end of its piece), 1 one word, 3 all words of a language
-    shorter = counted.rollup("lang", "w1", "w2").agg(F.sum("c").alias("f"), F.grouping_id().alias("level"))
-    shorter = shorter.where("level = 3 OR level = 1 OR (level = 0 AND w2 IS NOT NULL)")
-    both = longest.unionByName(shorter.select("lang", "w1", "w2", F.lit(None).cast("string").alias("w3"), "f", F.col("level").cast("int").alias("level")))
-    kept = saved(both.where((F.col("f") >= least) | (F.col("level") == 3)), "grams")
-    return kept.where("level <> 3").drop("level"), kept.where("level = 3").select("lang", F.col("f").alias("n"))
+    dealt = windows(docs, text_col, lang_col).repartition("lang", "w1", "w2")
+    none = F.lit(None).cast("string")
+    counted = dealt.groupBy("lang", "w1", "w2", "w3").agg(F.sum("c").alias("f"))
+    # a condition on the count keeps the filter above the aggregate, so that all branches read one shuffle
+    longest = counted.where(F.when(F.col("w3").isNotNull(), F.col("f")) >= least).select("lang", "w1", "w2", "w3", "f")
+    pairs = counted.groupBy("lang", "w1", "w2").agg(F.sum("f").alias("f"))
+    enough = pairs.where(F.when(F.col("w2").isNotNull(), F.col("f")) >= least).select("lang", "w1", "w2", none.alias("w3"), "f")
+    shorter = pairs.rollup("lang", "w1").agg(F.sum("f").alias("f"), F.grouping_id().alias("level"))
+    shorter = shorter.where(F.expr(f"level = 1 OR (level = 0 AND f >= {least})")).select("lang", "w1", none.alias("w2"), none.alias("w3"), "f")
+    kept = saved(longest.unionByName(enough).unionByName(shorter), "grams")
+    return kept.where("w1 IS NOT NULL"), kept.where("w1 IS NULL").select("lang", F.col("f").alias("n"))
 
 
 def _score(a: str, left: Column, right: Column) -> Column:

@@ -70,4 +70,26 @@ def test_windows_are_shuffled_once(spark, tables, monkeypatch):
     cl.gram_counts(spark.read.parquet(f"{tables}/documents.parquet"))
     plans[0].collect()
     final = plans[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert final.count("Generate inline") == 1 and "ReusedExchange" in final
+    assert final.count("ReusedExchange") == 2 and final.count("MapInArrow") == 1
+
+
+def test_windows_over_several_flushes(spark, monkeypatch):
+    rows = odd_rows()
+    for held, words in [(1, 10**6), (10**6, 3), (200, 40)]:
+        got = cl.WindowCounts()
+        total = Counter()
+        for lang, text in rows:
+            got.add(lang, text)
+            if got.held >= held or len(got.words) >= words:
+                for b in got.flush():
+                    for r in b.to_pylist():
+                        total[r["lang"], r["w1"], r["w2"], r["w3"]] += r["c"]
+        for b in got.flush():
+            for r in b.to_pylist():
+                total[r["lang"], r["w1"], r["w2"], r["w3"]] += r["c"]
+        want = Counter()
+        for lang, text in rows:
+            for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+                w = re.findall(r"[^\x20\x09]+", piece)
+                want.update(("und" if lang is None else lang, a, *w[i + 1 : i + 3], *[None] * (2 - len(w[i + 1 : i + 3]))) for i, a in enumerate(w))
+        assert total == want
