@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import tree as tr
@@ -8,16 +9,14 @@ from pagemill.operators import outline as ol
 from pagemill.operators import recipes as rc
 from pagemill.operators import values as vl
 
-ROUTE = """<html><head><meta name="citation_author" content="Ilse Brandt"><meta name="citation_author" content="Chidi Okafor">
-<meta name="citation_title" content="Oil lamps of the northern coast"><meta name="viewport" content="initial-scale=1">
-<script type="application/ld+json">{"@type":"Article","datePublished":"1987-11-02"}</script></head><body>
-<header><nav><a href="/visit">Visit</a></nav></header><main><article><h1 class="head">Oil lamps of the northern coast</h1>
-<time datetime="1987-11-02">2 November 1987</time><p class="intro">Where the bronze was cast, which ships carried it and how the lamps were lit.</p>
-<a href="/scans/coast.pdf">Read the scan</a><div class="more"><a href="/1985/03/nails-of-ships">Ship nails, a second long title</a>
-<time>11 March 1985</time></div></article></main><footer>the museum</footer></body></html>"""
-SHIP = ('<main><div class="register"><strong>Register number</strong>: 5120034 <strong>Launched:</strong> Jun 9, 1911 '
-        '<strong>Masters</strong>: Olaf Berg (Bergen, NO), Ana Reis (Porto, PT)</div><a href="/ship/19110005120">19110005120</a></main>')
-NOTICE = "<main><p>Closing: 03-Mar-1994 The harbour trust pays up to DKK 12,500 to keepers of small boats.</p></main>"
+
+def facts_block(pairs, tag="b", name="panel"):
+    """Labelled facts in one block: the label in its own element, the value as the text behind it."""
+    return f'<div class="{name}">' + "\n".join(f"<{tag}>{label}</{tag}>: {value}" for label, value in pairs) + "</div>"
+
+
+def card(href, title, words=0):
+    return f'<section><a href="{href}">{title}</a><p>{"word " * words}</p></section>'
 
 
 def items(spark, *rows):
@@ -32,26 +31,36 @@ def texts(spark, *rows):
 
 
 def test_metadata(spark):
-    rows = items(spark, ("https://lamps.museum/1987/11/coast", ROUTE, "/*/*/"), ("", (
-        '<script type="application/ld+json">{"@graph":[{"@type":"Article","headline":"Y"},'
-        '{"@type":"BreadcrumbList","itemListElement":[{"name":"Start"}]}]}</script>'), ""), ("", '<meta property="og:title" content="Keeper&#8217;s oil &amp; wick">', ""))
-    got = {r.page_id: [(m["kind"] + ":" + m["key"], m["values"]) for m in r.metas] for r in rows.select("page_id", "item.metas").collect()}
-    assert got[0] == [("meta:citation_author", ["Ilse Brandt", "Chidi Okafor"]), ("meta:citation_title", ["Oil lamps of the northern coast"]),
-                      ("ld:@type", ["Article"]), ("ld:datePublished", ["1987-11-02"])]
-    assert got[1] == [("ld:@type", ["Article"]), ("ld:headline", ["Y"])]  # a breadcrumb trail is no content
-    assert got[2] == [("meta:og:title", ["Keeper’s oil & wick"])]
-
-
-def test_content(spark):
-    route, wrap, small_main, hidden = texts(
-        spark, ("https://lamps.museum/1987/11/coast", ROUTE, "/*/*/"),
-        ("", '<div class="sidebar-layout"><aside class="sidebar">tickets</aside><main><section><h1>Tour</h1><p>Starts at noon</p></section></main></div>', ""),
-        ("", "<body><div>what there is to read is beside the main part</div><main>brief</main></body>", ""),
-        ("", '<body><p aria-hidden="true">not read</p><div id="cookie-note">biscuits</div><header>top</header><article><header>mine</header>words</article><i class="sr-only a">spoken</i></body>', ""))
-    assert "Visit" not in route and "Ship nails" not in route and "March 1985" not in route and "Read the scan" in route
-    assert wrap == "Tour\nStarts at noon"  # what is laid out around a sidebar stays
-    assert small_main == "what there is to read is beside the main part\nbrief"
-    assert hidden == "mine\nwords"
+    """Three ways to name a key, repeated keys as lists, look-and-feel keys left out, JSON-LD without its trails."""
+    metas = "".join(f'<meta {way}="k{i}" content="v{i}">' for i, way in enumerate(("name", "property", "itemprop")))
+    again = "".join(f'<meta name="again" content="{v}">' for v in "xyz")
+    looks = '<meta name="robots" content="none"><meta name="csrf-token" content="1"><meta property="og:image" content="i.png">'
+    data = '<script type="application/ld+json">[{"@type": "BreadcrumbList", "name": "way"}, {"@type": "Thing", "weight": 7}]</script>'
+    got = {r.page_id: [(m["kind"] + ":" + m["key"], m["values"]) for m in r.metas] for r in items(
+        spark, ("", metas + again, ""), ("", looks + data, ""), ("", '<meta name="q" content="salt &amp; &#8220;tar&#8221;">', "")).select("page_id", "item.metas").collect()}
+    assert got[0] == [("meta:k0", ["v0"]), ("meta:k1", ["v1"]), ("meta:k2", ["v2"]), ("meta:again", ["x", "y", "z"])]
+    assert got[1] == [("ld:@type", ["Thing"]), ("ld:weight", ["7"])]
+    assert got[2] == [("meta:q", ["salt & “tar”"])]
+
+
+@pytest.mark.parametrize("chrome", ['<nav>{}</nav>', '<footer>{}</footer>', '<div role="navigation">{}</div>', '<p aria-hidden="true">{}</p>', '<div id="cookie-box">{}</div>', '<div class="page-sidebar">{}</div>'])
+def test_site_chrome_goes_unless_it_holds_the_content(spark, chrome):
+    inside, around, named = texts(
+        spark, ("", "<main><p>kept one</p>" + chrome.format("gone") + "<p>kept two</p></main>", ""),
+        ("", "<p>before</p>" + chrome.format("<i>gone</i>" * 3) + "<p>after</p>", ""),
+        ("", '<div class="sidebar-left"><article><h1>Head</h1><p>kept</p></article></div>', ""))
+    assert inside.split("\n") == ["kept one", "kept two"] and around.split("\n") == ["before", "after"]
+    assert named == "Head\nkept"  # a name of the frame does not take the content along
+
+
+def test_cards_of_other_items_go(spark):
+    """A link to another item takes its block along; links elsewhere, short ones and those of numbers stay."""
+    own = "<article><h1>Anchor of 1702</h1><p>" + "iron " * 120 + "</p>"
+    other = card("/iron/nails-of-1690", "Nails that held the hull together")
+    kept = card("/help", "How to read this page, in many words") + card("/iron/x-1", "Short") + card("/iron/n-1", "170211 993844 1203 x")
+    for n in (1, 4):
+        text, = texts(spark, ("https://ropes.works/iron/anchor-of-1702", own + other * n + kept + "</article>", "/iron/"))
+        assert "Nails" not in text and all(t in text for t in ("iron iron", "How to read", "Short", "993844"))
 
 
 def test_cards_shrink_the_blocks_around_them(spark):
@@ -63,33 +72,34 @@ def test_cards_shrink_the_blocks_around_them(spark):
 
 
 META = '<body><p>y</p></body><meta name="k" content="{}">'.format
-BLOCK = ('<main><ul><li>c3</li><li>d4</li><li>c3</li></ul><div class="n"><strong>Register number:</strong> 51,200,349</div>'
-         "<p>m and nn, oo • pp</p></main>")
-SHAPES = [  # html, selector, type, example, fits strictly, fits when graded, value
-    (ROUTE, "article > time", "date", None, True, True, "1987-11-02"),
-    (ROUTE, "article > h1.head", "date", None, False, True, "Oil lamps of the northern coast"),
-    (ROUTE, "article > a", "url", None, True, True, "https://lamps.museum/scans/coast.pdf"),
-    (ROUTE, "article > p.intro", "text", "One or two sentences on what the visitor can see there.", True, True, None),
-    (ROUTE, "article > h1.head", "text", "LM.1987/0042.b", False, True, None),  # an inventory number is expected
-    (META("&lt;LM77&gt;"), "meta:k", "list", None, False, False, None),
-    (META("Bronze; Glass"), "meta:k", "list", None, True, True, ["Bronze", "Glass"]),
-    (META("9f0c2b7e-1111-4a52-8b1d-0a6f5e4d3c2b"), "meta:k", "number", None, False, False, None),
-    (META("23 lamps"), "meta:k", "number", None, True, True, "23 lamps"),
-    (META("https://lamps.museum/mark.svg"), "meta:k", "url", None, False, False, None),
-    (META("On request only"), "meta:k", "date", None, False, True, "On request only"),
-    (META("O. Berg (Bergen, NO)"), "meta:k", "people", None, True, True, ["O. Berg (Bergen, NO)"]),
-    (META("@lampkeeper"), "meta:k", "people", None, False, False, None),
-    (BLOCK, "main > div.n", "text", None, False, True, "51,200,349"),  # mostly digits, unlike the (empty) example
-    (BLOCK, "main > ul", "list", None, False, True, ["c3", "d4"]),  # strictly, tags read like words
-    (BLOCK, "main > p", "list", None, False, True, ["nn", "oo", "pp"]),
-    ("<main><div><div><h1>Cellar</h1></div></div></main>", "main > div", "text", None, False, True, "Cellar"),  # one word is too short without an example
-    # without a label only the first hit counts
-    ('<main><p><a href="#up">up</a></p><p><a href="/down">down</a></p></main>', "main > p", "url", None, False, False, None),
-]
+
+
+def shape_cases():
+    """html, selector, type, example, fits strictly, fits when graded, value: a rule of each type from both sides."""
+    for text, fits, value in (("1702-03-04", True, "1702-03-04"), ("4 March 1702", True, "1702-03-04"), ("Mar 4, 1702", True, "1702-03-04"), ("in due time", False, None)):
+        yield META(text), "meta:k", "date", None, fits, True, value
+    for text in ("7", "7 fathoms", "£1,200.50"):
+        yield META(text), "meta:k", "money", None, True, True, text
+    for text in ("a1b2c3", "https://ropes.works/7", "x" * 70 + " 7"):
+        yield META(text), "meta:k", "number", None, False, False, None
+    for end, fits in (("pdf", True), ("html", True), ("png", False), ("svg", False)):
+        yield META(f"https://ropes.works/f.{end}"), "meta:k", "url", None, fits, fits, f"https://ropes.works/f.{end}" if fits else None
+    for sep in ("; ", ", "):
+        yield META(sep.join(("hemp", "flax", "jute"))), "meta:k", "list", None, True, True, ["hemp", "flax", "jute"]
+    yield META("Hanna Tau; Per Oye (Yard, NO), Ida Roe"), "meta:k", "people", None, True, True, ["Hanna Tau", "Per Oye (Yard, NO)", "Ida Roe"]
+    yield META("mail@ropes.works"), "meta:k", "people", None, False, False, None
+    for n in (2, 5):
+        words = [f"strand{chr(97 + k)}" for k in range(n)]
+        yield "<main><ul>" + "".join(f"<li>{w}</li>" for w in words + words[:1]) + "</ul></main>", "main > ul", "list", None, True, True, words
+    yield "<main><h2>Hold</h2></main>", "main > h2", "text", None, False, True, "Hold"  # one word is too short without an example
+    yield "<main><p>Eighty fathoms of three-strand rope for the bower</p></main>", "main > p", "text", "Forty fathoms of rope for the stern", True, True, None
+
+
+SHAPES = list(shape_cases())
 
 
 def test_values_and_shapes(spark):
-    base = "https://lamps.museum/"
+    base = "https://ropes.works/"
     rows = [(i, base, c[0], "", c[1], c[2], c[3]) for i, c in enumerate(SHAPES)]
     df = rc.with_items(spark.createDataFrame(
         rows, "i int, url string, html string, item_pattern string, path string, kind string, example string"))
@@ -116,26 +126,19 @@ def records(spark, pages, selectors):
 
 
 def test_recipes(spark):
-    one = SHIP.replace("Masters", "Master").replace(", Ana Reis (Porto, PT)", "")
-    got = records(
-        spark,
-        [("https://lamps.museum/ship/1", SHIP, "s", "/ship/"), ("https://lamps.museum/ship/2", one, "s", "/ship/"),
-         ("https://lamps.museum/a", "<main><dl><dt>Ticket price:</dt><dd>€14,50</dd></dl></main>", "t", ""),
-         ("https://lamps.museum/b", "<main><dl><dt>Entry:</dt><dd>€9 with a guide</dd></dl></main>", "t", ""),
-         ("https://lamps.museum/c", NOTICE, "n", "")],
-        [("s", 0, "masters", "people", 0, "kv:div.register || Masters"), ("s", 1, "launched", "date", 0, "kv:div.register || Launched"),
-         ("s", 2, "number", "text", 0, "kv:div.register || Register number"), ("s", 3, "none", "text", 0, "kv:div[k=2] || Launched"),
-         ("t", 0, "price", "money", 1, "dl > dd || Entry:"), ("t", 0, "price", "money", 0, "dl > dd || Ticket price:"),
-         ("n", 0, "closing", "date", 0, r"re:(?i)closing:\s*(\d\d-[A-Za-z]{3}-\d{4})"),
-         ("n", 1, "sum", "money", 0, r"re:pays up to ([A-Z]{3} [\d,]+)"),
-         ("n", 2, "giver", "text", 0, r"re:Giver:\s*(\w+)"), ("n", 3, "bad", "text", 0, "re:)("),
-         ("n", 4, "second", "text", 0, "re:)("), ("n", 4, "second", "text", 1, "re:The (?P<who>harbour) trust")])
-    assert got[("1", "masters")] == ["Olaf Berg (Bergen, NO)", "Ana Reis (Porto, PT)"]
-    assert got[("2", "masters")] == ["Olaf Berg (Bergen, NO)"]  # the label in the singular
-    assert (got[("1", "launched")], got[("1", "number")], got[("1", "none")]) == ("1911-06-09", "5120034", None)
-    assert (got[("a", "price")], got[("b", "price")]) == ("€14,50", "€9 with a guide")
-    assert (got[("c", "closing")], got[("c", "sum")], got[("c", "giver")], got[("c", "bad")], got[("c", "second")]) == (
-        "1994-03-03", "DKK 12,500", None, None, "harbour")
+    """Facts by label, fallbacks in order, typed values, text patterns and what finds nothing."""
+    pages = [(f"https://ropes.works/r/{n}", "<main>" + facts_block([("Length", f"{n * 100} m"), ("Makers" if n > 1 else "Maker", "; ".join(f"Maker {chr(64 + k)}" for k in range(1, n + 1))), ("Sold", f"0{n} May 1760")], tag, name) + f"<p>Cost: {n} crowns.</p></main>", "r", "/r/")
+             for n, (tag, name) in enumerate([("b", "panel"), ("strong", "panel"), ("b", "plate"), ("strong", "plate")], 1)]
+    got = records(spark, pages, [
+        ("r", 0, "length", "number", 0, "kv:div.panel || Length"), ("r", 0, "length", "number", 1, "kv:div.plate || Length"),
+        ("r", 1, "makers", "people", 1, "kv:div.plate || Makers"), ("r", 1, "makers", "people", 0, "kv:div.panel || Makers"),
+        ("r", 2, "sold", "date", 0, "kv:div.panel || Sold"), ("r", 3, "cost", "money", 0, r"re:Cost:\s*(\d+) crowns"),
+        ("r", 4, "weight", "text", 0, "kv:div.panel || Weight"), ("r", 5, "odd", "text", 0, "kv:div[n=1] || Sold"),
+        ("r", 6, "broken", "text", 0, "re:("), ("r", 6, "broken", "text", 1, r"re:Cost: (?P<n>\d+)")])
+    for n in range(1, 5):
+        assert got[str(n), "length"] == f"{n * 100} m" and got[str(n), "makers"] == [f"Maker {chr(64 + k)}" for k in range(1, n + 1)]
+        assert got[str(n), "sold"] == (f"1760-05-0{n}" if n < 3 else None) and got[str(n), "cost"] == str(n)
+        assert (got[str(n), "weight"], got[str(n), "odd"], got[str(n), "broken"]) == (None, None, str(n))
 
 
 def test_recipes_are_joined_alike_without_broadcast(spark):

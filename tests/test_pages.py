@@ -1,38 +1,60 @@
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import facts as fc
 from pagemill.operators import links as lk
 from pagemill.operators import listing as ls
 
-MENU = "<nav>" + "".join(f'<a href="/{s}">{s.title()}</a>' for s in ("museum", "visit", "shop", "press", "friends", "jobs")) + "</nav>"
-CATALOGUE = MENU + "<section>" + "".join(
-    f'<p><a href="/objects/bronze-lamp-{k}/">Bronze lamp from the harbour dig, find {k}</a></p>' for k in range(20, 34)
-) + '<link rel="next" href="/objects/from/14"></section>'
-OBJECT = MENU + '<section><h1>Bronze lamp</h1><a href="/objects/">All objects</a><a href="/scans/lamp.pdf">Scan</a></section>'
-DIARY = MENU + "<section>" + "".join(
-    f'<h3><a href="/diary/19{y}/entry-{y}">Diary of the keeper for the year 19{y}</a></h3>' for y in range(31, 40)) + "</section>"
-BOARD = (
-    "<div>" + "".join(f'<li><a href="/1998/{d:02}/minutes-of-meeting-{d}">Minutes of the harbour board, sitting {d}</a></li>' for d in range(3, 14))
-    + "".join(f'<a href="/find/by_member/{k}/all">Board Member Number {k} (filter)</a>' for k in range(40, 54))
-    + '<nav><a href="?page=0">1</a> <a href="?page=1">2</a> <a href="?page=22">Page 23</a></nav></div>'
-)
+
+
+def anchors(links, wrap="{}"):
+    """(href, text) pairs as markup, each in a wrapping element."""
+    return "".join(wrap.format(f'<a href="{href}">{text}</a>') for href, text in links)
+
+
+def group(folder, n, said="Yearly account number {} of the rope works", slug="account-of-year-{}/"):
+    """n links of one group below a folder."""
+    return [(folder + slug.format(1700 + k), said.format(1700 + k)) for k in range(n)]
 
 
 def pages(spark, *rows):
     return spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
 
 
-def test_lists_items_and_menus(spark):
+@pytest.mark.parametrize("n", [1, 6, 23])
+def test_kids_are_the_biggest_group_of_titled_links(spark, n):
+    """Whatever stands around them: links with short texts don't count, however many, and a page without any has none."""
+    below, beside = group("/ledger/", n), group("/workers/", 4, said="Rope maker {}", slug="hand-{}")
     df = lk.parse_pages(pages(
-        spark, ("https://lamps.museum/objects/", CATALOGUE), ("https://lamps.museum/objects/bronze-lamp-20/", OBJECT),
-        ("https://lamps.museum/", MENU), ("https://lamps.museum/diary/", DIARY), ("https://lamps.museum/board/", BOARD)))
-    got = {r.page_id: r for r in df.collect()}
-    assert [got[i].kids for i in range(5)] == [14, 0, 0, 9, 14]
-    assert got[0].paged and not got[1].paged
-    assert got[1].pdfs == 1 and got[1].h1 == "Bronze lamp"
-    assert got[3].gpath == "/diary/*/" or got[3].item_gpath == "/diary/19" or got[3].kids == 9
-    # dated minutes win over a bigger group of filter links, and the pager in <nav> does not count
-    assert (got[4].item_gpath, got[4].item_count, got[4].paged) == ("/*/*/", 11, False)
+        spark, ("https://ropes.works/ledger/", anchors(beside) + "<ol>" + anchors(below, "<li>{}</li>") + "</ol>"),
+        ("https://ropes.works/workers/", anchors(beside)), ("https://ropes.works" + below[0][0], anchors(beside))))
+    assert [r.kids for r in sorted(df.collect(), key=lambda r: r.page_id)] == [n, 0, 0]
+
+
+@pytest.mark.parametrize(("dated", "other"), [(5, 3), (9, 20), (30, 2)])
+def test_biggest_group_of_titled_links(spark, dated, other):
+    """Links with a title of over 20 characters count; short ones don't, however many there are."""
+    days = [(f"/{1850 + k % 2}/{1 + k % 12:02}/launch-of-the-ship-{k}", f"How ship number {k} left the yard") for k in range(dated)]
+    short = [(f"/sort/by_mast/{k}/rows", f"Masts: {k}") for k in range(40)]
+    long = group("/sort/by_rope/", other, said="Ropes of kind {}, all lengths", slug="{}/rows")
+    r = lk.parse_pages(pages(spark, ("https://ropes.works/yard/", anchors(short) + anchors(long, "<p>{}</p>") + anchors(days, "<div>{}</div>")))).first()
+    assert (r.item_gpath, r.item_count) == ("/*/*/", dated)  # only these look like items
+    assert r.gpath == ("/*/*/" if dated > other else r.gpath) and r.gpath != "/sort/by_mast/*/"
+
+
+def test_pagers_count_outside_the_chrome(spark):
+    controls = ['<link rel="up next" href="/yard/b/">', '<div class="list pager-small">2</div>', '<p class="pagination">2</p>']
+    rows = [("https://ropes.works/yard/", c) for c in controls] + [("https://ropes.works/yard/", f"<nav>{c}</nav>") for c in controls[1:]]
+    got = {r.page_id: r.paged for r in lk.parse_pages(pages(spark, *rows)).collect()}
+    assert [got[i] for i in range(5)] == [True, True, True, False, False]
+
+
+def test_documents_and_headings(spark):
+    html = "<h1>The <i>long</i>\n walk</h1>" + "<a href='plan.pdf'>Plan</a>" * 3 + "<a href='plan.docx'>Text</a>" + "".join(f"<h{2 + k % 2}>part {k}</h{2 + k % 2}>" for k in range(15))
+    r = lk.parse_pages(pages(spark, ("https://ropes.works/walk", html))).first()
+    assert (r.h1, r.pdfs, r.heads) == ("The long walk", 3, [f"part {k}" for k in range(12)])
 
 
 def test_link_texts(spark):
@@ -51,36 +73,38 @@ def test_tolerant_markup(spark):
 
 
 def test_paging_controls(spark):
-    here = "https://lamps.museum/board/"
-    labels = ("next", "NEXT ›", "Next page →", "»", "Load more")  # what such links say
-    cases = [(here, BOARD), (here, '<link rel="start next" href="/board/part/2">'), *[(here, f'<p><a href="?part=2">{t}</a></p>') for t in labels],
-             (here, '<a href="/visit/">Visit</a><a href="/shop/"><img src="cart.svg"></a>'), (here, "<h2>one page only</h2>"),
-             (here, '<a href="?part=2" aria-label="To the next page">&nbsp;</a>')]
+    here = "https://ropes.works/yard/"
+    says = [f"{verb} more" for verb in ("Load", "SHOW", "view")] + ["Older posts", "→"]
+    pager = anchors([(f"?sheet={k}", str(k + 1)) for k in (0, 1, 2, 40)])
+    cases = [(here, pager), (here, '<link rel="first next" href="/yard/sheets/2">'), *[(here, anchors([("?from=50", t)])) for t in says],
+             (here, anchors([("/visit/", "Visit us"), ("/hemp/", "")])), (here, "<p>a single sheet</p>")]
     df = ls.listing_pages(pages(spark, *cases))
     following = ls.next_url(F.col("pager"), F.lit(1))
-    got = sorted((r.n or "", r.c) for r in df.select(following.alias("n"), ls.page_count(F.col("pager"), following).alias("c")).collect())
-    assert got.count((here + "?page=1", 23)) == 1  # counted from 0, ?page=22 is the 23rd
-    assert got.count((here + "?part=2", 2)) == 6
-    assert [g for g in got if g[0].endswith("/part/2")] and got.count(("", None)) == 2
-
-
-CITED = """<html><head><meta name="citation_title" content="Oil lamps of the northern coast">
-<meta name="citation_author" content="Brandt, Ilse"><meta name="citation_author" content="Okafor, Chidi">
-<meta name="citation_publication_date" content="1987/11/02"><meta name="citation_pdf_url" content="https://lamps.museum/p/77.pdf">
-<script type="application/ld+json">{"@graph":[{"@type":"ScholarlyArticle","keywords":["lamps","bronze","coast"]}]}</script>
-<meta name="description" content="Where they were cast and who traded them.">
-</head><body><a href="https://doi.org/10.9876/lamp.77">cite</a><h1>not this one</h1></body></html>"""
-PLAIN = """<div class="page-authors"><a>See More</a><a>@keeper_of_lamps</a><a>Marta Lindqvist</a><a>+2 more</a></div>
-<time datetime="1999-04-30T08:15:00">last spring</time><h1>Notes from the depot</h1>"""
-
-
-def test_facts(spark):
-    df = fc.publication_facts(pages(spark, ("https://lamps.museum/1987/11/oil-lamps", CITED), ("https://lamps.museum/notes/depot", PLAIN)))
-    a, b = sorted(df.collect(), key=lambda r: r.page_id)
-    assert (a.title, a.date, a.authors, a.pdf, a.doi, a.topics, a.schema_type) == (
-        "Oil lamps of the northern coast", "1987/11/02", ["Brandt, Ilse", "Okafor, Chidi"], "https://lamps.museum/p/77.pdf",
-        "10.9876/lamp.77", ["lamps", "bronze", "coast"], "ScholarlyArticle")
-    assert (b.title, b.date, b.authors) == ("Notes from the depot", "1999-04-30", ["Marta Lindqvist"])
+    got = Counter((r.n or "", r.c) for r in df.select(following.alias("n"), ls.page_count(F.col("pager"), following).alias("c")).collect())
+    assert got[here + "?sheet=1", 41] == 1  # counted from 0, ?sheet=40 is the 41st
+    assert sum(c for (n, _), c in got.items() if n == here + "?from=50") == len(says)
+    assert sum(c for (n, _), c in got.items() if n.endswith("/sheets/2")) == 1 and got["", None] == 2
+
+
+def test_facts_by_preference(spark):
+    """Every source of a fact alone, then each pair of sources: the one named first wins."""
+    title = [('<meta name="citation_title" content="{}">', 0), ('<meta name="dc.title" content="{}">', 1), ('<script type="application/ld+json">{{"@type": "Article", "headline": "{}"}}</script>', 2),
+             ('<meta property="og:title" content="{}">', 3), ("<h1>{}</h1>", 4), ("<title>{}</title>", 5)]
+    pairs = [(x, y) for x in title for y in title]
+    rows = [("https://ropes.works/p", y[0].format(f"title {y[1]}") + x[0].format(f"title {x[1]}")) for x, y in pairs]
+    got = {r.page_id: r.title for r in fc.publication_facts(pages(spark, *rows)).collect()}
+    assert got == {i: f"title {min(x[1], y[1])}" for i, (x, y) in enumerate(pairs)}
+
+
+def test_facts_of_people_topics_and_files(spark):
+    many = "".join(f'<meta name="citation_author" content="Maker {chr(65 + k)}, Rope">' for k in range(15))
+    tags = "".join(f'<meta property="article:tag" content="{t}">' for t in ("hemp", " tar ", "hemp"))
+    links = anchors([("/d/first.pdf", "Drawing"), ("/d/second.pdf", "Drawing"), ("https://doi.org/10.5555/rope.walk-3", "cite")])
+    other = '<time datetime="1766-05-04T10:00">in spring</time><div class="author">' + anchors([("/a", "Read more"), ("/b", "Hanna Tau"), ("/c", "+5 others")]) + "</div>"
+    a, b = sorted(fc.publication_facts(pages(spark, ("https://ropes.works/x", many + tags + links), ("https://ropes.works/y", other))).collect(), key=lambda r: r.page_id)
+    assert a.authors == [f"Maker {chr(65 + k)}, Rope" for k in range(12)] and a.topics == ["hemp", "tar"]
+    assert (a.pdf, a.doi) == ("https://ropes.works/d/first.pdf", "10.5555/rope.walk-3")
+    assert (b.date, b.authors) == ("1766-05-04", ["Hanna Tau"])
 
 
 def test_walk_load_more_and_view_all(spark):
