@@ -3,6 +3,7 @@
 from pagemill.plans import (  # noqa: F401
     crawl_queries,
     extraction_queries,
+    learning_queries,
     listing_queries,
     page_queries,
     quality_queries,
