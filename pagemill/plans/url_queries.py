@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
 from pagemill.operators import crawl as cr
+from pagemill.operators import redirects as rd
 from pagemill.plans.catalog import big, query, table
 
 # SQL pieces shared by the texts below; ``{u}`` is the URL expression
@@ -154,3 +156,22 @@ def guessed_urls(spark, folder):
     plans = pages.select(urls.root(F.col("url")).alias("root")).distinct().select(
         F.col("root").alias("site"), "root", names.scalar().alias("names"))
     return cr.guessed_addresses(plans, pages.select(urls.normalise(F.col("url")).alias("url"))).select("url")
+
+
+@query(
+    "canonical_urls",
+    "WITH n AS (SELECT c_custkey AS k, c_custkey // 7 AS g, 'https://www.moved.org/c/' || c_custkey AS url FROM customer), "
+    "c AS (SELECT *, lead(url) OVER (PARTITION BY g ORDER BY k) AS next, last_value(url) OVER (PARTITION BY g ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last, "
+    "count(*) OVER (PARTITION BY g) AS n, min(url) OVER (PARTITION BY g) AS least FROM n) "
+    "SELECT url, CASE WHEN g % 5 = 4 THEN least ELSE last END AS canonical FROM c WHERE next IS NOT NULL OR (g % 5 = 4 AND n > 1)",
+)
+def canonical_urls(spark, folder):
+    """Chains of one to six redirects, and every fifth one a circle; some addresses are also stored as themselves."""
+    keys = table(spark, folder, "customer").select(F.col("c_custkey").alias("k"), F.floor(F.col("c_custkey") / 7).alias("g"))
+    url = F.concat(F.lit("https://WWW.moved.org/c/"), F.col("k").cast("string"))
+    group = Window.partitionBy("g").orderBy("k")
+    first = F.first("k").over(group)
+    to = F.coalesce(F.lead("k").over(group), F.when(F.col("g") % 5 == 4, first))
+    moved = keys.select(url.alias("url"), F.concat(F.lit("https://www.moved.org/c/"), to.cast("string"), F.lit("#top")).alias("final_url"))
+    fetches = moved.unionByName(keys.where("k % 3 = 0").select(url.alias("url"), url.alias("final_url")))
+    return rd.canonical_addresses(rd.redirect_edges(fetches)).select("url", "canonical")
