@@ -136,59 +136,72 @@ def _place() -> Column:
     return F.expr("CAST(rank AS DECIMAL(19, 0)) * 1000000000000000000BD + CAST(pmod(text_key, 1000000000) * 1000000000 + line_no AS DECIMAL(19, 0))").cast("decimal(38,0)")
 
 
-def with_odd_letters(lines: DataFrame) -> DataFrame:
-    """``lines`` (line) with ``letters``: a bit per letter that occurs an odd number of times. An edit changes two of the bits
+def with_odd_letters(lines: DataFrame, *keep: str) -> DataFrame:
+    """``line`` and the columns ``keep`` of ``lines`` with ``letters``: a bit per letter that occurs an odd number of times. An edit changes two of the bits
     at most.
 
     A few letters at a time: each step is a generator of its own, so the compiled code of a step stays small."""
-    lines = lines.select("line", F.lit(0).cast("bigint").alias("letters"))
+    lines = lines.select("line", *keep, F.lit(0).cast("bigint").alias("letters"))
     for at in range(0, len(LETTERS), 5):
         bits = F.col("letters")
         for k, c in enumerate(LETTERS[at : at + 5], at):
             count = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(c), F.lit("")))
             bits = bits + F.shiftleft(count.cast("bigint").bitwiseAND(1), k)
-        lines = lines.select(F.inline_outer(F.array(F.struct("line", bits.alias("letters")))))
+        lines = lines.select(F.inline_outer(F.array(F.struct("line", *keep, bits.alias("letters")))))
     return lines
 
 
-def _keys(lines: DataFrame, pieces, threshold: int, *keep: str) -> DataFrame:
-    """(hash of the line, key) and the columns ``keep`` of ``lines``. Pieces are numbers until they are rows: one small
-    expression per row then reads the text."""
-    cut = lines.select("line", *keep, F.explode_outer(pieces(F.char_length("line"), threshold)).alias("piece"))
-    return cut.select(F.xxhash64("line").alias("h"), piece_key(F.col("line"), F.col("piece")).alias("key"), *keep)
-
-
-def _bucket(h: str) -> Column:
-    return F.pmod(h, F.lit(BUCKETS)).alias("bucket")
+def _marked_keys(lines: DataFrame, threshold: int, *keep: str) -> DataFrame:
+    """(key, mark) and the columns ``keep`` of all probes of every line; ``mark`` is the hash of the line with its last bit set where the probe is
+    one of the line's own segments. Those are among its probes (nothing moved), so one cut serves both sides."""
+    length = F.char_length("line")
+    cut = lines.select("line", *keep, index_pieces(length, threshold).alias("own"), probe_pieces(length, threshold).alias("probes"))
+    cut = cut.select("line", *keep, F.explode_outer(F.transform("probes", lambda p: F.struct(p.alias("piece"), F.array_contains("own", p).cast("bigint").alias("own")))).alias("x"))
+    h = F.xxhash64("line")
+    return cut.select(piece_key(F.col("line"), F.col("x.piece")).alias("key"), (h - h.bitwiseAND(1) + F.col("x.own")).alias("mark"), *keep)
 
 
 def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
     """(h1, h2) of lines within the threshold of a line that starts earlier, from ``lines`` (rank, text_key, line_no,
     line).
 
-    First, without texts and without pairs, the lines that share a key with another line; a line that holds a third of all
-    lines enters the index once. Their texts are fetched (a filter on hash classes of bounded size keeps most others out of
-    the shuffle) and, each text once, joined by key; lines whose odd letters differ in too many places never become a
-    pair, so many variants of one line don't make all their pairs."""
-    index = _keys(lines, index_pieces, threshold).toDF("a", "key").distinct()
-    probe = _keys(lines, probe_pieces, threshold).toDF("b", "key")
-    shared = index.join(probe, (index["key"] == probe["key"]) & (F.col("a") != F.col("b")), "left_semi").select(_bucket("a"))
-    shared = shared.union(probe.join(index, (index["key"] == probe["key"]) & (F.col("a") != F.col("b")), "left_semi").select(_bucket("b")))
-    wanted = shared.distinct()
-    texts = lines.select(*_ids("line"), "line", _place().alias("place")).withColumn("bucket", _bucket("h1")).join(F.broadcast(wanted), "bucket", "left_semi")
+    First, without texts and without pairs, the lines that share a key with another line: one shuffle of two numbers per
+    probe, read once to find the keys with two different lines of which one is there with a segment of its own, and once
+    for the lines that have such a key. Their texts are fetched (a filter on hash classes of bounded size keeps most others out of
+    the shuffle). A line goes for one earlier witness, so every line is first compared with the earliest line that has its
+    key as a segment; only what that leaves is compared with all earlier lines of its keys. Lines whose odd letters
+    differ in too many places never become a pair. So many variants of one line don't make all their pairs."""
+    dealt = _marked_keys(lines, threshold).repartition("key")
+    of = F.shiftright("mark", 1)
+    shared = dealt.groupBy("key").agg(F.min(of).alias("one"), F.max(of).alias("other"), F.max(F.col("mark").bitwiseAND(1)).alias("indexed"))
+    shared = shared.where("indexed = 1 AND one <> other").select("key")
+    # an inner join with keys that occur once: a semi join would be pushed below the shuffle, which then is not shared
+    wanted = dealt.join(shared, "key").select(F.pmod(of, F.lit(BUCKETS)).alias("bucket")).distinct()
+    texts = lines.select(*_ids("line"), "line", _place().alias("place")).withColumn("bucket", F.pmod(F.shiftright("h1", 1), F.lit(BUCKETS))).join(F.broadcast(wanted), "bucket", "left_semi")
     texts = saved(texts.groupBy("h1", "h2", "line").agg(F.min("place").alias("first")), "lines")
-    lettered = with_odd_letters(texts.select("line"))
-    left = _keys(lettered, index_pieces, threshold, "letters").toDF("a", "key", "of_a")
-    right = _keys(lettered, probe_pieces, threshold, "letters").toDF("b", "key", "of_b")
-    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("of_a").bitwiseXOR(F.col("of_b"))) <= 2 * threshold)
-    pairs = left.join(right, (left["key"] == right["key"]) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    whole = texts.select("h1", F.struct("line", "first", "h1", "h2").alias("x"))
-    both = pairs.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
-    in_order = F.char_length("x.line") <= F.char_length("y.line")
-    both = both.select(F.when(in_order, F.struct("x", "y")).otherwise(F.struct(F.col("y").alias("x"), F.col("x").alias("y"))).alias("p")).select("p.x", "p.y")
-    linked = both.where(within(F.col("x.line"), F.col("y.line"), threshold))
-    later = F.when(F.expr("x.first < y.first"), F.col("y")).otherwise(F.col("x"))
-    return linked.select(later.alias("l")).select("l.h1", "l.h2").distinct()
+    lettered = with_odd_letters(texts.select("line", "h1", "h2", "first"), "h1", "h2", "first")
+    members = saved(_marked_keys(lettered, threshold, "h1", "h2", "first", "letters").withColumn("own", F.col("mark").bitwiseAND(1) == 1).drop("mark"), "members")
+    one = F.struct("first", "h1", "h2", "letters")
+    centers = members.where("own").groupBy("key").agg(F.min(one).alias("y"))
+    alike = F.bit_count(F.col("x.letters").bitwiseXOR(F.col("y.letters"))) <= 2 * threshold
+    star = members.select("key", one.alias("x")).join(centers, "key").where((F.col("x.first") != F.col("y.first")) & alike)
+    settled = saved(_later_of_near(star, texts, threshold), "settled")
+    left = members.join(settled, ["h1", "h2"], "left_anti").select("key", one.alias("x"), F.col("own").alias("x_own"))
+    earlier = members.select("key", one.alias("y"), F.col("own").alias("y_own"))
+    rest = left.join(earlier, "key").where(alike & (F.col("y.first") < F.col("x.first")) & (F.col("x_own") | F.col("y_own")))
+    return settled.unionByName(_later_of_near(rest, texts, threshold)).distinct()
+
+
+def _later_of_near(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(h1, h2) of the later line of each of the ``pairs`` (x, y) that is within the threshold; ``texts`` (h1, h2, line)."""
+    in_order = F.expr("x.first > y.first")
+    later, before = F.when(in_order, F.col("x")).otherwise(F.col("y")), F.when(in_order, F.col("y")).otherwise(F.col("x"))
+    single = pairs.select(later.alias("l"), before.alias("b")).select(F.col("l.h1").alias("h1"), F.col("l.h2").alias("h2"), F.col("b.h1").alias("b1"), F.col("b.h2").alias("b2")).distinct()
+    both = single.join(texts.select("h1", "h2", "line"), ["h1", "h2"]).join(texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("other")), ["b1", "b2"])
+    shorter = F.char_length("line") <= F.char_length("other")
+    p = F.when(shorter, F.struct(F.col("line").alias("s"), F.col("other").alias("l"))).otherwise(F.struct(F.col("other").alias("s"), F.col("line").alias("l")))
+    ordered = both.select("h1", "h2", p.alias("p"))
+    return ordered.where(within(F.col("p.s"), F.col("p.l"), threshold)).select("h1", "h2").distinct()
 
 
 def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
