@@ -84,16 +84,20 @@ def windows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 
 
 def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(lang, w1, w2, w3, f) of all phrases of one to three words that occur ``least`` times or more, and (lang, n)."""
+    """(lang, w1, w2, w3, f, last) of all phrases of one to three words that occur ``least`` times or more (``last``: at
+    windows that reach the end of their piece), and (lang, n)."""
     dealt = windows(docs, text_col, lang_col).repartition("lang", "w1", "w2")
     none = F.lit(None).cast("string")
-    counted = dealt.groupBy("lang", "w1", "w2", "w3").agg(F.sum("c").alias("f"))
-    # a condition on the count keeps the filter above the aggregate, so that all branches read one shuffle
-    longest = counted.where(F.when(F.col("w3").isNotNull(), F.col("f")) >= least).select("lang", "w1", "w2", "w3", "f")
-    pairs = counted.groupBy("lang", "w1", "w2").agg(F.sum("f").alias("f"))
-    enough = pairs.where(F.when(F.col("w2").isNotNull(), F.col("f")) >= least).select("lang", "w1", "w2", none.alias("w3"), "f")
-    shorter = pairs.rollup("lang", "w1").agg(F.sum("f").alias("f"), F.grouping_id().alias("level"))
-    shorter = shorter.where(F.expr(f"level = 1 OR (level = 0 AND f >= {least})")).select("lang", "w1", none.alias("w2"), none.alias("w3"), "f")
+    # ``last``, how often a phrase ends its piece, needs the columns that pad: so all three branches read one shuffle
+    last = F.sum(F.when(F.col("w2").isNull() | F.col("w3").isNull(), F.col("c")).otherwise(0)).alias("last")
+    counted = dealt.groupBy("lang", "w1", "w2", "w3").agg(F.sum("c").alias("f"), last)
+    # a condition on the count keeps the filter above the aggregate
+    longest = counted.where(F.when(F.col("w3").isNotNull(), F.col("f")) >= least).select("lang", "w1", "w2", "w3", "f", "last")
+    pairs = dealt.groupBy("lang", "w1", "w2").agg(F.sum("c").alias("f"), last)
+    enough = pairs.where(F.when(F.col("w2").isNotNull(), F.col("f")) >= least).select("lang", "w1", "w2", none.alias("w3"), "f", "last")
+    words = dealt.groupBy("lang", "w1").agg(F.sum("c").alias("f"), last)
+    shorter = words.rollup("lang", "w1").agg(F.sum("f").alias("f"), F.sum("last").alias("last"), F.grouping_id().alias("level"))
+    shorter = shorter.where(F.expr(f"level = 1 OR (level = 0 AND f >= {least})")).select("lang", "w1", none.alias("w2"), none.alias("w3"), "f", "last")
     kept = saved(longest.unionByName(enough).unionByName(shorter), "grams")
     return kept.where("w1 IS NOT NULL"), kept.where("w1 IS NULL").select("lang", F.col("f").alias("n"))
 
