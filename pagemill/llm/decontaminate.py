@@ -208,9 +208,9 @@ def _merged(firsts: list[int], ends: list[int]) -> list[dict[str, int]]:
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     """The items in blocks of bounded size; each is fetched only when its turn comes."""
-    own = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    own = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).where("text IS NOT NULL")
     n = -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
-    return [own.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)] if n > 1 else [own]
+    return [own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [own]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None, with_cut: bool = False) -> DataFrame:
@@ -220,7 +220,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     ``benchmark`` (item_id, text) is searched for in blocks of ``block_bytes``; each block is one more narrow step over
     the documents that adds to the spans found so far, so nothing is shuffled. Texts that are null or have no words
-    give 0 words and no spans; items without words or id have no window; repeated items count once; repeated rows of
+    give 0 words and no spans; items without words have no window; items without id hit words and are one
+    item, a null at the end of ``items``; repeated items count once; repeated rows of
     ``docs`` are judged each; other columns are not looked at; an empty benchmark finds nothing."""
     spark = docs.sparkSession
     own = docs.select(*([F.col(id_col).cast("bigint").alias("doc_id")] if keep is None else keep), F.col(text_col).cast("string").cast("binary").alias("__text"))
@@ -245,7 +246,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                     firsts = [*(starts[hit] - edges[r]).tolist(), *(s["first"] for s in spans[r])]
                     ends = [*(starts[hit] - edges[r] + lengths[hit]).tolist(), *(s["end"] for s in spans[r])]
                     spans[r] = _merged(firsts, ends)
-                    found[r] = sorted({*found[r], *(phrases.names[i] for i in np.unique(items[hit]).tolist())})
+                    found[r] = sorted({*found[r], *(phrases.names[i] for i in np.unique(items[hit]).tolist())}, key=lambda name: (name is None, name or ""))
                 out = {c: batch.column(c) for c in carried} | {"n_words": pa.array(map(len, texts), pa.int64())}
                 out |= {"spans": pa.array(spans, span_type), "items": pa.array(found, pa.list_(pa.string()))}
                 if with_cut:

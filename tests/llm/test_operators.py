@@ -237,8 +237,9 @@ def test_near_duplicates_of_the_pipeline(spark, docs, rows, tmp_path):
 
 def test_decontamination(spark, docs, rows):
     items = [("b1", " ".join((rows[0][1] or "x y").split()[:15])), ("b2", "ünïcode ä ß"), ("a3", None), (None, "a b"), ("c4", "  "), ("c5", "zz"), ("c5", "zz"), ("d6", rows[5][1])]
+    items += [(None, " ".join((rows[7][1] or "x y").split()[:4]))]
     bench = spark.createDataFrame(items, "item_id string, text string")
-    usable = [(n, (t or "").encode()) for n, t in items if n is not None]
+    usable = [(n, (t or "").encode()) for n, t in items]
     words = decontaminate.words_of
     owners = {}
     for n, t in usable:
@@ -253,7 +254,8 @@ def test_decontamination(spark, docs, rows):
                 if tuple(w[at : at + len(phrase)]) == phrase:
                     hit |= set(range(at, at + len(phrase)))
                     names |= who
-        want.append((i, len(w), len(hit), sorted(names)))
+        want.append((i, len(w), len(hit), sorted(names, key=lambda n: (n is None, n or ""))))
+    assert any(None in w[3] for w in want)  # an item without id hits words
     for block in (1 << 20, 40):  # one block, and many
         found = decontaminate.find_contamination(docs, bench, block_bytes=block)
         assert sorted(((r.doc_id, r.n_words, sum(s.end - s.first for s in r.spans), r["items"]) for r in found.collect()), key=str) == sorted(want, key=str)
