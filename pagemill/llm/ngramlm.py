@@ -1,12 +1,18 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Every n-gram of the training texts is counted and makes an arc; every context has a failure arc to the next shorter one,
-which carries the backoff weight. Nothing is pruned, so arcs and failure arcs are Spark tables, keyed by 64-bit hashes of
-their words, and grow with the input. Texts that were learnt from find their longest n-grams at once; the others follow
-failure arcs, a join per order. Arcs with a share of at least ``gram_share`` of the tokens (so at most 1 / share of them
-per order) are broadcast as well and looked up where texts are read, which keeps hot keys out of the joins. In the same
-way words with a share of at least ``word_share`` are broadcast with their counts; all other words enter with their exact
-counts through a join. Neither share changes a result."""
+States are contexts of no word, one word and two words. Every trigram and bigram of the training texts is an arc, none is
+pruned; a state without an arc for a word passes along its failure arc, with the failure arc's weight, to the state of the
+next shorter context. Probabilities are interpolated, so a state's arcs and its failure arc share out exactly one:
+
+    p(c)      = (n(c) + 0.5) / (N + 0.5 * (V + 1))
+    p(c|b)    = (n(b c) + prior * p(c)) / (n(b) + prior)
+    p(c|a b)  = (max(n(a b c) - discount, 0) + discount * k(a b) * p(c|b)) / n(a b),  k: different words after a b
+
+Texts are dealt to shards of bounded size. A shard asks once for each of its different n-grams: one shuffle by the first
+two words counts all n-grams over the training texts, and the counts go back to the shards that asked. A shard then builds
+the part of the automaton its texts can reach and walks every text from left to right, carrying the state. What is counted
+grows with the input; only words with a share of at least ``word_share`` of the tokens (so at most 1 / share) are broadcast,
+as short numbers with their counts. Other words are known by 63 bits of their hash and counted in the same shuffle."""
 
 from __future__ import annotations
 
@@ -18,25 +24,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.repeats import MULTIPLIER, mix
 from pagemill.llm.shared import received, saved, ship, slices
 
 END = b" "  # no word holds a blank
 FLUSH = 400_000  # distinct items a counting task holds before it hands them on
-HASHES = 1_000_000  # word hashes a task remembers before it starts anew
-MEMO = 1_000_000  # transitions a scoring task remembers before it starts anew
+NOTHING = 1 << 62  # in place of the word after the end
+ALONE = NOTHING + 1  # in place of the second and third word where a word alone is counted
 
 
 @dataclass(frozen=True)
 class Settings:
-    order: int = 3
     word_share: float = 1e-6
-    gram_share: float = 1e-5
     discount: float = 0.75
+    prior: float = 100.0  # tokens that the word frequencies weigh against what followed a word
+    shard_bytes: int = 4 << 20  # of text; a longer text is a shard of its own size
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -65,214 +69,101 @@ def _counts(total: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
 
 
-class Hasher:
-    """Hashes of the n-grams of texts: of a word as in Spark's xxhash64, of more words from that of all but the last."""
+class Shard:
+    """The texts of a shard as numbers, and its different n-grams in an order that depends on the texts alone.
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
+    ``names``: its words' numbers, sorted; ``tokens``: places in ``names``, all texts in a row; ``pairs`` and ``grams``: its
+    different bigrams and trigrams, each as place of the front times ``width`` plus place of the last word, where
+    ``width - 1`` stands for nothing after the end."""
 
-    def grams(self, texts: list[bytes | None], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The sizes of the texts in words, and for n = 1, 2 .. order the hash of the n-gram that starts at each word of
-        the texts in a row (also of those that reach into the next text)."""
-        if len(self.known) > HASHES:
-            self.known = {}
-        known, words, sizes = self.known, [], []
+    def __init__(self, texts: list[bytes | None], ranks: dict[bytes, int]):
+        words: list[bytes] = []
+        sizes = []
         for text in texts:
             own = tokens_of(text)
             words += own
             sizes.append(len(own))
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w, 42)
-        one = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        out = [one]
-        for n in range(2, order + 1):
-            out.append(mix(out[-1][: max(0, len(one) - n + 1)] * np.uint64(MULTIPLIER) + one[n - 1 :]))
-        return np.array(sizes, np.int64), out
-
-
-def count_grams(texts: DataFrame, order: int) -> DataFrame:
-    """(size, gram, context, shorter, n) of every n-gram of 2 to ``order`` words: ``context`` lacks its last word, ``shorter``
-    its first; added up for each slice of texts before anything is shuffled."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in slices(batches):
-            sizes, hashes = hasher.grams(batch.column("text").to_pylist(), order)
-            left = np.repeat(np.cumsum(sizes), sizes) - np.arange(sizes.sum())  # words from here to the end of the text
-            for n in range(2, order + 1):
-                at = np.flatnonzero(left >= n)
-                if not len(at):
-                    continue
-                gram, first, many = np.unique(hashes[n - 1][at], return_index=True, return_counts=True)
-                at = at[first]
-                columns = {"gram": gram, "context": hashes[n - 2][at], "shorter": hashes[n - 2][at + 1]}
-                yield pa.RecordBatch.from_pydict({"size": pa.array(np.full(len(at), n, np.int32))} | {k: pa.array(v.view(np.int64)) for k, v in columns.items()} | {"n": pa.array(many.astype(np.int64))})
-
-    counted = texts.mapInArrow(count, "size int, gram bigint, context bigint, shorter bigint, n bigint")
-    return counted.groupBy("size", "gram").agg(F.min("context").alias("context"), F.min("shorter").alias("shorter"), F.sum("n").alias("n"))
+        number = {w: ranks[w] if w in ranks else -1 - (xxhash.xxh64_intdigest(w, 42) >> 1) for w in set(words)}
+        self.sizes = np.array(sizes, np.int64)
+        self.names, self.tokens = np.unique(np.fromiter(map(number.__getitem__, words), np.int64, len(words)), return_inverse=True)
+        self.width = len(self.names) + 1
+        left = np.repeat(np.cumsum(self.sizes), self.sizes) - np.arange(len(self.tokens))  # words from here to the end of the text
+        self.at = np.flatnonzero(left >= 2)
+        third = self.tokens[np.minimum(self.at + 2, len(self.tokens) - 1)]
+        self.pairs, front = np.unique(self.tokens[self.at] * self.width + self.tokens[self.at + 1], return_inverse=True)
+        self.grams, self.gram_of = np.unique(front * self.width + np.where(left[self.at] >= 3, third, self.width - 1), return_inverse=True)
+
+    def wanted(self, learnt: np.ndarray) -> dict[str, np.ndarray]:
+        """The n-grams to count and the words without a rank: ``place`` (words come after the n-grams), three words and how
+        often they occur in the texts that are ``learnt``."""
+        own = np.repeat(learnt, self.sizes).astype(np.float64)
+        pair, last = np.divmod(self.grams, self.width)
+        first, second = np.divmod(self.pairs[pair], self.width)
+        rare = np.flatnonzero(self.names < 0)
+        names = np.append(self.names, NOTHING)
+        alone = np.full(len(rare), ALONE)
+        return {
+            "place": np.concatenate([np.arange(len(self.grams)), len(self.grams) + rare]),
+            "a": np.concatenate([names[first], names[rare]]), "b": np.concatenate([names[second], alone]), "c": np.concatenate([names[last], alone]),
+            "n": np.concatenate([np.bincount(self.gram_of, own[self.at], len(self.grams)), np.bincount(self.tokens, own, len(self.names))[rare]]).astype(np.int64),
+        }
 
 
 class Automaton:
-    """The automaton in one process, for n-grams that fit into its memory; the tables of :func:`train` are held against it.
-
-    States are contexts (word numbers); state 0 is the empty one. The last word number stands for all rare words."""
-
-    def __init__(self, words: list[bytes], counts: list[int], tokens: int, kinds: int, grams: dict[tuple[int, ...], int], discount: float):
-        self.place = {w: i for i, w in enumerate(words)}
-        self.rare = len(words)
-        self.known = np.array([*counts, 0]) > 0
-        floor = tokens + 0.5 * (kinds + 1)
-        self.base = [math.log10((c + 0.5) / floor) for c in counts] + [0.0]  # a rare word's own part is added later
-        single = [(c + 0.5) / floor for c in counts]
-        followers: dict[tuple[int, ...], dict[int, int]] = {}
-        for gram, n in grams.items():
-            followers.setdefault(gram[:-1], {})[gram[-1]] = n
-        contexts = sorted(followers, key=len)
-        self.number = {(): 0} | {c: i + 1 for i, c in enumerate(contexts)}
-        self.fail, self.weight = [0] * (len(contexts) + 1), [0.0] * (len(contexts) + 1)
-        self.arcs: dict[tuple[int, int], float] = {}
-        for context in contexts:
-            state = self.number[context]
-            self.fail[state] = self._longest(context[1:])
-            total = counts[context[0]] if len(context) == 1 else grams[context]
-            own = {w: (n - discount) / total for w, n in followers[context].items()}
-            lower = sum(self._probability(self.fail[state], w, single) for w in own)
-            self.weight[state] = math.log10(max(1e-12, 1 - sum(own.values())) / max(1e-12, 1 - lower))
-            self.arcs |= {(state, w): math.log10(p) for w, p in own.items()}
-        self.context = [(), *contexts]
-        self.memo: dict[int, tuple[float, int]] = {}
-
-    def _longest(self, context: tuple[int, ...]) -> int:
-        while context not in self.number:
-            context = context[1:]
-        return self.number[context]
-
-    def _probability(self, state: int, word: int, single: list[float]) -> float:
-        weight = 0.0
-        while state and (state, word) not in self.arcs:
-            weight += self.weight[state]
-            state = self.fail[state]
-        return 10 ** (weight + self.arcs[state, word]) if state else 10**weight * single[word]
-
-    def step(self, state: int, word: int) -> tuple[float, int]:
-        """Log probability of a word after a state, without the rare word's own part, and the state that follows."""
-        context, score = self.context[state], 0.0
-        while state and (state, word) not in self.arcs:
-            score += self.weight[state]
-            state = self.fail[state]
-        score += self.arcs[state, word] if state else self.base[word]
-        return score, 0 if word == self.rare else self._longest((*context, word))
-
-    def score(self, words: list[int]) -> float:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, width, state, total = self.memo, self.rare + 1, 0, 0.0
-        for w in words:
-            key = state * width + w
-            known = memo.get(key)
-            if known is None:
-                known = memo[key] = self.step(state, w)
-            total += known[0]
-            state = known[1]
+    """The part of the automaton that the texts of a shard can reach.
+
+    State 0 is the empty context, then come the shard's words and its bigrams. ``n_gram``, ``n_pair`` and ``kinds`` hold, per
+    n-gram of the shard, its count, that of its first two words and how many different words follow these."""
+
+    def __init__(self, shard: Shard, n_word: np.ndarray, n_gram: np.ndarray, n_pair: np.ndarray, kinds: np.ndarray, floor: float, settings: Settings):
+        words, width = len(shard.names), shard.width
+        self.base = np.log10((n_word + 0.5) / floor)
+        single = (n_word + 0.5) / floor
+        pair, last = np.divmod(shard.grams, width)
+        total, after = np.zeros(len(shard.pairs)), np.zeros(len(shard.pairs))
+        total[pair], after[pair] = n_pair, kinds
+        first, second = np.divmod(shard.pairs, width)
+        likely = (total + settings.prior * single[second]) / (n_word[first] + settings.prior)
+        held = np.maximum(after, 1.0) * settings.discount / np.maximum(total, 1.0)  # what a bigram's failure arc carries
+        met = np.flatnonzero(total > 0)
+        full = np.flatnonzero((n_gram > 0) & (last < words))
+        to = np.searchsorted(shard.pairs, second[pair[full]] * width + last[full])  # the last two words of these
+        chance = (n_gram[full] - settings.discount) / total[pair[full]] + held[pair[full]] * likely[to]
+        keys = np.concatenate([np.arange(words), (1 + first[met]) * words + second[met], (1 + words + pair[full]) * words + last[full]])
+        gains = np.concatenate([self.base, np.log10(likely[met]), np.log10(chance)])
+        ends = np.concatenate([np.where(n_word > 0, 1 + np.arange(words), 0), 1 + words + met, 1 + words + to])
+        self.words = words
+        self.arcs = dict(zip(keys.tolist(), zip(gains.tolist(), ends.tolist(), strict=True), strict=True))
+        self.fail = np.concatenate([np.zeros(1 + words, np.int64), 1 + second]).tolist()
+        self.weight = np.concatenate([[0.0], np.log10(settings.prior / (n_word + settings.prior)), np.log10(held)]).tolist()
+
+    def score(self, tokens: list[int]) -> float:
+        """Log probability of a text, its words taken from left to right."""
+        find, words, fail, weight = self.arcs.get, self.words, self.fail, self.weight
+        state, total = 0, 0.0
+        for w in tokens:
+            arc = find(state * words + w)
+            while arc is None:
+                total += weight[state]
+                state = fail[state]
+                arc = find(state * words + w)
+            total += arc[0]
+            state = arc[1]
         return total
 
 
-@dataclass
-class Model:
-    words: list[bytes]  # the frequent ones
-    sizes: list[int]
-    counts: DataFrame  # word, n: all words
-    tokens: int
-    kinds: int
-    arcs: DataFrame  # gram, n, gain: log10 of the probability over that of the last word alone
-    failures: DataFrame  # context, weight (log10)
-
-    @property
-    def floor(self) -> float:
-        return self.tokens + 0.5 * (self.kinds + 1)
+ASKED = "at bigint, a bigint, b bigint, c bigint, n bigint"
+SCORED = "doc_id bigint, learnt boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def train(texts: DataFrame, settings: Settings = Settings()) -> Model:
-    """The model from a binary column ``text``."""
-    counts = saved(count_words(texts), "words")
-    tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    rows = counts.where(F.col("n") >= max(1.0, settings.word_share * tokens)).toArrow().to_pydict()
-    grams = saved(count_grams(texts, settings.order), "grams")
-    single = (F.col("n") + 0.5) / float(tokens + 0.5 * (kinds + 1))
-    below = counts.select(F.xxhash64("word").alias("shorter"), single.alias("lower"), F.log10(single).alias("base"))
-    arcs, failures = [], []
-    for size in range(2, settings.order + 1):
-        own = grams.where(F.col("size") == size).drop("size")
-        total = own.groupBy("context").agg(F.sum("n").alias("total"))
-        made = own.join(total, "context").join(below, "shorter")
-        made = saved(made.select("gram", "context", "n", ((F.col("n") - settings.discount) / F.col("total")).alias("p"), "lower", "base"), "arcs")
-        left = [F.greatest(F.lit(1e-12), 1 - F.sum(c)) for c in ("p", "lower")]
-        failures.append(saved(made.groupBy("context").agg(F.log10(left[0] / left[1]).alias("weight")), "failures"))
-        arcs.append(made.select("gram", "n", (F.log10("p") - F.col("base")).alias("gain")))
-        below = made.select(F.col("gram").alias("shorter"), F.col("p").alias("lower"), "base")
-    none = grams.limit(0)
-    all_arcs, all_failures = none.select("gram", "n", F.lit(0.0).alias("gain")), none.select("context", F.lit(0.0).alias("weight"))
-    for more, fail in zip(arcs, failures, strict=True):
-        all_arcs, all_failures = all_arcs.union(more), all_failures.union(fail)
-    return Model(rows["word"], rows["n"], counts, tokens, kinds, all_arcs, all_failures)
-
-
-def gains(texts: DataFrame, model: Model, settings: Settings) -> DataFrame:
-    """(row, gain) from (row, text, learnt): what the contexts of a text's words add to its score. Rows without any are left
-    out."""
-    spark, order = texts.sparkSession, settings.order
-    hot = model.arcs.where(F.col("n") >= max(2.0, settings.gram_share * model.tokens)).select("gram", "gain").toArrow()
-    grams, values = hot.column("gram").to_numpy(), hot.column("gain").to_numpy()
-    held = ship(spark, (np.sort(grams), values[np.argsort(grams)]))
-
-    def places(narrow: bool):
-        names = ["gram"] if narrow else [f"{c}{n}" for n in range(order, 1, -1) for c in ("gram", "context")]
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hasher, (keys, worth) = Hasher(), received(held)
-            for batch in slices(batches):
-                sizes, hashes = hasher.grams(batch.column("text").to_pylist(), order)
-                row = np.repeat(batch.column("row").to_numpy(), sizes)
-                before = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # words of the text before this one
-                for n in range(2, order + 1):  # words whose longest n-gram has n words
-                    at = np.flatnonzero(before >= n - 1 if n == order else before == n - 1)
-                    if not len(at):
-                        continue
-                    longest = hashes[n - 1][at - n + 1].view(np.int64)
-                    found = np.minimum(np.searchsorted(keys, longest), max(0, len(keys) - 1))
-                    hit = keys[found] == longest if len(keys) else np.zeros(len(at), bool)
-                    if hit.any():
-                        rows, which = np.unique(row[at[hit]], return_inverse=True)
-                        yield _places(names, {"row": rows, "gain": np.bincount(which, weights=worth[found[hit]])})
-                    at, longest = at[~hit], longest[~hit]
-                    columns = {"row": row[at], "gain": np.zeros(len(at))}
-                    if narrow:
-                        columns["gram"] = longest
-                    else:
-                        for k in range(n, 1, -1):
-                            columns |= {f"gram{k}": hashes[k - 1][at - k + 1].view(np.int64), f"context{k}": hashes[k - 2][at - k + 1].view(np.int64)}
-                    yield _places(names, columns)
-
-        return work, "row bigint, gain double, " + ", ".join(f"{c} bigint" for c in names)
-
-    known = texts.where("learnt").select("row", "text").mapInArrow(*places(True))  # every n-gram of these has an arc
-    parts = known.where("gram IS NULL").select("row", "gain")
-    parts = parts.union(known.where("gram IS NOT NULL").select("row", "gram").join(model.arcs.select("gram", "gain"), "gram").select("row", "gain"))
-    todo = saved(texts.where("NOT learnt").select("row", "text").mapInArrow(*places(False)), "places")
-    for n in range(order, 1, -1):
-        gram, context, rest = f"gram{n}", f"context{n}", [f"{c}{k}" for k in range(n - 1, 1, -1) for c in ("gram", "context")]
-        shorter = todo.where(F.col(gram).isNull()).select("row", "gain", *rest)  # the text's second word, or a hot arc's sum
-        tried = todo.where(F.col(gram).isNotNull()).join(model.arcs.select(F.col("gram").alias(gram), F.col("gain").alias("arc")), gram, "left")
-        tried = saved(tried.select("row", (F.col("gain") + F.coalesce("arc", F.lit(0.0))).alias("gain"), F.col("arc").isNotNull().alias("found"), context, *rest), "tried")
-        parts = parts.union(tried.where("found").select("row", "gain"))
-        failed = tried.where("NOT found").join(model.failures.select(F.col("context").alias(context), "weight"), context, "left")
-        todo = shorter.union(failed.select("row", (F.col("gain") + F.coalesce("weight", F.lit(0.0))).alias("gain"), *rest))
-    return parts.union(todo.select("row", "gain")).groupBy("row").agg(F.sum("gain").alias("gain"))
-
-
-def _places(names: list[str], columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    n = len(columns["row"])
-    return pa.RecordBatch.from_pydict({c: pa.array(columns[c]) if c in columns else pa.nulls(n, pa.int64()) for c in ("row", "gain", *names)})
+def counted(asked: DataFrame) -> DataFrame:
+    """(at, n_gram, n_pair, kinds) per row of ``asked`` (at, a, b, c, n): the sum of ``n`` of its three words, that of its
+    first two, and how many different words follow these. Each (at, a, b, c) occurs once."""
+    gram, pair = Window.partitionBy("a", "b", "c"), Window.partitionBy("a", "b")
+    rows = asked.repartition("a", "b").withColumn("n_gram", F.sum("n").over(gram)).withColumn("one", F.min("at").over(gram) == F.col("at"))
+    new = F.when(F.col("one") & (F.col("n_gram") > 0) & (F.col("c") != NOTHING), 1).otherwise(0)
+    rows = rows.withColumn("n_pair", F.sum("n").over(pair)).withColumn("kinds", F.sum(new).over(pair))
+    return rows.where("n_pair > 0").select("at", "n_gram", "n_pair", "kinds")
 
 
 def score_texts(docs: DataFrame, learn_from: str, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,34 +172,45 @@ def score_texts(docs: DataFrame, learn_from: str, settings: Settings = Settings(
 
     score: log10 probability of the text's tokens (its words and one end) under the backoff model; base_score: under the
     smoothed word frequencies alone. A null text is an empty one: its end is its only token. Rows are scored each, also
-    repeated ones; other columns are not looked at. Without any row to learn from every token is unknown."""
+    repeated ones; other columns are not looked at. Without any row to learn from every token is unknown. An empty table
+    gives an empty one."""
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.coalesce(F.expr(learn_from), F.lit(False)).alias("learnt"))
-    texts = saved(own.withColumn("row", F.monotonically_increasing_id()), "texts")
-    model = train(texts.where("learnt").select("text"), settings)
-    gained = gains(texts, model, settings)
-    floor = float(model.floor)
-    held = ship(docs.sparkSession, dict(zip(model.words, ((n, math.log10((n + 0.5) / floor)) for n in model.sizes), strict=True)))
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = received(held)
-        for batch in slices(batches):
-            out: dict[str, list] = {c: [] for c in ("n_tokens", "n_known", "base", "rare")}
-            for text in batch.column("text").to_pylist():
-                words = Counter(tokens_of(text))
-                here = [(n, frequent[w]) for w, n in words.items() if w in frequent]
-                out["n_tokens"].append(words.total())
-                out["n_known"].append(sum(n for n, (count, _) in here if count))
-                out["base"].append(sum(n * base for n, (_, base) in here))
-                out["rare"].append([{"word": w, "n": n} for w, n in words.items() if w not in frequent])
-            kinds_ = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "rare": pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))}
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("doc_id", "learnt", "row")} | {c: pa.array(out[c], k) for c, k in kinds_.items()})
-
-    walked = saved(texts.mapInArrow(walk, "doc_id bigint, learnt boolean, row bigint, n_tokens bigint, n_known bigint, base double, rare array<struct<word: binary, n: bigint>>"), "walked")
-    rare = walked.select("row", F.inline("rare").alias("word", "times"))
-    least = max(1.0, settings.word_share * model.tokens)
-    parts = rare.join(model.counts.where(F.col("n") < least), "word", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / floor)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("met"))
-    joined = walked.drop("rare").join(parts, "row", "left").join(gained, "row", "left").withColumn("base_score", F.col("base") + F.coalesce("more", F.lit(0.0)))
-    return joined.select(
-        "doc_id", "learnt", "n_tokens", (F.col("n_known") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        "base_score", (F.col("base_score") + F.coalesce("gain", F.lit(0.0))).alias("score"))
+    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = 1 + size // settings.shard_bytes
+    texts = saved(own.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))), "texts")
+    counts = saved(count_words(texts.where("learnt").select("text")), "words")
+    tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    floor = float(tokens + 0.5 * (kinds + 1))
+    rows = counts.where(F.col("n") >= max(1.0, settings.word_share * tokens)).orderBy(F.desc("n"), "word").toArrow()
+    held = ship(docs.sparkSession, ({w: i for i, w in enumerate(rows.column("word").to_pylist())}, rows.column("n").to_numpy().astype(np.float64)))
+
+    def ask(table: pa.Table) -> pa.Table:
+        shard = Shard(table.column("text").to_pylist(), received(held)[0])
+        out = shard.wanted(table.column("learnt").to_numpy().astype(bool))
+        at = out.pop("place") + (table.column("shard")[0].as_py() << 32)
+        return pa.table({"at": at} | out)
+
+    def walk(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        ranks, often = received(held)
+        shard = Shard(texts.column("text").to_pylist(), ranks)
+        grams = len(shard.grams)
+        found = np.zeros((3, grams + len(shard.names)))
+        at = answers.column("at").to_numpy() & 0xFFFFFFFF
+        for i, c in enumerate(("n_gram", "n_pair", "kinds")):
+            found[i, at] = answers.column(c).to_numpy()
+        n_word = found[0, grams:].copy()
+        ranked = shard.names >= 0
+        n_word[ranked] = often[shard.names[ranked]]
+        automaton = Automaton(shard, n_word, *found[:, :grams], floor, settings)
+        ends = np.cumsum(shard.sizes)
+        begins = ends - shard.sizes
+        known, base = (n_word > 0).astype(np.int64)[shard.tokens], automaton.base[shard.tokens]
+        scores = [automaton.score(shard.tokens[i:j].tolist()) for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
+        return pa.table({
+            "doc_id": texts.column("doc_id"), "learnt": texts.column("learnt"), "n_tokens": shard.sizes, "n_known": np.add.reduceat(known, begins),
+            "base_score": [math.fsum(base[i:j]) for i, j in zip(begins.tolist(), ends.tolist(), strict=True)], "score": pa.array(scores, pa.float64())})
+
+    asked = texts.groupBy("shard").applyInArrow(ask, ASKED)
+    answers = counted(asked).withColumn("shard", F.shiftright("at", 32))
+    scored = texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(walk, SCORED)
+    return scored.select("doc_id", "learnt", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -345,7 +345,7 @@ def test_lm(docs, rows):
     split = lambda t: [*(t or "").encode().lower().split(), b" "]
     counts = Counter(w for (_, t), own in zip(rows, learn, strict=True) if own for w in split(t))
     total, floor = sum(counts.values()), sum(counts.values()) + 0.5 * (len(counts) + 1)
-    for settings in (ngramlm.Settings(), ngramlm.Settings(word_share=0.01, gram_share=0.01)):
+    for settings in (ngramlm.Settings(), ngramlm.Settings(word_share=0.01, shard_bytes=2000)):
         out = ngramlm.score_texts(docs, "crc32(cast(doc_id AS string)) % 5 <> 1", settings).collect()
         want = sorted(((i, own, len(split(t)), sum(counts[w] > 0 for w in split(t)), total, round(sum(math.log10((counts[w] + 0.5) / floor) for w in split(t)), 6)) for (i, t), own in zip(rows, learn, strict=True)), key=str)
         assert sorted(((r.doc_id, r.learnt, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out), key=str) == want
@@ -354,19 +354,29 @@ def test_lm(docs, rows):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in empty)
 
 
-def test_lm_holds_every_gram_of_the_training_texts(docs, rows):
+def test_lm_against_counts_of_all_training_texts(docs, rows):
+    """Every probability straight from dictionaries of all n-grams, without states, arcs or shards."""
     split = lambda t: [*(t or "").encode().lower().split(), b" "]
     learn = [i is not None and zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows]
     texts = [split(t) for (_, t), own in zip(rows, learn, strict=True) if own]
-    counts = Counter(w for t in texts for w in t)
-    place = {w: k for k, w in enumerate(counts)}
-    grams = Counter(tuple(place[w] for w in t[i : i + n]) for t in texts for n in (2, 3) for i in range(len(t) - n + 1))
-    total, floor = counts.total(), counts.total() + 0.5 * (len(counts) + 1)
-    whole = ngramlm.Automaton(list(counts), list(counts.values()), total, len(counts), grams, 0.75)
-    score = lambda t: whole.score([place.get(w, whole.rare) for w in t]) + sum(math.log10(0.5 / floor) for w in t if w not in place)
+    n = Counter(tuple(t[i : i + k]) for t in texts for k in (1, 2, 3) for i in range(len(t) - k + 1))
+    followers = Counter(g[:-1] for g in n)
+    total = sum(c for g, c in n.items() if len(g) == 1)
+    floor = total + 0.5 * (sum(len(g) == 1 for g in n) + 1)
+    discount, prior = ngramlm.Settings().discount, ngramlm.Settings().prior
+
+    def p(c, before):
+        if not before:
+            return (n[c,] + 0.5) / floor
+        if len(before) == 1:
+            return (n[*before, c] + prior * p(c, ())) / (n[before] + prior)
+        lower = p(c, before[1:])
+        return (max(n[*before, c] - discount, 0) + discount * followers[before] * lower) / n[before] if n[before] else lower
+
+    score = lambda t: sum(math.log10(p(w, tuple(t[max(0, i - 2) : i]))) for i, w in enumerate(t))
     want = sorted(((i, own, round(score(split(t)), 5)) for (i, t), own in zip(rows, learn, strict=True)), key=str)
-    assert any(n == 1 for n in grams.values()) and sum(not own for own in learn) > 5
-    for settings in (ngramlm.Settings(), ngramlm.Settings(word_share=0.01, gram_share=0.01), ngramlm.Settings(gram_share=0.5)):
+    assert any(c == 1 for c in n.values()) and sum(not own for own in learn) > 5
+    for settings in (ngramlm.Settings(), ngramlm.Settings(word_share=0.01, shard_bytes=3000), ngramlm.Settings(word_share=0.5)):
         out = ngramlm.score_texts(docs, "crc32(cast(doc_id AS string)) % 5 <> 1", settings).collect()
         assert sorted(((r.doc_id, r.learnt, round(r.score, 5)) for r in out), key=str) == want
 

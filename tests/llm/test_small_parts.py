@@ -2,6 +2,7 @@
 
 import base64
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -191,14 +192,27 @@ def test_rotation_is_orthogonal_and_balanced():
 
 
 def test_automaton_is_a_distribution():
-    words, counts = [b"a", b"b", b" "], [50, 30, 20]
-    grams = {(0, 1): 20, (0, 0): 10, (1, 2): 15, (0, 0, 1): 5}
-    automaton = ngramlm.Automaton(words, counts, 110, 5, grams, 0.75)
-    left = 1 - sum((c + 0.5) / (110 + 0.5 * 6) for c in counts)  # two rare words and the unknown
-    for state in range(len(automaton.fail)):
-        total = sum(10 ** automaton.step(state, w)[0] for w in range(3)) + 10 ** automaton.step(state, automaton.rare)[0] * left
+    """After each context the chances of all words, one unknown one among them, add up to one."""
+    texts = [b"a b a a b", b"a a b c", b"b c a", None]
+    own = [ngramlm.tokens_of(t) for t in texts]
+    n = Counter(tuple(t[i : i + k]) for t in own for k in (1, 2, 3) for i in range(len(t) - k + 1))
+    vocabulary = sorted({w for t in own for w in t})
+    floor = sum(map(len, own)) + 0.5 * (len(vocabulary) + 1)
+    for before in ([], [b"a"], [b"c"], [b"a", b"b"], [b"a", b"a"], [b"c", b"c"], [b"zz"], [b"a", b"zz"]):
+        total = 0.0
+        for last in [*vocabulary, b"unknown"]:
+            words = [*before, last]
+            shard = ngramlm.Shard([b" ".join(w for w in words if w != ngramlm.END)] if last != ngramlm.END else [b" ".join(before)], {})
+            number = {-1 - (xxhash.xxh64_intdigest(w, 42) >> 1): w for w in [*vocabulary, *words]}
+            name = [number[i] for i in shard.names.tolist()]
+            pair, third = np.divmod(shard.grams, shard.width)
+            first, second = np.divmod(shard.pairs[pair], shard.width)
+            grams = [(name[a], name[b], name[c] if c < len(name) else None) for a, b, c in zip(first.tolist(), second.tolist(), third.tolist(), strict=True)]
+            counts = [np.array(v, float) for v in ([n[w,] for w in name], [n[g] for g in grams], [n[g[:2]] for g in grams], [sum(len(m) == 3 and m[:2] == g[:2] for m in n) for g in grams])]
+            automaton = ngramlm.Automaton(shard, *counts, floor, ngramlm.Settings(prior=2.0))
+            tokens = shard.tokens.tolist()
+            total += 10 ** (automaton.score(tokens[: len(words)]) - automaton.score(tokens[: len(before)]))
         assert total == pytest.approx(1, abs=1e-9)
-    assert automaton.score([0, 0, 1]) == pytest.approx(sum((automaton.step(0, 0)[0], automaton.step(automaton.number[0,], 0)[0], automaton.step(automaton.number[0, 0], 1)[0])))
 
 
 def test_word_first_then_shorter_grams():
