@@ -5,14 +5,16 @@ pruned; a state without an arc for a word passes along its failure arc, with the
 next shorter context. Probabilities are interpolated, so a state's arcs and its failure arc share out exactly one:
 
     p(c)      = (n(c) + 0.5) / (N + 0.5 * (V + 1))
-    p(c|b)    = (n(b c) + prior * p(c)) / (n(b) + prior)
-    p(c|a b)  = (max(n(a b c) - discount, 0) + discount * k(a b) * p(c|b)) / n(a b),  k: different words after a b
+    p(c|b)    = (n(b c) + priors[0] * p(c)) / (n(b) + priors[0])
+    p(c|a b)  = (n(a b c) + priors[1] * p(c|b)) / (n(a b) + priors[1])
 
-Texts are dealt to shards of bounded size. A shard asks once for each of its different n-grams: one shuffle by the first
-two words counts all n-grams over the training texts, and the counts go back to the shards that asked. A shard then builds
-the part of the automaton its texts can reach and walks every text from left to right, carrying the state. What is counted
-grows with the input; only words with a share of at least ``word_share`` of the tokens (so at most 1 / share) are broadcast,
-as short numbers with their counts. Other words are known by 63 bits of their hash and counted in the same shuffle."""
+Texts are packed into shards of bounded size. A shard asks once for the count of each of its different n-grams, with its
+own share of it: they are dealt by their hash to groups of bounded size, in blocks of one shard and group each, where the
+shares are summed; the sums go back in the order in which they were asked for. An n-gram comes once per shard, so none is
+hot. A shard then builds the part of the automaton its texts can reach and walks every text from left to right, carrying
+the state. What is counted grows with the input; only words with a share of at least ``word_share`` of the tokens (so at
+most 1 / share) are broadcast, as short numbers with their counts. Other words are known by 63 bits of their hash and
+counted like the longer n-grams."""
 
 from __future__ import annotations
 
@@ -24,23 +26,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.repeats import MULTIPLIER, mix
 from pagemill.llm.shared import received, saved, ship, slices
 
 END = b" "  # no word holds a blank
 FLUSH = 400_000  # distinct items a counting task holds before it hands them on
-NOTHING = 1 << 62  # in place of the word after the end
-ALONE = NOTHING + 1  # in place of the second and third word where a word alone is counted
+ALONE = 1 << 62  # in place of the words that a shorter n-gram lacks
 
 
 @dataclass(frozen=True)
 class Settings:
     word_share: float = 1e-6
-    discount: float = 0.75
-    prior: float = 100.0  # tokens that the word frequencies weigh against what followed a word
+    priors: tuple[float, float] = (100.0, 20.0)  # tokens that the next shorter context weighs against what followed a context
     shard_bytes: int = 4 << 20  # of text; a longer text is a shard of its own size
+    group_bytes: int = 2 << 20  # of all texts, per group of n-grams
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -73,8 +75,7 @@ class Shard:
     """The texts of a shard as numbers, and its different n-grams in an order that depends on the texts alone.
 
     ``names``: its words' numbers, sorted; ``tokens``: places in ``names``, all texts in a row; ``pairs`` and ``grams``: its
-    different bigrams and trigrams, each as place of the front times ``width`` plus place of the last word, where
-    ``width - 1`` stands for nothing after the end."""
+    different bigrams and trigrams, each as place of the front times the number of words plus place of the last word."""
 
     def __init__(self, texts: list[bytes | None], ranks: dict[bytes, int]):
         words: list[bytes] = []
@@ -86,56 +87,90 @@ class Shard:
         number = {w: ranks[w] if w in ranks else -1 - (xxhash.xxh64_intdigest(w, 42) >> 1) for w in set(words)}
         self.sizes = np.array(sizes, np.int64)
         self.names, self.tokens = np.unique(np.fromiter(map(number.__getitem__, words), np.int64, len(words)), return_inverse=True)
-        self.width = len(self.names) + 1
+        self.rare, width = np.flatnonzero(self.names < 0), len(self.names)
         left = np.repeat(np.cumsum(self.sizes), self.sizes) - np.arange(len(self.tokens))  # words from here to the end of the text
-        self.at = np.flatnonzero(left >= 2)
-        third = self.tokens[np.minimum(self.at + 2, len(self.tokens) - 1)]
-        self.pairs, front = np.unique(self.tokens[self.at] * self.width + self.tokens[self.at + 1], return_inverse=True)
-        self.grams, self.gram_of = np.unique(front * self.width + np.where(left[self.at] >= 3, third, self.width - 1), return_inverse=True)
-
-    def wanted(self, learnt: np.ndarray) -> dict[str, np.ndarray]:
-        """The n-grams to count and the words without a rank: ``place`` (words come after the n-grams), three words and how
-        often they occur in the texts that are ``learnt``."""
+        self.pair_at = np.flatnonzero(left >= 2)
+        self.pairs, self.pair_of = np.unique(self.tokens[self.pair_at] * width + self.tokens[self.pair_at + 1], return_inverse=True)
+        more = left[self.pair_at] >= 3
+        self.gram_at = self.pair_at[more]
+        self.grams, self.gram_of = np.unique(self.pair_of[more] * width + self.tokens[self.gram_at + 2], return_inverse=True)
+
+    def wanted(self) -> tuple[np.ndarray, np.ndarray]:
+        """What is to be counted: words without a rank, then bigrams, then trigrams, as three rows of numbers of words, and a
+        hash of each."""
+        first, second = np.divmod(self.pairs, len(self.names))
+        pair, last = np.divmod(self.grams, len(self.names))
+        lone = np.full(len(self.rare) + len(self.pairs), ALONE)
+        keys = np.stack([
+            self.names[np.concatenate([self.rare, first, first[pair]])],
+            np.concatenate([lone[: len(self.rare)], self.names[second], self.names[second[pair]]]),
+            np.concatenate([lone, self.names[last]]),
+        ])
+        return keys, hashes(keys)
+
+    def shares(self, learnt: np.ndarray) -> np.ndarray:
+        """How often each of what is wanted occurs in the texts that are ``learnt``."""
         own = np.repeat(learnt, self.sizes).astype(np.float64)
-        pair, last = np.divmod(self.grams, self.width)
-        first, second = np.divmod(self.pairs[pair], self.width)
-        rare = np.flatnonzero(self.names < 0)
-        names = np.append(self.names, NOTHING)
-        alone = np.full(len(rare), ALONE)
-        return {
-            "place": np.concatenate([np.arange(len(self.grams)), len(self.grams) + rare]),
-            "a": np.concatenate([names[first], names[rare]]), "b": np.concatenate([names[second], alone]), "c": np.concatenate([names[last], alone]),
-            "n": np.concatenate([np.bincount(self.gram_of, own[self.at], len(self.grams)), np.bincount(self.tokens, own, len(self.names))[rare]]).astype(np.int64),
-        }
+        parts = [(self.tokens, own, len(self.names)), (self.pair_of, own[self.pair_at], len(self.pairs)), (self.gram_of, own[self.gram_at], len(self.grams))]
+        words, pairs, grams = (np.bincount(of, n, size) for of, n, size in parts)
+        return np.concatenate([words[self.rare], pairs, grams]).astype(np.int64)
+
+
+def hashes(keys: np.ndarray) -> np.ndarray:
+    """A number per column of three numbers."""
+    out = np.zeros(keys.shape[1], np.uint64)
+    for row in keys:
+        out = mix(out * np.uint64(MULTIPLIER) + row.view(np.uint64))
+    return out
+
+
+def block(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, compressed: all first bytes, then all second bytes and so on."""
+    return pa.compress(np.ascontiguousarray(np.ascontiguousarray(numbers, np.int64).reshape(-1, 1).view(np.uint8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unblock(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).reshape(n)
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For every column of ``keys`` the sum of ``n`` over all columns equal to it."""
+    h = hashes(keys)
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = (keys[:, order[1:]] != keys[:, order[:-1]]).any(axis=0)
+    if new.sum() != 1 + np.count_nonzero(h[order[1:]] != h[order[:-1]]):  # two n-grams share a hash
+        order = np.lexsort(keys)
+        new[1:] = (keys[:, order[1:]] != keys[:, order[:-1]]).any(axis=0)
+    out = np.empty(len(n), np.int64)
+    out[order] = np.add.reduceat(n[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out
 
 
 class Automaton:
-    """The part of the automaton that the texts of a shard can reach.
+    """The part of the automaton that the texts of a shard can reach, from the counts of its words, bigrams and trigrams.
 
-    State 0 is the empty context, then come the shard's words and its bigrams. ``n_gram``, ``n_pair`` and ``kinds`` hold, per
-    n-gram of the shard, its count, that of its first two words and how many different words follow these."""
+    State 0 is the empty context, then come the shard's words and its bigrams."""
 
-    def __init__(self, shard: Shard, n_word: np.ndarray, n_gram: np.ndarray, n_pair: np.ndarray, kinds: np.ndarray, floor: float, settings: Settings):
-        words, width = len(shard.names), shard.width
-        self.base = np.log10((n_word + 0.5) / floor)
+    def __init__(self, shard: Shard, n_word: np.ndarray, n_pair: np.ndarray, n_gram: np.ndarray, floor: float, priors: tuple[float, float]):
+        words = len(shard.names)
         single = (n_word + 0.5) / floor
-        pair, last = np.divmod(shard.grams, width)
-        total, after = np.zeros(len(shard.pairs)), np.zeros(len(shard.pairs))
-        total[pair], after[pair] = n_pair, kinds
-        first, second = np.divmod(shard.pairs, width)
-        likely = (total + settings.prior * single[second]) / (n_word[first] + settings.prior)
-        held = np.maximum(after, 1.0) * settings.discount / np.maximum(total, 1.0)  # what a bigram's failure arc carries
-        met = np.flatnonzero(total > 0)
-        full = np.flatnonzero((n_gram > 0) & (last < words))
-        to = np.searchsorted(shard.pairs, second[pair[full]] * width + last[full])  # the last two words of these
-        chance = (n_gram[full] - settings.discount) / total[pair[full]] + held[pair[full]] * likely[to]
-        keys = np.concatenate([np.arange(words), (1 + first[met]) * words + second[met], (1 + words + pair[full]) * words + last[full]])
+        self.base = np.log10(single)
+        first, second = np.divmod(shard.pairs, words)
+        pair, last = np.divmod(shard.grams, words)
+        likely = (n_pair + priors[0] * single[second]) / (n_word[first] + priors[0])
+        met, full = np.flatnonzero(n_pair > 0), np.flatnonzero(n_gram > 0)
+        front = pair[full]
+        to = np.searchsorted(shard.pairs, second[front] * words + last[full])  # the last two words of these
+        chance = (n_gram[full] + priors[1] * likely[to]) / (n_pair[front] + priors[1])
+        keys = np.concatenate([np.arange(words), (1 + first[met]) * words + second[met], (1 + words + front) * words + last[full]])
         gains = np.concatenate([self.base, np.log10(likely[met]), np.log10(chance)])
         ends = np.concatenate([np.where(n_word > 0, 1 + np.arange(words), 0), 1 + words + met, 1 + words + to])
         self.words = words
         self.arcs = dict(zip(keys.tolist(), zip(gains.tolist(), ends.tolist(), strict=True), strict=True))
         self.fail = np.concatenate([np.zeros(1 + words, np.int64), 1 + second]).tolist()
-        self.weight = np.concatenate([[0.0], np.log10(settings.prior / (n_word + settings.prior)), np.log10(held)]).tolist()
+        self.weight = np.concatenate([[0.0], *(np.log10(prior / (n + prior)) for prior, n in zip(priors, (n_word, n_pair), strict=True))]).tolist()
 
     def score(self, tokens: list[int]) -> float:
         """Log probability of a text, its words taken from left to right."""
@@ -152,18 +187,41 @@ class Automaton:
         return total
 
 
-ASKED = "at bigint, a bigint, b bigint, c bigint, n bigint"
+ASKED = "part bigint, shard bigint, many bigint, a binary, b binary, c binary, n binary"
 SCORED = "doc_id bigint, learnt boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def counted(asked: DataFrame) -> DataFrame:
-    """(at, n_gram, n_pair, kinds) per row of ``asked`` (at, a, b, c, n): the sum of ``n`` of its three words, that of its
-    first two, and how many different words follow these. Each (at, a, b, c) occurs once."""
-    gram, pair = Window.partitionBy("a", "b", "c"), Window.partitionBy("a", "b")
-    rows = asked.repartition("a", "b").withColumn("n_gram", F.sum("n").over(gram)).withColumn("one", F.min("at").over(gram) == F.col("at"))
-    new = F.when(F.col("one") & (F.col("n_gram") > 0) & (F.col("c") != NOTHING), 1).otherwise(0)
-    rows = rows.withColumn("n_pair", F.sum("n").over(pair)).withColumn("kinds", F.sum(new).over(pair))
-    return rows.where("n_pair > 0").select("at", "n_gram", "n_pair", "kinds")
+def pack(texts: DataFrame, most: int) -> DataFrame:
+    """(shard, packed): the rows of ``texts`` in compressed Arrow streams of about ``most`` bytes of text, one row at least."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in slices(batches, most=max(1, most // 4)):
+            if held and size + batch.nbytes > most:
+                yield _packed(held)
+                held, size = [], 0
+            held.append(batch)
+            size += batch.nbytes
+        if held:
+            yield _packed(held)
+
+    return saved(texts.mapInArrow(work, "packed binary").withColumn("shard", F.monotonically_increasing_id()), "shards")
+
+
+def _packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for batch in batches:
+            out.write_batch(batch)
+    return pa.RecordBatch.from_pydict({"packed": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def count_asked(table: pa.Table) -> pa.Table:
+    """The blocks of one group of n-grams, answered: the sums over all of them, in the order of each block."""
+    many = table.column("many").to_pylist()
+    columns = [np.concatenate([unblock(d, n) for d, n in zip(table.column(c).to_pylist(), many, strict=True)]) for c in ("a", "b", "c", "n")]
+    total = np.split(summed(np.stack(columns[:3]), columns[3]), np.cumsum(many)[:-1])
+    return pa.table({"part": table.column("part"), "shard": table.column("shard"), "many": table.column("many"), "n": pa.array([block(t) for t in total], pa.binary())})
 
 
 def score_texts(docs: DataFrame, learn_from: str, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,42 +233,54 @@ def score_texts(docs: DataFrame, learn_from: str, settings: Settings = Settings(
     repeated ones; other columns are not looked at. Without any row to learn from every token is unknown. An empty table
     gives an empty one."""
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.coalesce(F.expr(learn_from), F.lit(False)).alias("learnt"))
-    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = 1 + size // settings.shard_bytes
-    texts = saved(own.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))), "texts")
-    counts = saved(count_words(texts.where("learnt").select("text")), "words")
+    size = own.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    parts = 1 + size // settings.group_bytes
+    counts = saved(count_words(own.where("learnt").select("text")), "words")
     tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     floor = float(tokens + 0.5 * (kinds + 1))
     rows = counts.where(F.col("n") >= max(1.0, settings.word_share * tokens)).orderBy(F.desc("n"), "word").toArrow()
     held = ship(docs.sparkSession, ({w: i for i, w in enumerate(rows.column("word").to_pylist())}, rows.column("n").to_numpy().astype(np.float64)))
-
-    def ask(table: pa.Table) -> pa.Table:
-        shard = Shard(table.column("text").to_pylist(), received(held)[0])
-        out = shard.wanted(table.column("learnt").to_numpy().astype(bool))
-        at = out.pop("place") + (table.column("shard")[0].as_py() << 32)
-        return pa.table({"at": at} | out)
-
-    def walk(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    shards = pack(own, settings.shard_bytes)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = received(held)[0]
+        for batch in batches:
+            for number, packed in zip(batch.column("shard").to_pylist(), batch.column("packed"), strict=True):
+                texts = pa.ipc.open_stream(packed.as_buffer()).read_all()
+                shard = Shard(texts.column("text").to_pylist(), ranks)
+                keys, h = shard.wanted()
+                n = shard.shares(texts.column("learnt").to_numpy().astype(bool))
+                part = (h % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                which, begin = np.unique(part[order], return_index=True)
+                out = {"part": which, "shard": np.full(len(which), number), "many": np.diff(np.append(begin, len(order)))}
+                for c, values in zip("abcn", (*keys, n), strict=True):
+                    out[c] = pa.array([block(v) for v in np.split(values[order], begin[1:])] if len(which) else [], pa.binary())
+                yield pa.RecordBatch.from_pydict(out)
+
+    def walk(packed: pa.Table, answers: pa.Table) -> pa.Table:
         ranks, often = received(held)
+        texts = pa.ipc.open_stream(packed.column("packed")[0].as_buffer()).read_all()
         shard = Shard(texts.column("text").to_pylist(), ranks)
-        grams = len(shard.grams)
-        found = np.zeros((3, grams + len(shard.names)))
-        at = answers.column("at").to_numpy() & 0xFFFFFFFF
-        for i, c in enumerate(("n_gram", "n_pair", "kinds")):
-            found[i, at] = answers.column(c).to_numpy()
-        n_word = found[0, grams:].copy()
+        order = np.argsort((shard.wanted()[1] % np.uint64(parts)).astype(np.int64), kind="stable")
+        found = np.zeros(len(order))
+        if len(order):
+            answers = answers.sort_by("part")
+            found[order] = np.concatenate([unblock(d, n) for d, n in zip(answers.column("n").to_pylist(), answers.column("many").to_pylist(), strict=True)])
+        n_rare, n_pair, n_gram = np.split(found, np.cumsum([len(shard.rare), len(shard.pairs)]))
+        n_word = np.zeros(len(shard.names))
+        n_word[shard.rare] = n_rare
         ranked = shard.names >= 0
         n_word[ranked] = often[shard.names[ranked]]
-        automaton = Automaton(shard, n_word, *found[:, :grams], floor, settings)
+        automaton = Automaton(shard, n_word, n_pair, n_gram, floor, settings.priors)
         ends = np.cumsum(shard.sizes)
         begins = ends - shard.sizes
         known, base = (n_word > 0).astype(np.int64)[shard.tokens], automaton.base[shard.tokens]
-        scores = [automaton.score(shard.tokens[i:j].tolist()) for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
+        spans = list(zip(begins.tolist(), ends.tolist(), strict=True))
         return pa.table({
             "doc_id": texts.column("doc_id"), "learnt": texts.column("learnt"), "n_tokens": shard.sizes, "n_known": np.add.reduceat(known, begins),
-            "base_score": [math.fsum(base[i:j]) for i, j in zip(begins.tolist(), ends.tolist(), strict=True)], "score": pa.array(scores, pa.float64())})
+            "base_score": [math.fsum(base[i:j]) for i, j in spans], "score": [automaton.score(shard.tokens[i:j].tolist()) for i, j in spans]})
 
-    asked = texts.groupBy("shard").applyInArrow(ask, ASKED)
-    answers = counted(asked).withColumn("shard", F.shiftright("at", 32))
-    scored = texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(walk, SCORED)
+    answers = shards.mapInArrow(ask, ASKED).groupBy("part").applyInArrow(count_asked, "part bigint, shard bigint, many bigint, n binary")
+    scored = shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(walk, SCORED)
     return scored.select("doc_id", "learnt", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

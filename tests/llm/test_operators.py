@@ -360,23 +360,20 @@ def test_lm_against_counts_of_all_training_texts(docs, rows):
     learn = [i is not None and zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows]
     texts = [split(t) for (_, t), own in zip(rows, learn, strict=True) if own]
     n = Counter(tuple(t[i : i + k]) for t in texts for k in (1, 2, 3) for i in range(len(t) - k + 1))
-    followers = Counter(g[:-1] for g in n)
     total = sum(c for g, c in n.items() if len(g) == 1)
     floor = total + 0.5 * (sum(len(g) == 1 for g in n) + 1)
-    discount, prior = ngramlm.Settings().discount, ngramlm.Settings().prior
+    priors = ngramlm.Settings().priors
 
     def p(c, before):
         if not before:
             return (n[c,] + 0.5) / floor
-        if len(before) == 1:
-            return (n[*before, c] + prior * p(c, ())) / (n[before] + prior)
-        lower = p(c, before[1:])
-        return (max(n[*before, c] - discount, 0) + discount * followers[before] * lower) / n[before] if n[before] else lower
+        prior = priors[len(before) - 1]
+        return (n[*before, c] + prior * p(c, before[1:])) / (n[before] + prior)
 
     score = lambda t: sum(math.log10(p(w, tuple(t[max(0, i - 2) : i]))) for i, w in enumerate(t))
     want = sorted(((i, own, round(score(split(t)), 5)) for (i, t), own in zip(rows, learn, strict=True)), key=str)
     assert any(c == 1 for c in n.values()) and sum(not own for own in learn) > 5
-    for settings in (ngramlm.Settings(), ngramlm.Settings(word_share=0.01, shard_bytes=3000), ngramlm.Settings(word_share=0.5)):
+    for settings in (ngramlm.Settings(), ngramlm.Settings(word_share=0.01, shard_bytes=3000, group_bytes=500), ngramlm.Settings(word_share=0.5)):
         out = ngramlm.score_texts(docs, "crc32(cast(doc_id AS string)) % 5 <> 1", settings).collect()
         assert sorted(((r.doc_id, r.learnt, round(r.score, 5)) for r in out), key=str) == want
 

@@ -203,18 +203,27 @@ def test_automaton_is_a_distribution():
         for last in [*vocabulary, b"unknown"]:
             words = [*before, last]
             shard = ngramlm.Shard([b" ".join(w for w in words if w != ngramlm.END)] if last != ngramlm.END else [b" ".join(before)], {})
-            number = {-1 - (xxhash.xxh64_intdigest(w, 42) >> 1): w for w in [*vocabulary, *words]}
-            name = [number[i] for i in shard.names.tolist()]
-            pair, third = np.divmod(shard.grams, shard.width)
-            first, second = np.divmod(shard.pairs[pair], shard.width)
-            grams = [(name[a], name[b], name[c] if c < len(name) else None) for a, b, c in zip(first.tolist(), second.tolist(), third.tolist(), strict=True)]
-            counts = [np.array(v, float) for v in ([n[w,] for w in name], [n[g] for g in grams], [n[g[:2]] for g in grams], [sum(len(m) == 3 and m[:2] == g[:2] for m in n) for g in grams])]
-            automaton = ngramlm.Automaton(shard, *counts, floor, ngramlm.Settings(prior=2.0))
+            number = {-1 - (xxhash.xxh64_intdigest(w, 42) >> 1): w for w in [*words, ngramlm.END]}
+            counts = np.array([n[tuple(number[i] for i in key if i != ngramlm.ALONE)] for key in shard.wanted()[0].T.tolist()], float)
+            automaton = ngramlm.Automaton(shard, *np.split(counts, np.cumsum([len(shard.names), len(shard.pairs)])), floor, (2.0, 3.0))
             tokens = shard.tokens.tolist()
             total += 10 ** (automaton.score(tokens[: len(words)]) - automaton.score(tokens[: len(before)]))
         assert total == pytest.approx(1, abs=1e-9)
 
 
+@given(st.lists(st.tuples(st.integers(-2, 2), st.integers(-2, 2), st.sampled_from([0, 1, ngramlm.ALONE]), st.integers(0, 9)), min_size=1, max_size=40), st.booleans())
+def test_sums_of_equal_grams(rows, collide):
+    keys, n = np.array([r[:3] for r in rows], np.int64).T.copy(), np.array([r[3] for r in rows], np.int64)
+    want = Counter()
+    for r in rows:
+        want[r[:3]] += r[3]
+    assert (ngramlm.unblock(ngramlm.block(n), len(n)) == n).all()
+    with pytest.MonkeyPatch.context() as m:
+        if collide:
+            m.setattr(ngramlm, "hashes", lambda k: (np.abs(k[0]) % 2).astype(np.uint64))
+        assert ngramlm.summed(keys, n).tolist() == [want[r[:3]] for r in rows]
+
+
 def test_word_first_then_shorter_grams():
     low, none = langid.Settings().low, langid.Items([], np.zeros((0, 2), np.float32))
     tables = [langid.Items(["the"], np.array([[-1.0, low]], np.float32)), none, langid.Items(["<x"], np.array([[-3.0, -2.0]], np.float32)), none, none, none]
