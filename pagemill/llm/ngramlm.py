@@ -11,7 +11,8 @@ next shorter context. Probabilities are interpolated, so a state's arcs and its
 Texts are packed into shards of bounded size. A shard asks once for the count of each of its different n-grams, with its
 own share of it: they are dealt by their hash to groups of bounded size, in blocks of one shard and group each, where the
 shares are summed; the sums go back in the order in which they were asked for. An n-gram comes once per shard, so none is
-hot. A shard then builds the part of the automaton its texts can reach and walks every text from left to right, carrying
+hot. Within its group it is known by 64 further bits of hashes; as groups do not grow, neither does the chance that two
+n-grams are taken for one (1e-13 for each of them). A shard then builds the part of the automaton its texts can reach and walks every text from left to right, carrying
 the state. What is counted grows with the input; only words with a share of at least ``word_share`` of the tokens (so at
 most 1 / share) are broadcast, as short numbers with their counts. Other words are known by 63 bits of their hash and
 counted like the longer n-grams."""
@@ -95,18 +96,22 @@ class Shard:
         self.gram_at = self.pair_at[more]
         self.grams, self.gram_of = np.unique(self.pair_of[more] * width + self.tokens[self.gram_at + 2], return_inverse=True)
 
-    def wanted(self) -> tuple[np.ndarray, np.ndarray]:
-        """What is to be counted: words without a rank, then bigrams, then trigrams, as three rows of numbers of words, and a
-        hash of each."""
+    def wanted(self) -> np.ndarray:
+        """What is to be counted: words without a rank, then bigrams, then trigrams, as three rows of numbers of words."""
         first, second = np.divmod(self.pairs, len(self.names))
         pair, last = np.divmod(self.grams, len(self.names))
         lone = np.full(len(self.rare) + len(self.pairs), ALONE)
-        keys = np.stack([
+        return np.stack([
             self.names[np.concatenate([self.rare, first, first[pair]])],
             np.concatenate([lone[: len(self.rare)], self.names[second], self.names[second[pair]]]),
             np.concatenate([lone, self.names[last]]),
         ])
-        return keys, hashes(keys)
+
+    def blocks(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The group of n-grams, of ``parts``, and the key of each that is wanted, and their order by both."""
+        keys = self.wanted()
+        part, key = (hashes(keys, 1) % np.uint64(parts)).astype(np.int64), hashes(keys, 2)
+        return part, key, np.lexsort((key, part))
 
     def shares(self, learnt: np.ndarray) -> np.ndarray:
         """How often each of what is wanted occurs in the texts that are ``learnt``."""
@@ -116,9 +121,9 @@ class Shard:
         return np.concatenate([words[self.rare], pairs, grams]).astype(np.int64)
 
 
-def hashes(keys: np.ndarray) -> np.ndarray:
+def hashes(keys: np.ndarray, seed: int) -> np.ndarray:
     """A number per column of three numbers."""
-    out = np.zeros(keys.shape[1], np.uint64)
+    out = np.full(keys.shape[1], seed, np.uint64)
     for row in keys:
         out = mix(out * np.uint64(MULTIPLIER) + row.view(np.uint64))
     return out
@@ -134,15 +139,11 @@ def unblock(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).reshape(n)
 
 
-def summed(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For every column of ``keys`` the sum of ``n`` over all columns equal to it."""
-    h = hashes(keys)
-    order = np.argsort(h, kind="stable")
+def summed(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For every key the sum of ``n`` over all that are equal to it."""
+    order = np.argsort(key, kind="stable")
     new = np.ones(len(order), bool)
-    new[1:] = (keys[:, order[1:]] != keys[:, order[:-1]]).any(axis=0)
-    if new.sum() != 1 + np.count_nonzero(h[order[1:]] != h[order[:-1]]):  # two n-grams share a hash
-        order = np.lexsort(keys)
-        new[1:] = (keys[:, order[1:]] != keys[:, order[:-1]]).any(axis=0)
+    new[1:] = key[order[1:]] != key[order[:-1]]
     out = np.empty(len(n), np.int64)
     out[order] = np.add.reduceat(n[order], np.flatnonzero(new))[np.cumsum(new) - 1]
     return out
@@ -151,7 +152,8 @@ def summed(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
 class Automaton:
     """The part of the automaton that the texts of a shard can reach, from the counts of its words, bigrams and trigrams.
 
-    State 0 is the empty context, then come the shard's words and its bigrams."""
+    A state is how many of the last words count as context (none, one, two); which words these are is known by the place
+    in the text, as are the arcs that may leave it: its word, bigram and trigram, numbered as in the shard."""
 
     def __init__(self, shard: Shard, n_word: np.ndarray, n_pair: np.ndarray, n_gram: np.ndarray, floor: float, priors: tuple[float, float]):
         words = len(shard.names)
@@ -160,34 +162,46 @@ class Automaton:
         first, second = np.divmod(shard.pairs, words)
         pair, last = np.divmod(shard.grams, words)
         likely = (n_pair + priors[0] * single[second]) / (n_word[first] + priors[0])
-        met, full = np.flatnonzero(n_pair > 0), np.flatnonzero(n_gram > 0)
-        front = pair[full]
-        to = np.searchsorted(shard.pairs, second[front] * words + last[full])  # the last two words of these
-        chance = (n_gram[full] + priors[1] * likely[to]) / (n_pair[front] + priors[1])
-        keys = np.concatenate([np.arange(words), (1 + first[met]) * words + second[met], (1 + words + front) * words + last[full]])
-        gains = np.concatenate([self.base, np.log10(likely[met]), np.log10(chance)])
-        ends = np.concatenate([np.where(n_word > 0, 1 + np.arange(words), 0), 1 + words + met, 1 + words + to])
-        self.words = words
-        self.arcs = dict(zip(keys.tolist(), zip(gains.tolist(), ends.tolist(), strict=True), strict=True))
-        self.fail = np.concatenate([np.zeros(1 + words, np.int64), 1 + second]).tolist()
-        self.weight = np.concatenate([[0.0], *(np.log10(prior / (n + prior)) for prior, n in zip(priors, (n_word, n_pair), strict=True))]).tolist()
-
-    def score(self, tokens: list[int]) -> float:
-        """Log probability of a text, its words taken from left to right."""
-        find, words, fail, weight = self.arcs.get, self.words, self.fail, self.weight
+        back = likely[np.searchsorted(shard.pairs, second[pair] * words + last)]  # of the last two words
+        chance = (n_gram + priors[1] * back) / (n_pair[pair] + priors[1])
+        self.known = (n_word > 0).tolist()
+        self.gain = (self.base.tolist(), self._arcs(likely, n_pair), self._arcs(chance, n_gram))
+        self.weight = tuple(np.log10(prior / (n + prior)).tolist() for prior, n in zip(priors, (n_word, n_pair), strict=True))
+
+    @staticmethod
+    def _arcs(chance: np.ndarray, n: np.ndarray) -> list[float | None]:
+        """Log probabilities; None where nothing was counted, so that there is no arc."""
+        gains = np.log10(chance).tolist()
+        for i in np.flatnonzero(n == 0).tolist():
+            gains[i] = None
+        return gains
+
+    def score(self, tokens: list[int], pairs: list[int], grams: list[int]) -> float:
+        """Log probability of a text, its words taken from left to right; ``pairs`` and ``grams`` begin at each word that has
+        one and two words after it."""
+        known, (one, two, three), (after_word, after_pair) = self.known, self.gain, self.weight
         state, total = 0, 0.0
-        for w in tokens:
-            arc = find(state * words + w)
-            while arc is None:
-                total += weight[state]
-                state = fail[state]
-                arc = find(state * words + w)
-            total += arc[0]
-            state = arc[1]
+        for i, w in enumerate(tokens):
+            if state == 2:
+                gain = three[grams[i - 2]]
+                if gain is not None:
+                    total += gain
+                    continue
+                total += after_pair[pairs[i - 2]]  # the failure arc
+                state = 1
+            if state == 1:
+                gain = two[pairs[i - 1]]
+                if gain is not None:
+                    total += gain
+                    state = 2
+                    continue
+                total += after_word[tokens[i - 1]]
+            total += one[w]
+            state = 1 if known[w] else 0
         return total
 
 
-ASKED = "part bigint, shard bigint, many bigint, a binary, b binary, c binary, n binary"
+ASKED = "part bigint, shard bigint, many bigint, key binary, n binary"
 SCORED = "doc_id bigint, learnt boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -219,8 +233,11 @@ def _packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
 def count_asked(table: pa.Table) -> pa.Table:
     """The blocks of one group of n-grams, answered: the sums over all of them, in the order of each block."""
     many = table.column("many").to_pylist()
-    columns = [np.concatenate([unblock(d, n) for d, n in zip(table.column(c).to_pylist(), many, strict=True)]) for c in ("a", "b", "c", "n")]
-    total = np.split(summed(np.stack(columns[:3]), columns[3]), np.cumsum(many)[:-1])
+    steps, n = (np.concatenate([unblock(d, m) for d, m in zip(table.column(c).to_pylist(), many, strict=True)]) for c in ("key", "n"))
+    begins = np.cumsum([0, *many[:-1]])
+    key = np.cumsum(steps)  # steps from key to key, within each block; sums wrap around
+    key -= np.repeat(key[begins] - steps[begins], many)
+    total = np.split(summed(key, n), begins[1:])
     return pa.table({"part": table.column("part"), "shard": table.column("shard"), "many": table.column("many"), "n": pa.array([block(t) for t in total], pa.binary())})
 
 
@@ -248,21 +265,21 @@ def score_texts(docs: DataFrame, learn_from: str, settings: Settings = Settings(
             for number, packed in zip(batch.column("shard").to_pylist(), batch.column("packed"), strict=True):
                 texts = pa.ipc.open_stream(packed.as_buffer()).read_all()
                 shard = Shard(texts.column("text").to_pylist(), ranks)
-                keys, h = shard.wanted()
-                n = shard.shares(texts.column("learnt").to_numpy().astype(bool))
-                part = (h % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                which, begin = np.unique(part[order], return_index=True)
-                out = {"part": which, "shard": np.full(len(which), number), "many": np.diff(np.append(begin, len(order)))}
-                for c, values in zip("abcn", (*keys, n), strict=True):
-                    out[c] = pa.array([block(v) for v in np.split(values[order], begin[1:])] if len(which) else [], pa.binary())
+                part, key, order = shard.blocks(parts)
+                n = shard.shares(texts.column("learnt").to_numpy().astype(bool))[order]
+                which, begins = np.unique(part[order], return_index=True)
+                steps = np.diff(key[order].view(np.int64), prepend=0)
+                steps[begins] = key[order][begins].view(np.int64)  # a block begins with its first key
+                out = {"part": which, "shard": np.full(len(which), number), "many": np.diff(np.append(begins, len(order)))}
+                for c, values in (("key", steps), ("n", n)):
+                    out[c] = pa.array([block(v) for v in np.split(values, begins[1:])] if len(which) else [], pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
 
     def walk(packed: pa.Table, answers: pa.Table) -> pa.Table:
         ranks, often = received(held)
         texts = pa.ipc.open_stream(packed.column("packed")[0].as_buffer()).read_all()
         shard = Shard(texts.column("text").to_pylist(), ranks)
-        order = np.argsort((shard.wanted()[1] % np.uint64(parts)).astype(np.int64), kind="stable")
+        order = shard.blocks(parts)[2]
         found = np.zeros(len(order))
         if len(order):
             answers = answers.sort_by("part")
@@ -276,10 +293,13 @@ def score_texts(docs: DataFrame, learn_from: str, settings: Settings = Settings(
         ends = np.cumsum(shard.sizes)
         begins = ends - shard.sizes
         known, base = (n_word > 0).astype(np.int64)[shard.tokens], automaton.base[shard.tokens]
-        spans = list(zip(begins.tolist(), ends.tolist(), strict=True))
+        begins, ends = begins.tolist(), ends.tolist()
+        pair_at, gram_at = np.searchsorted(shard.pair_at, begins).tolist(), np.searchsorted(shard.gram_at, begins).tolist()
+        all_tokens, pairs, grams = shard.tokens.tolist(), shard.pair_of.tolist(), shard.gram_of.tolist()
+        scores = [automaton.score(all_tokens[i:j], pairs[p : p + j - i], grams[g : g + j - i]) for i, j, p, g in zip(begins, ends, pair_at, gram_at, strict=True)]
         return pa.table({
             "doc_id": texts.column("doc_id"), "learnt": texts.column("learnt"), "n_tokens": shard.sizes, "n_known": np.add.reduceat(known, begins),
-            "base_score": [math.fsum(base[i:j]) for i, j in spans], "score": [automaton.score(shard.tokens[i:j].tolist()) for i, j in spans]})
+            "base_score": [math.fsum(base[i:j]) for i, j in zip(begins, ends, strict=True)], "score": scores})
 
     answers = shards.mapInArrow(ask, ASKED).groupBy("part").applyInArrow(count_asked, "part bigint, shard bigint, many bigint, n binary")
     scored = shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(walk, SCORED)
