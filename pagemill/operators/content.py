@@ -9,6 +9,7 @@ from pagemill.functions import text as tx
 from pagemill.functions import tree as tr
 from pagemill.functions import urls
 from pagemill.functions.lets import let
+from pagemill.functions.runs import per_run
 
 # --- fixed values -------------------------------------------------------------------------------------------------
 CHROME_TAGS = ("script", "style", "noscript", "template", "svg", "nav", "footer", "aside", "form", "iframe", "dialog")
@@ -149,17 +150,11 @@ def main_node(tree: Column) -> Column:
 
 def grouped(rows: Column, kind: str) -> Column:
     """(key, value) rows to (kind, key, values): keys in first-seen order, values in page order."""
-    return let(
-        rows,
-        lambda r: F.transform(
-            F.array_distinct(F.transform(r, lambda x: x["key"])),
-            lambda k: F.struct(
-                F.lit(kind).alias("kind"),
-                k.alias("key"),
-                F.transform(F.filter(r, lambda x: x["key"] == k), lambda x: x["value"]).alias("values"),
-            ),
-        ),
-    )
+    marked = F.array_sort(F.transform(rows, lambda x, i: F.struct(x["key"].alias("key"), i.alias("at"), x["value"].alias("value"))))
+    groups = per_run(marked, "key", lambda first, run: F.struct(
+        first["at"].alias("at"), F.lit(kind).alias("kind"), first["key"].alias("key"),
+        F.transform(run, lambda x: x["value"]).alias("values")))
+    return F.transform(F.array_sort(groups), lambda g: F.struct(*[g[f].alias(f) for f in ("kind", "key", "values")]))
 
 
 def meta_rows(dom: Column) -> Column:

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
 from pagemill.session import cut_lineage
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
+
 THIN_LINKS, THIN_TEXT = 5, 1500  # fixed values: below either a page is taken for an empty shell
 BLOCKED = (403, 429, 503)
 
@@ -78,32 +86,46 @@ def sections(ranked: DataFrame) -> DataFrame:
     return lists.unionByName(answers).groupBy("site", "holds").agg(best.alias("url"))
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One sorted partition walked once: every end of a probe's range with the known URLs up to it, then the total."""
+    seen = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sign = batch.column("sign").to_numpy()
+        up_to = seen + np.cumsum(sign == 0)
+        seen = int(up_to[-1])
+        ends = pa.array(sign != 0)
+        part = batch.column("part").filter(ends)
+        yield pa.RecordBatch.from_arrays(
+            [part, batch.column("probe").filter(ends), batch.column("sign").filter(ends), pa.array(up_to[sign != 0], pa.int64())],
+            names=["part", "probe", "sign", "n"])
+        last = batch.column("part")[-1:]
+    if seen:
+        yield pa.RecordBatch.from_arrays([last, pa.nulls(1, pa.string()), pa.array([0], pa.int32()), pa.array([seen], pa.int64())], names=["part", "probe", "sign", "n"])
+
+
 def count_under(probes: DataFrame, known: DataFrame) -> DataFrame:
     """How many known URLs start with each probed URL and differ from it. ``probes(url)``, ``known(url)``, both
     distinct; the site is part of the URL, so no site key is needed.
 
-    All URLs with a prefix stand together in sorted order, so the count is a difference of two positions: mark where
-    a probe's range begins and ends, sort everything once, and take running counts. The sort is by range partitioning
-    with per-partition counts added up afterwards, so a site that holds most URLs is split like any other, and no pair
-    of URLs is ever formed."""
+    All URLs with a prefix stand together in sorted order, so the count is a difference of two positions: a probe's range
+    begins behind the probe itself and ends behind everything that starts with it. Known URLs and ends move once, into
+    sorted ranges; each range is walked once, its total is added to the ranges behind it, and only the two ends of every
+    probe meet again. A site that holds most URLs is cut like any other, and no pair of URLs is formed."""
     end = "\U0010ffff"
+    end_of = lambda at, place, sign: probes.select(at.alias("at"), F.lit(place).alias("place"), F.lit(sign).alias("sign"), F.col("url").alias("probe"))
     marks = (
-        known.select(F.col("url").alias("at"), F.lit(1).alias("one"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("probe"))
-        .unionByName(probes.select(F.col("url").alias("at"), F.lit(0).alias("one"), F.lit(-1).alias("kind"), F.col("url").alias("probe")))
-        .unionByName(probes.select(F.concat("url", F.lit(end)).alias("at"), F.lit(0).alias("one"), F.lit(1).alias("kind"), F.col("url").alias("probe")))
-    )
-    ordered = cut_lineage(marks.repartitionByRange("at", "kind").withColumn("part", F.spark_partition_id()))
-    totals = ordered.groupBy("part").agg(F.sum("one").alias("in_part"))  # one row per partition
-    ahead = totals.withColumn(
-        "ahead", F.coalesce(F.sum("in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).select("part", "ahead")
-    running = F.sum("one").over(Window.partitionBy("part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    placed = ordered.withColumn("running", running).where("kind <> 0").join(F.broadcast(ahead), "part")
-    counted = placed.groupBy("probe").agg(F.sum(F.col("kind") * (F.col("running") + F.col("ahead"))).alias("n"))
-    itself = known.select(F.col("url").alias("probe"), F.lit(1).alias("itself"))
-    return counted.join(itself, "probe", "left").select(
-        F.col("probe").alias("url"), (F.col("n") - F.coalesce("itself", F.lit(0))).cast("bigint").alias("under")
+        known.select(F.col("url").alias("at"), F.lit(0).alias("place"), F.lit(0).alias("sign"), F.lit(None).cast("string").alias("probe"))
+        .unionByName(end_of(F.col("url"), 1, -1)).unionByName(end_of(F.concat("url", F.lit(end)), 2, 1))
     )
+    ordered = marks.repartitionByRange("at", "place").sortWithinPartitions("at", "place")
+    walked = cut_lineage(ordered.select(F.spark_partition_id().alias("part"), "probe", "sign").mapInArrow(_running, "part int, probe string, sign int, n bigint"))
+    totals = walked.where("sign = 0").select("part", F.col("n").alias("in_part"))  # one row per range
+    before = F.sum("in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = walked.select("part").distinct().join(totals, "part", "left").select("part", F.coalesce(before, F.lit(0)).alias("ahead"))
+    placed = walked.where("sign <> 0").join(F.broadcast(ranges), "part")
+    return placed.groupBy(F.col("probe").alias("url")).agg(F.sum(F.col("sign") * (F.col("n") + F.col("ahead"))).alias("under"))
 
 
 def link_priority(

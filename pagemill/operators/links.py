@@ -11,6 +11,7 @@ from pagemill.functions import text as tx
 from pagemill.functions import tree as tr
 from pagemill.functions import urls
 from pagemill.functions.lets import built_once, let, opened, rows_of
+from pagemill.functions.runs import per_run
 from pagemill.operators.dom import with_dom
 
 # --- fixed values -------------------------------------------------------------------------------------------------
@@ -85,26 +86,15 @@ def _page_links(raw: Column) -> Column:
 
 def biggest_group(links: Column, counts: Callable[[Column], Column]) -> Column:
     """(gpath, n) of the content link group with most counted entries; the group seen first wins ties."""
-    content = F.array_sort(
-        F.transform(
-            F.filter(links, lambda k: k["content_pos"].isNotNull()),
-            lambda k: F.struct(k["content_pos"].alias("at"), k["gpath"].alias("gpath"), counts(k).alias("counted")),
-        )
-    )
+    content = F.array_sort(F.transform(
+        F.filter(links, lambda k: k["content_pos"].isNotNull()),
+        lambda k: F.struct(k["gpath"].alias("gpath"), k["content_pos"].alias("at"), counts(k).alias("counted")),
+    ))
 
-    def best(rows: Column) -> Column:
-        paths = F.array_distinct(F.transform(rows, lambda r: r["gpath"]))
-        scored = F.transform(
-            paths,
-            lambda p, i: F.struct(
-                F.size(F.filter(rows, lambda r: (r["gpath"] == p) & r["counted"])).alias("n"),
-                (-i).alias("order"),
-                p.alias("gpath"),
-            ),
-        )
-        return F.array_max(scored)
+    def weighed(first: Column, run: Column) -> Column:
+        return F.struct(F.size(F.filter(run, lambda r: r["counted"])).alias("n"), (-first["at"]).alias("order"), first["gpath"].alias("gpath"))
 
-    return let(content, best)
+    return F.array_max(per_run(content, "gpath", weighed))
 
 
 def is_titled(link: Column) -> Column:
@@ -188,10 +178,9 @@ def page_struct(dom: Column, url: Column) -> Column:
                         F.length(body).alias("text_len"),
                     )
 
-                return let(
-                    biggest_group(found["links"], is_titled),
-                    lambda t: let(biggest_group(found["links"], is_item), lambda g: with_groups(t, g)),
-                )
+                groups = F.struct(
+                    biggest_group(found["links"], is_titled).alias("titled"), biggest_group(found["links"], is_item).alias("listed"))
+                return let(groups, lambda g: with_groups(g["titled"], g["listed"]))
 
             return let(let(web, from_web), lambda found: let(text, lambda body: finish(found, body)))
 
