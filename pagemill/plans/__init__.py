@@ -7,6 +7,7 @@ from pagemill.plans import (  # noqa: F401
     listing_queries,
     page_queries,
     quality_queries,
+    sql_surface,
     text_queries,
     url_queries,
 )
