@@ -23,7 +23,7 @@ from pagemill.llm.shared import parts_for, saved, slices
 WINDOW = 100
 ANCHOR = 32  # bytes of an anchor
 SLICE = 1 << 20
-SHARD = 256  # stretches sorted together; an anchor with more is cut into several shards
+SHARD = 256  # stretches sorted together; those of an anchor with more are dealt by their content
 UNITS = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -128,28 +128,35 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     found = saved(find_repeats(docs, hash_bytes, Shape(window, anchor, within=True), SLICE), "repeats")
     settled = found.where(f"NOT open AND end - start >= {window}").select("rank", "key", "start", "end")
     open_ = found.where(f"open AND end - start >= {window}")
-    asked = open_.select("rank", "key", F.struct("anchor", "start", "end").alias("a")).groupBy("rank", "key").agg(F.collect_set("a").alias("asked"))
+    asked = open_.select("rank", "key", F.struct("anchor", "pos", "start", "end").alias("a")).groupBy("rank", "key").agg(F.collect_set("a").alias("asked"))
     texts = documents_of(docs, open_).join(asked, ["rank", "key"]).select("rank", "key", "text", "asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out: dict[str, list] = {c: [] for c in ("rank", "key", "at", "anchor", "bytes")}
+            out: dict[str, list] = {c: [] for c in ("rank", "key", "at", "anchor", "pos", "bytes")}
             for rank, key, text, asked in zip(*(batch.column(c).to_pylist() for c in ("rank", "key", "text", "asked")), strict=True):
                 for a in asked:
-                    for c, v in zip(out, (rank, key, a["start"], a["anchor"], text[a["start"] : a["end"]]), strict=True):
+                    for c, v in zip(out, (rank, key, a["start"], a["anchor"], a["pos"], text[a["start"] : a["end"]]), strict=True):
                         out[c].append(v)
             yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.binary() if c == "bytes" else pa.int64()) for c, v in out.items()})
 
-    entries = saved(texts.mapInArrow(cut, "rank bigint, key bigint, at bigint, anchor bigint, bytes binary").distinct(), "stretches")
+    entries = saved(texts.mapInArrow(cut, "rank bigint, key bigint, at bigint, anchor bigint, pos bigint, bytes binary").distinct(), "stretches")
+    many = entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD).select("anchor", F.lit(True).alias("many"))
+    marked = entries.join(many, "anchor", "left")
+    halves = saved(_halves(marked.where("many"), window, anchor), "halves")
+    least = halves.groupBy("anchor", "bytes").agg(F.min(F.struct("rank", "key", "at")).alias("least"))
+    same = halves.join(least, ["anchor", "bytes"]).where("struct(rank, key, at) > least").select("rank", "key", F.col("at").alias("start"), (F.col("at") + F.length("bytes")).alias("end"))
+    ones = least.select("least.*", "anchor", "bytes")
+    different = ones.join(ones.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchor")
     shards = parts_for(docs.sparkSession) * 4
-    many = entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD)
-    dealt = entries.join(many, "anchor", "left").select(
-        "*", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), F.when(F.col("n").isNotNull(), F.col("anchor")).alias("hot"),
-        F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("rank", "key", "at"), F.ceil(F.col("n") / SHARD))).alias("part"))
+    columns = ["rank", "key", "at", "anchor", "bytes", "n"]
+    dealt = marked.where("many IS NULL").withColumn("n", F.lit(0).cast("bigint")).select(*columns).union(different.select(*columns)).select(
+        "*", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), F.when(F.col("n") > SHARD, F.col("anchor")).alias("hot"),
+        F.when(F.col("n") > SHARD, F.pmod(F.xxhash64("rank", "key", "at"), F.ceil(F.col("n") / SHARD))).alias("part"))
 
     def sort(group: pa.Table) -> pa.Table:
-        """Spans of windows that are not first in their shard; of an anchor in several shards also the first windows,
-        with a digest, to be compared across shards."""
+        """Spans of windows that are not first in their shard; of an anchor that its content leaves in several shards also the
+        first windows, with a digest, to be compared across shards."""
         rank, key, at, anchors = (group.column(c).to_numpy() for c in ("rank", "key", "at", "anchor"))
         texts, hot = group.column("bytes").to_pylist(), group.column("hot")[0].as_py() is not None
         out: dict[str, list] = {c: [] for c in ("rank", "key", "start", "end", "h1", "h2")}
@@ -187,7 +194,27 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     heads = spans.where("end IS NULL")
     least = heads.groupBy("h1", "h2").agg(F.min(F.struct("rank", "key", "start")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     across = heads.join(least, ["h1", "h2"]).where("struct(rank, key, start) > least").select("rank", "key", "start", (F.col("start") + window).alias("end"))
-    return settled.union(spans.where("end IS NOT NULL").select("rank", "key", "start", "end")).union(across)
+    return settled.union(same).union(spans.where("end IS NOT NULL").select("rank", "key", "start", "end")).union(across)
+
+
+def _halves(stretches: DataFrame, window: int, anchor: int) -> DataFrame:
+    """Each stretch as two (rank, key, at, anchor, bytes): the windows with half of their other bytes before the anchor, and
+    the rest. Equal windows hold their anchor in the same place, so those of the first kind agree in the bytes right before it
+    and those of the second in the bytes right after it; ``anchor`` then stands for the anchor with these bytes. Equal
+    windows so meet under one key, and a stretch on its own under its key has no equal."""
+    half = (window - anchor) // 2
+    place = F.col("pos") - F.col("at")
+    split = place - half + 1  # the first window of the second kind
+    after = F.greatest(split, F.lit(0))
+    before = F.struct(
+        F.col("at"), F.xxhash64("anchor", F.lit(0), F.substring("bytes", split, F.lit(half))).alias("anchor"),
+        F.substring("bytes", F.lit(1), split - 1 + window).alias("bytes"))
+    behind = F.struct(
+        (F.col("at") + after).alias("at"),
+        F.xxhash64("anchor", F.lit(1), F.substring("bytes", place + anchor + 1, F.lit(window - anchor - half + 1))).alias("anchor"),
+        F.substring("bytes", after + 1, F.length("bytes")).alias("bytes"))
+    parts = F.array(F.when(split >= 1, before), F.when(after + window <= F.length("bytes"), behind))
+    return stretches.select("rank", "key", F.inline(F.filter(parts, lambda p: p.isNotNull())))
 
 
 def _packs(anchors: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:

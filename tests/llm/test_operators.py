@@ -91,7 +91,7 @@ def test_substrings(docs, rows):
     assert all(sha((r.kept or "").encode()) == r.kept_sha256 for r in kept)
 
 
-@pytest.mark.parametrize("shard", [256, 6])
+@pytest.mark.parametrize("shard", [256, 6, 1])
 def test_suffixes(docs, rows, keys, shard, monkeypatch):
     monkeypatch.setattr(suffixdedup, "SHARD", shard)
     first = {}
