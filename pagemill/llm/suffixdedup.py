@@ -31,7 +31,7 @@ def hash_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return UNITS[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(t) for t in texts], np.int64)
 
 
-def suffix_order(symbols: list[int]) -> list[int]:
+def suffix_order(symbols: list[int] | np.ndarray) -> list[int]:
     """Suffix array of ``symbols``, whose last one must be smaller than all others.
 
     First phase: a group is a stretch of ``order`` of suffixes with the same prefix known so far, at first their first
@@ -40,15 +40,17 @@ def suffix_order(symbols: list[int]) -> list[int]:
     together into a new group right above it, those pointed to most often the highest. Second phase: from the lowest
     suffix up, the suffix before each and those along its pointers take the next free place of their groups."""
     n = len(symbols)
-    order = sorted(range(n), key=symbols.__getitem__)
-    group, where, length = [0] * n, [0] * n, [0] * n  # group: its first place; length by first place
-    start = 0
-    for at, s in enumerate(order):
-        if symbols[s] != symbols[order[start]]:
-            start = at
-        group[s] = start
-        where[s] = at
-        length[start] += 1
+    values = np.asarray(symbols, np.int64)
+    by = np.argsort(values, kind="stable")
+    new = np.ones(n, bool)
+    new[1:] = values[by[1:]] != values[by[:-1]]
+    starts = np.flatnonzero(new)
+    own_start, places, lengths = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, np.int64)
+    own_start[by] = starts[np.cumsum(new) - 1]
+    places[by] = np.arange(n)
+    lengths[starts] = np.diff(np.append(starts, n))
+    # group: its first place; length by first place
+    order, group, where, length = by.tolist(), own_start.tolist(), places.tolist(), lengths.tolist()
     before = [-1] * n
     end = n
     while end:
@@ -108,7 +110,7 @@ def classes(stretches: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray
     starts = ends - sizes - 1
     for at, s in zip(starts.tolist(), stretches, strict=True):
         symbols[at : at + len(s)] = np.frombuffer(s, np.uint8).astype(np.int64) + 2
-    order = np.array(suffix_order(symbols.tolist()))
+    order = np.array(suffix_order(symbols))
     order = order[order < len(symbols) - 1]
     which = np.searchsorted(ends, order, side="right")
     whole = order + window < ends[which]
