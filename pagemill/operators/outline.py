@@ -104,49 +104,56 @@ def labelled_facts(items: DataFrame, key: str = "page_id") -> DataFrame:
     return rows_of(items, [key], _fact_rows("item"), "label")
 
 
+@built_once
+def _outline_column(item: str) -> Column:
+    """Metadata values and visited elements of one page as entries of one shape, so that a page is worked through once."""
+    no_facts = F.array().cast("array<struct<label:string,value:string>>")
+    metas = F.transform(F.col(item)["metas"], lambda m, i: let(F.array_join(m["values"], "; "), lambda shown: F.struct(
+        F.lit(0).alias("part"), i.alias("pre"), F.lit(None).cast(tr.NODE).alias("node"),
+        F.concat(m["key"], F.lit(": "), F.substring(shown, 1, 300)).alias("text"), F.lit("").alias("label"), no_facts.alias("facts"),
+        F.concat(m["kind"], F.lit(":"), m["key"]).alias("path"),
+        F.concat(F.lit("meta "), m["key"], F.lit(" = "), F.substring(shown, 1, 110)).alias("attrs"), m["values"].alias("values"))))
+    elements = F.transform(_entries(item), lambda e: F.struct(
+        F.lit(1).alias("part"), *[e[f].alias(f) for f in ("pre", "node", "text", "label", "facts", "path", "attrs")],
+        F.lit(None).cast("array<string>").alias("values")))
+    return F.concat(metas, elements)
+
+
 def outline_rows(items: DataFrame, key: str = "page_id", cap: int = OUTLINE_CAP) -> DataFrame:
-    """``(key, n, kind, selector, label, text, values, node, line)``: entries numbered from 0, metadata first."""
-    metas = items.select(key, F.posexplode_outer("item.metas").alias("at", "m")).where("m is not null").select(
-        key, F.lit(0).alias("part"), F.col("at").alias("pre"), F.lit(0).alias("sub"), F.lit("meta").alias("kind"),
-        F.concat(F.col("m.kind"), F.lit(":"), F.col("m.key")).alias("selector"), F.lit("").alias("label"),
-        F.concat(F.col("m.key"), F.lit(": "), F.substring(F.array_join("m.values", "; "), 1, 300)).alias("text"),
-        F.col("m.values").alias("values"), F.lit(None).cast(tr.NODE).alias("node"),
-        F.concat(F.lit("meta "), F.col("m.key"), F.lit(" = "),
-                 F.substring(F.array_join("m.values", "; "), 1, 110)).alias("line"),
-    )
+    """``(key, n, kind, selector, label, text, values, node, line)``: entries numbered from 0, metadata first.
+
+    Pages are worked through where they are; only their entries move, once, to be numbered by key."""
     in_order = Window.partitionBy(key).orderBy("pre")
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    block = F.size("facts") >= 2
-    long = ~block & (F.length("text") > 150) & (F.col("label") == "")
+    element, block = F.col("part") == 1, F.size("facts") >= 2
+    long = element & ~block & (F.length("text") > 150) & (F.col("label") == "")
     kept = F.when(long, F.sum(long.cast("int")).over(in_order) <= LONG_PROSE).otherwise(
         (F.length("text") <= 300) & ((F.col("label") != "") | ~F.col("text").rlike(r"(?U)^[\d\s.,]{1,6}$"))
     ) & ~F.col("node.tag").isin(*INLINE_TAGS)
-    adds = F.when(block, F.size("facts")).otherwise(kept.cast("int"))
-    elements = (
-        rows_of(items, [key, F.size("item.metas").alias("n_meta")], _entries("item"), "pre")
+    adds = F.when(element, F.when(block, F.size("facts")).otherwise(kept.cast("int"))).otherwise(0)
+    entries = (
+        rows_of(items, [key, F.size("item.metas").alias("n_meta")], _outline_column("item"), "part")
         .withColumn("adds", adds)
         .withColumn("so_far", F.col("n_meta") + F.coalesce(F.sum("adds").over(before), F.lit(0)))
-        .where((F.col("adds") > 0) & (F.col("so_far") < cap))
-    )
-    facts = elements.where(block).select(key, "pre", "path", F.posexplode("facts").alias("sub", "f")).select(
-        key, F.lit(1).alias("part"), "pre", "sub", F.lit("fact").alias("kind"),
-        F.concat(F.lit("kv:"), "path", F.lit(" || "), "f.label").alias("selector"), F.col("f.label").alias("label"),
-        F.concat("f.label", F.lit(": "), "f.value").alias("text"), F.array("f.value").alias("values"),
-        F.lit(None).cast(tr.NODE).alias("node"),
-        F.concat(F.lit("fact '"), "f.label", F.lit("' = "), F.substring("f.value", 1, 110)).alias("line"),
-    )
-    plain = elements.where(~block).select(
-        key, F.lit(1).alias("part"), "pre", F.lit(0).alias("sub"), F.lit("element").alias("kind"),
-        F.concat("path", F.when(F.col("label") != "", F.concat(F.lit(" || "), "label")).otherwise(F.lit(""))).alias("selector"),
-        "label", "text", F.lit(None).cast("array<string>").alias("values"), "node",
-        F.concat(F.substring("attrs", 1, 90), F.lit(" "), F.substring("text", 1, 110)).alias("line"),
+        .where(~element | ((F.col("adds") > 0) & (F.col("so_far") < cap)))
     )
+    no_node, no_values = F.lit(None).cast(tr.NODE), F.lit(None).cast("array<string>")
+
+    def row(sub: Column, kind: str, selector: Column, label: Column, text: Column, values: Column, node: Column, line: Column) -> Column:
+        return F.struct(sub.cast("int").alias("sub"), F.lit(kind).alias("kind"), selector.alias("selector"), label.alias("label"),
+                        text.alias("text"), values.alias("values"), node.alias("node"), line.alias("line"))
+
+    label, text, path = F.col("label"), F.col("text"), F.col("path")
+    meta = F.array(row(F.lit(0), "meta", path, label, text, F.col("values"), no_node, F.col("attrs")))
+    facts = F.transform("facts", lambda f, i: row(
+        i, "fact", F.concat(F.lit("kv:"), path, F.lit(" || "), f["label"]), f["label"], F.concat(f["label"], F.lit(": "), f["value"]),
+        F.array(f["value"]), no_node, F.concat(F.lit("fact '"), f["label"], F.lit("' = "), F.substring(f["value"], 1, 110))))
+    plain = F.array(row(
+        F.lit(0), "element", F.concat(path, F.when(label != "", F.concat(F.lit(" || "), label)).otherwise(F.lit(""))), label, text,
+        no_values, F.col("node"), F.concat(F.substring("attrs", 1, 90), F.lit(" "), F.substring(text, 1, 110))))
+    rows = rows_of(entries, [key, "part", "pre"], F.when(~element, meta).when(block, facts).otherwise(plain), "kind")
     numbered = Window.partitionBy(key).orderBy("part", "pre", "sub")
-    return (
-        metas.unionByName(facts).unionByName(plain)
-        .withColumn("n", (F.row_number().over(numbered) - 1).cast("bigint"))
-        .drop("part", "pre", "sub")
-    )
+    return rows.withColumn("n", (F.row_number().over(numbered) - 1).cast("bigint")).drop("part", "pre", "sub")
 
 
 def outline_text(outline: DataFrame, key: str = "page_id") -> DataFrame:
@@ -169,14 +176,22 @@ def _picked_value(item: str, url: str, kind: str) -> Column:
 
 def learn_selectors(picks: DataFrame, outline: DataFrame, items: DataFrame, key: str = "page_id") -> DataFrame:
     """``picks(key, field, type, n, page_order)`` to one selector per field: picks outside the outline or of the wrong
-    shape are dropped, the most common selector wins, the first seen on ties."""
-    chosen = (
-        picks.join(outline, [key, "n"])
-        .join(items.select(key, "url", "item").hint("merge"), key)
-        .withColumn("v", _picked_value("item", "url", "type"))
-        .where("v.fits")
-    )
-    return most_common(chosen, ["field"], "selector", "page_order")
+    shape are dropped, the most common selector wins, the first seen on ties.
+
+    ``items(key, url)`` has the pages as ``item`` (``with_items``) or as they are stored (``html, item_pattern``): then only
+    pages of which an element was picked are parsed. Metadata and facts bring their values, so no tree moves for them.
+    Every page may have picks, so none of the joins is broadcast for the size its tables seem to have."""
+    from pagemill.operators.recipes import with_items
+
+    chosen = picks.hint("merge").join(outline.hint("merge"), [key, "n"])
+    tree = items.select("item").schema["item"].dataType if "item" in items.columns else with_items(items).select("item").schema["item"].dataType
+    valued = chosen.where("node IS NULL").join(items.select(key, "url").hint("merge"), key).withColumn("item", F.lit(None).cast(tree))
+    marked = chosen.where("node IS NOT NULL")
+    if "item" not in items.columns:
+        items = with_items(items.join(marked.select(key).distinct().hint("merge"), key, "left_semi"))
+    marked = marked.join(items.select(key, "url", "item").hint("merge"), key)
+    fitting = [rows.withColumn("v", _picked_value("item", "url", "type")).where("v.fits").select("field", "selector", "page_order") for rows in (valued, marked)]
+    return most_common(fitting[0].unionByName(fitting[1]), ["field"], "selector", "page_order")
 
 
 def most_common(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
