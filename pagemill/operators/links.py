@@ -105,8 +105,8 @@ def is_item(link: Column) -> Column:
     return is_titled(link) & urls.looks_like_slug(link["url"])
 
 
-def page_struct(dom: Column, url: Column) -> Column:
-    """All link and page facts of one page as a struct (see the field names below)."""
+def page_struct(dom: Column, url: Column, only: tuple[str, ...] = ()) -> Column:
+    """All link and page facts of one page as a struct (see the field names below), or ``only`` some of them."""
     base = urls.normalise(url)
 
     def build(whole: Column, me: Column) -> Column:
@@ -156,27 +156,29 @@ def page_struct(dom: Column, url: Column) -> Column:
                     F.lit(False),
                 ),
             )
-            text = tr.stripped_text(tr.page_strings(content))
+            read = not only or {"dates", "text_len"} & set(only)
+            text = tr.stripped_text(tr.page_strings(content)) if read else F.lit("")
 
             def finish(found: Column, body: Column) -> Column:
                 def with_groups(titled: Column, listed: Column) -> Column:
-                    return F.struct(
-                        me.alias("norm_url"),
-                        urls.site(me).alias("site"),
-                        let(title, lambda t: F.substring(
-                            tx.clean(F.array_join(tr.strings_of(whole, t), "")), 1, 150)).alias("title"),
-                        let(heading, lambda h: F.substring(tr.text_of(content, h), 1, 150)).alias("h1"),
-                        heads.alias("heads"),
-                        found["links"].alias("links"),
-                        F.coalesce(titled["gpath"], F.lit("")).alias("gpath"),
-                        F.coalesce(titled["n"], F.lit(0)).alias("kids"),
-                        F.coalesce(listed["gpath"], F.lit("")).alias("item_gpath"),
-                        F.coalesce(listed["n"], F.lit(0)).alias("item_count"),
-                        found["pdfs"].alias("pdfs"),
-                        tx.date_mentions(body).alias("dates"),
-                        paged.alias("paged"),
-                        F.length(body).alias("text_len"),
-                    )
+                    facts = {
+                        "norm_url": me,
+                        "site": urls.site(me),
+                        "title": let(title, lambda t: F.substring(
+                            tx.clean(F.array_join(tr.strings_of(whole, t), "")), 1, 150)),
+                        "h1": let(heading, lambda h: F.substring(tr.text_of(content, h), 1, 150)),
+                        "heads": heads,
+                        "links": found["links"],
+                        "gpath": F.coalesce(titled["gpath"], F.lit("")),
+                        "kids": F.coalesce(titled["n"], F.lit(0)),
+                        "item_gpath": F.coalesce(listed["gpath"], F.lit("")),
+                        "item_count": F.coalesce(listed["n"], F.lit(0)),
+                        "pdfs": found["pdfs"],
+                        "dates": tx.date_mentions(body),
+                        "paged": paged,
+                        "text_len": F.length(body),
+                    }
+                    return F.struct(*[fact.alias(name) for name, fact in facts.items() if name in (only or facts)])
 
                 groups = F.struct(
                     biggest_group(found["links"], is_titled).alias("titled"), biggest_group(found["links"], is_item).alias("listed"))
@@ -196,8 +198,8 @@ def page_struct(dom: Column, url: Column) -> Column:
 
 
 @built_once
-def _page_column(dom: str, url: str) -> Column:
-    return page_struct(F.col(dom), F.col(url))
+def _page_column(dom: str, url: str, *only: str) -> Column:
+    return page_struct(F.col(dom), F.col(url), only)
 
 
 @built_once
@@ -205,11 +207,11 @@ def _anchor_column(dom: str, url: str) -> Column:
     return let(tr.readable(F.col(dom)), lambda t: anchors(t, F.col(url)))
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """``pages(page_id, url, html)`` to one row per page: statistics plus its links. Input for everything that works
-    on links; write it out once for a crawl over an archive, the markup is not needed again."""
+def parse_pages(pages: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
+    """``pages(page_id, url, html)`` to one row per page: statistics plus its links, or ``only`` some of these columns.
+    Input for everything that works on links; write it out once for a crawl over an archive, the markup is not needed again."""
     keep = [c for c in pages.columns if c not in ("html", "dom")]
-    parsed = with_dom(pages).withColumn("page", _page_column("dom", "url"))
+    parsed = with_dom(pages).withColumn("page", _page_column("dom", "url", *only))
     return opened(parsed, keep, "page")
 
 

@@ -31,7 +31,7 @@ def link_words(rows: DataFrame) -> DataFrame:
 
 def site_archive(spark, folder) -> tuple[DataFrame, DataFrame]:
     starts, pages = rd.site_graph(spark, folder)
-    return starts, lk.parse_pages(pages.withColumn("fetch_url", F.col("url")))
+    return starts, pages.withColumn("fetch_url", F.col("url"))
 
 
 def _crawl(spark, folder):
@@ -94,9 +94,11 @@ def guessed_listings(spark, folder):
 def pages_to_render(spark, folder):
     """On topic, pages known beneath it, yet fewer than three listed: to be stored again from a browser."""
     _, archive = site_archive(spark, folder)
-    archive = cut_lineage(archive)
+    # every page's links count as known, so all are parsed, but only for what is asked
+    archive = lk.parse_pages(archive, ("norm_url", "title", "links", "kids"))
+    archive = cut_lineage(archive.select("url", "norm_url", "title", "kids", F.transform("links", lambda k: k["url"]).alias("links")))
     judged = archive.where(F.col("title") == "All suppliers").withColumn("hub", F.lit(0.9))
-    known = archive.select(F.explode("links").alias("k")).select(F.col("k.url").alias("url")).distinct()
+    known = archive.select(F.explode("links").alias("url")).distinct()
     return cr.needs_rendering(judged, known).select("url")
 
 
@@ -105,7 +107,7 @@ def pages_to_render(spark, folder):
 
 def _labelled_items(spark, folder):
     pages = rd.part_pages(spark, folder).withColumnRenamed("p_partkey", "page_id")
-    return cut_lineage(rc.with_items(pages).select("page_id", "url", "item"))
+    return rc.with_items(pages).select("page_id", "url", "item")
 
 
 @query(
@@ -116,12 +118,12 @@ def _labelled_items(spark, folder):
 )
 def learned_selectors(spark, folder):
     """Learn from labelled values instead of a model's picks: the entry of each outline that equals the known brand."""
-    items = _labelled_items(spark, folder)
-    outline = cut_lineage(ol.outline_rows(items))
+    outline = cut_lineage(ol.outline_rows(_labelled_items(spark, folder)).drop("label", "line"))
     known = spark.read.parquet(f"{folder}/part.parquet").select(F.col("p_partkey").alias("page_id"), F.col("p_brand").alias("brand"))
-    picks = outline.where("kind = 'fact'").join(known, "page_id").where(F.get("values", F.lit(0)) == F.col("brand")).select(
+    # as many rows as there are pages: never broadcast
+    picks = outline.where("kind = 'fact'").join(known.hint("merge"), "page_id").where(F.get("values", F.lit(0)) == F.col("brand")).select(
         "page_id", F.lit("brand").alias("field"), F.lit("text").alias("type"), "n", F.col("page_id").alias("page_order"))
-    return ol.learn_selectors(picks, outline, items)
+    return ol.learn_selectors(picks, outline, rd.part_pages(spark, folder).withColumnRenamed("p_partkey", "page_id"))
 
 
 @query(
@@ -152,7 +154,7 @@ def overlap(rows: DataFrame) -> DataFrame:
 @query("guessed_values")
 def guessed_values(spark, folder):
     """Beam walk, finalists and exclusive assignment for fields nobody validated."""
-    items = _labelled_items(spark, folder)
+    items = cut_lineage(_labelled_items(spark, folder))
     fields = spark.createDataFrame(
         [("price", "money", "$900.10", r"\$\d"), ("size", "number", "14", None)], "field string, type string, example string, pattern string")
     jobs = items.select("page_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(t).alias("type")) for f, t in (("price", "money"), ("size", "number"))])).alias("j")).select("page_id", "j.*")

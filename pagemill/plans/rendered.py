@@ -174,15 +174,15 @@ def site_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     def list_page(rows: DataFrame, nation: str, key: str, name: str, section: str) -> DataFrame:
         entry = F.format_string('<li><a href="/%3$s/the-entry-%1$d/">Details about %2$s</a></li>', key, name, F.lit(section))
         # pages of a list are ranges of keys, about a thousand entries each: no ranking over a whole nation is needed
-        return rows.groupBy(F.col(nation).alias("n_nationkey"), F.floor(F.col(key) / LIST_RANGE).cast("int").alias("k")).agg(
-            F.array_sort(F.collect_list(F.struct(key, entry.alias("html")))).alias("entries")
-        ).select(
+        lists = rows.groupBy(F.col(nation).alias("n_nationkey"), F.floor(F.col(key) / LIST_RANGE).cast("int").alias("k")).agg(
+            F.array_sort(F.collect_list(F.struct(key, entry.alias("html")))).alias("entries"))
+        return dealt(lists).select(
             F.concat(site, F.lit(f"/{section}/"), F.when(F.col("k") > 0, F.concat(F.lit("page/"), (F.col("k") + 1).cast("string"), F.lit("/"))).otherwise(F.lit(""))).alias("url"),
             F.concat(F.lit(f"<title>All {section}</title>" + menu + f"<h1>{section}</h1><ul>"), F.array_join(F.transform("entries", lambda e: e["html"]), ""), F.lit("</ul>" + filler)).alias("html"),
         )
 
     def item_pages(rows: DataFrame, nation: str, key: str, name: str, section: str) -> DataFrame:
-        return rows.select(
+        return dealt(rows.select(nation, key, name)).select(
             F.format_string(f"https://www.nation%d.org/{section}/the-entry-%d/", nation, key).alias("url"),
             F.concat(F.lit("<title>"), name, F.lit("</title>" + menu + "<h1>"), name, F.lit("</h1>" + filler)).alias("html"))
 
