@@ -78,17 +78,23 @@ def _child_rows(item: str, pre: str) -> Column:
         n["pre"].alias("pre"), n.alias("node"), tr.text_of(tree, n).alias("text"))))
 
 
+def stored_items(items: DataFrame, key: str = "page_id") -> DataFrame:
+    """Pages hashed by key and stored, once for the walk and its last round: the only copy of the trees."""
+    return cut_lineage(items.repartition(key))
+
+
 def beam_walk(jobs: DataFrame, items: DataFrame, score: Callable[[DataFrame], DataFrame], key: str = "page_id") -> DataFrame:
     """``jobs(key, field, type)`` walk down their page trees together, one level per round: of all children of a job's
     open blocks the best two with a score of at least 0.2 stay (the best one always does). Returns the kept blocks
     ``(key, field, type, level, pre, text, p)``.
 
     ``score`` adds ``p`` to rows with ``field`` and ``state``. A level holds at most two blocks per job, so rounds stay
-    narrow; the number of levels is fixed."""
+    narrow; the number of levels is fixed. Every level reads ``items``: they should be stored, hashed by ``key``
+    (:func:`stored_items`)."""
     kept = None
     frontier = jobs.select(key, "field", "type", F.lit(-1).alias("pre"))
-    # trees are hashed by page once and never broadcast, so a level only moves its open blocks
-    trees = cut_lineage(items.select(key, "item").repartition(key)).hint("merge")
+    # trees are never broadcast or moved: a level only moves its open blocks
+    trees = items.select(key, "item").hint("merge")
     levels = []
     for level in range(LEVELS):
         rows = rows_of(frontier.join(trees, key), [key, "field", "type"], _child_rows("item", "pre"), "pre")
@@ -141,13 +147,15 @@ def finalists(
         F.concat("m.key", F.lit(": "), F.substring(F.array_join("m.values", "; "), 1, 300)).alias("text"),
         F.col("m.values").alias("values"), F.lit("meta").alias("meta"),
     )
-    rows = elements.unionByName(metas).join(fields, "field").join(items.select(key, "url", "item").hint("merge"), key)
+    rows = elements.unionByName(metas).join(fields, "field")
     # a plan's pattern is a Python regular expression over the candidate's own text
     subject = F.when(F.col("node").isNull(), F.array_join("values", "\n")).otherwise(F.col("text"))
     hit = search_patterns.asNondeterministic()(subject, F.array(F.coalesce("pattern", F.lit(""))))
     rows = rows.withColumn("hit", hit).withColumn(
         "pattern_hit", F.when(F.coalesce("pattern", F.lit("")) != "", F.get("hit", F.lit(0)) != "")
     )
+    # trees join behind the hop to Python, which would hold one per candidate
+    rows = rows.join(items.select(key, "url", "item").hint("merge"), key)
     rows = rows.withColumn("v", _finalist_values("item", "url", "type", "example", "pattern_hit")).drop("item")
     state = F.when(F.col("meta") == "meta", F.concat(F.lit("Page metadata: "), F.substring("text", 1, 400))).otherwise(
         F.concat(F.lit("Element: <"), F.col("node.tag"), F.lit(">\nText: "), F.substring("text", 1, 350))

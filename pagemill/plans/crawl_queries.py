@@ -154,7 +154,7 @@ def overlap(rows: DataFrame) -> DataFrame:
 @query("guessed_values")
 def guessed_values(spark, folder):
     """Beam walk, finalists and exclusive assignment for fields nobody validated."""
-    items = cut_lineage(_labelled_items(spark, folder))
+    items = sc.stored_items(_labelled_items(spark, folder))
     fields = spark.createDataFrame(
         [("price", "money", "$900.10", r"\$\d"), ("size", "number", "14", None)], "field string, type string, example string, pattern string")
     jobs = items.select("page_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(t).alias("type")) for f, t in (("price", "money"), ("size", "number"))])).alias("j")).select("page_id", "j.*")
