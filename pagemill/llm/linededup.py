@@ -10,7 +10,7 @@ id, or same document and smaller line number)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.shared import rank_of, saved, whole_row
@@ -18,7 +18,8 @@ from pagemill.llm.shared import rank_of, saved, whole_row
 THRESHOLD = 2
 NEAR_CHARS = 20  # lines under it are compared for equality only: two edits would make many short lines alike
 LETTERS = "abcdefghijklmnopqrstuvwxyz"  # counted to rule pairs out; right with any choice of up to 60
-BUCKETS = 1 << 20  # of line hashes; bound of the one table that is broadcast
+BUCKET_BITS = 20
+BUCKETS = 1 << BUCKET_BITS  # of line hashes, each with 64 classes in a word of bits; bound of the one table that is broadcast
 
 
 PIECE = 28  # bits for a place in a line, and for a length
@@ -161,23 +162,39 @@ def _marked_keys(lines: DataFrame, threshold: int, *keep: str) -> DataFrame:
     return cut.select(piece_key(F.col("line"), F.col("x.piece")).alias("key"), (h - h.bitwiseAND(1) + F.col("x.own")).alias("mark"), *keep)
 
 
+def _sharing(lines: DataFrame, threshold: int) -> DataFrame:
+    """(mark): 47 bits of the hash of each line that shares a key with a different line, one of the two with a segment of its
+    own. The rows of a key are met once, by a window: an aggregate joined back would shuffle them twice."""
+    short = F.col("mark").bitwiseAND((1 << 48) - 1)
+    dealt = _marked_keys(lines, threshold).select(F.col("key").bitwiseAND(-1 << 24).alias("key"), short.alias("mark"))
+    dealt = dealt.repartition("key")  # two numbers: what the window computes from them comes after the shuffle
+    of, same = F.shiftright("mark", 1), Window.partitionBy("key")
+    met = dealt.select(of.alias("mark"), F.min(of).over(same).alias("one"), F.max(of).over(same).alias("other"), F.max(F.col("mark").bitwiseAND(1)).over(same).alias("indexed"))
+    return met.where("indexed = 1 AND one <> other").select("mark")
+
+
+def _in_classes(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (h1: hash of the line) whose line is in a hash class of one of the ``marks``: a word of 64 classes per
+    bucket."""
+    bits = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright("mark", BUCKET_BITS).bitwiseAND(63).cast("int"))
+    words = marks.select(F.col("mark").bitwiseAND(BUCKETS - 1).alias("bucket"), bits.alias("bits")).groupBy("bucket").agg(F.bit_or("bits").alias("bits"))
+    mark = F.shiftright("h1", 1)
+    asked = texts.withColumn("bucket", mark.bitwiseAND(BUCKETS - 1)).withColumn("class", F.shiftright(mark, BUCKET_BITS).bitwiseAND(63).cast("int"))
+    return asked.join(F.broadcast(words), "bucket").where(F.getbit("bits", F.col("class")) == 1).drop("bucket", "class", "bits")
+
+
 def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
     """(h1, h2) of lines within the threshold of a line that starts earlier, from ``lines`` (rank, text_key, line_no,
     line).
 
     First, without texts and without pairs, the lines that share a key with another line: one shuffle of two numbers per
-    probe, read once to find the keys with two different lines of which one is there with a segment of its own, and once
-    for the lines that have such a key. Their texts are fetched (a filter on hash classes of bounded size keeps most others out of
-    the shuffle). A line goes for one earlier witness, so every line is first compared with the earliest line that has its
+    probe, whose rows are looked at key by key for two different lines of which one is there with a segment of its own. The
+    numbers are cut to 40 bits of the key (keys taken for one only make candidates) and 47 of the line. The texts of these
+    lines are fetched (a filter on hash classes of bounded size keeps most others out of the shuffle). A line goes for one earlier witness, so every line is first compared with the earliest line that has its
     key as a segment; only what that leaves is compared with all earlier lines of its keys. Lines whose odd letters
     differ in too many places never become a pair. So many variants of one line don't make all their pairs."""
-    dealt = _marked_keys(lines, threshold).repartition("key")
-    of = F.shiftright("mark", 1)
-    shared = dealt.groupBy("key").agg(F.min(of).alias("one"), F.max(of).alias("other"), F.max(F.col("mark").bitwiseAND(1)).alias("indexed"))
-    shared = shared.where("indexed = 1 AND one <> other").select("key")
-    # an inner join with keys that occur once: a semi join would be pushed below the shuffle, which then is not shared
-    wanted = dealt.join(shared, "key").select(F.pmod(of, F.lit(BUCKETS)).alias("bucket")).distinct()
-    texts = lines.select(*_ids("line"), "line", _place().alias("place")).withColumn("bucket", F.pmod(F.shiftright("h1", 1), F.lit(BUCKETS))).join(F.broadcast(wanted), "bucket", "left_semi")
+    texts = lines.select(*_ids("line"), "line", _place().alias("place"))
+    texts = _in_classes(texts, _sharing(lines, threshold))
     texts = saved(texts.groupBy("h1", "h2", "line").agg(F.min("place").alias("first")), "lines")
     lettered = with_odd_letters(texts.select("line", "h1", "h2", "first"), "h1", "h2", "first")
     members = saved(_marked_keys(lettered, threshold, "h1", "h2", "first", "letters").withColumn("own", F.col("mark").bitwiseAND(1) == 1).drop("mark"), "members")
