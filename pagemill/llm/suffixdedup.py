@@ -125,6 +125,31 @@ def classes(stretches: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray
     return which, order - starts[which], np.cumsum(new) - 1
 
 
+def shared_parts(texts: list[bytes], place: np.ndarray, anchors: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of stretches with their anchor at ``place``: first byte and end of the part that may hold a window of another stretch.
+
+    Equal windows have their anchor in equal places, so all bytes from it to either end of such a window agree with one other
+    stretch of the anchor. The longest such agreement of a stretch, on each side, is with a neighbour in sorted order."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    data = np.frombuffer(b"".join(texts) + b"\0", np.uint8)
+    centre = np.cumsum(sizes) - sizes + place
+
+    def agreement(step: np.ndarray, most: np.ndarray) -> np.ndarray:
+        inside = np.arange(len(step)) < most[:, None]
+        rows = np.where(inside, data[np.where(inside, centre[:, None] + step, 0)], 0).astype(np.uint8)
+        order = np.lexsort((rows.view(f"S{len(step)}")[:, 0], anchors))
+        rows = rows[order]
+        differ = np.ones((max(0, len(rows) - 1), len(step) + 1), bool)
+        differ[:, :-1] = rows[1:] != rows[:-1]
+        alike = np.where(anchors[order][1:] == anchors[order][:-1], differ.argmax(axis=1), 0)
+        out = np.empty(len(rows), np.int64)
+        out[order] = np.maximum(np.append(alike, 0), np.append(0, alike))
+        return np.minimum(out, most)
+
+    steps = np.arange(window)
+    return place - agreement(-1 - steps, place), place + agreement(steps, sizes - place)
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(rank, key, start, end), byte numbers, of :func:`keyed` rows: bytes covered by windows that start earlier too."""
     found = saved(find_repeats(docs, hash_bytes, Shape(window, anchor, within=True), SLICE), "repeats")
@@ -146,21 +171,29 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     many = entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD).select("anchor", F.lit(True).alias("many"))
     marked = entries.join(many, "anchor", "left")
     halves = saved(_halves(marked.where("many"), window, anchor), "halves")
-    least = halves.groupBy("anchor", "bytes").agg(F.min(F.struct("rank", "key", "at")).alias("least"))
-    same = halves.join(least, ["anchor", "bytes"]).where("struct(rank, key, at) > least").select("rank", "key", F.col("at").alias("start"), (F.col("at") + F.length("bytes")).alias("end"))
+    least = halves.groupBy("anchor", "bytes").agg(F.min(F.struct("rank", "key", "at", "place")).alias("least"))
+    same = halves.join(least, ["anchor", "bytes"]).where("struct(rank, key, at, place) > least").select("rank", "key", F.col("at").alias("start"), (F.col("at") + F.length("bytes")).alias("end"))
     ones = least.select("least.*", "anchor", "bytes")
     different = ones.join(ones.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchor")
     shards = parts_for(docs.sparkSession) * 4
-    columns = ["rank", "key", "at", "anchor", "bytes", "n"]
-    dealt = marked.where("many IS NULL").withColumn("n", F.lit(0).cast("bigint")).select(*columns).union(different.select(*columns)).select(
+    columns = ["rank", "key", "at", "place", "anchor", "bytes", "n"]
+    dealt = marked.where("many IS NULL").withColumn("place", F.col("pos") - F.col("at")).withColumn("n", F.lit(0).cast("bigint")).select(*columns).union(different.select(*columns)).select(
         "*", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), F.when(F.col("n") > SHARD, F.col("anchor")).alias("hot"),
         F.when(F.col("n") > SHARD, F.pmod(F.xxhash64("rank", "key", "at"), F.ceil(F.col("n") / SHARD))).alias("part"))
 
     def sort(group: pa.Table) -> pa.Table:
         """Spans of windows that are not first in their shard; of an anchor that its content leaves in several shards also the
         first windows, with a digest, to be compared across shards."""
+        hot = group.column("hot")[0].as_py() is not None
+        if not hot:  # all of an anchor are here
+            begin, end = shared_parts(group.column("bytes").to_pylist(), group.column("place").to_numpy(), group.column("anchor").to_numpy(), window)
+            keep = np.flatnonzero(end - begin >= window)
+            group, begin, end = group.take(keep), begin[keep], end[keep]
         rank, key, at, anchors = (group.column(c).to_numpy() for c in ("rank", "key", "at", "anchor"))
-        texts, hot = group.column("bytes").to_pylist(), group.column("hot")[0].as_py() is not None
+        texts = group.column("bytes").to_pylist()
+        if not hot:
+            at = at + begin
+            texts = [t[a:b] for t, a, b in zip(texts, begin.tolist(), end.tolist(), strict=True)]
         out: dict[str, list] = {c: [] for c in ("rank", "key", "start", "end", "h1", "h2")}
         by = np.argsort(anchors, kind="stable")
         for rows in _packs(anchors[by], by):
@@ -200,7 +233,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
 
 def _halves(stretches: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Each stretch as two (rank, key, at, anchor, bytes): the windows with half of their other bytes before the anchor, and
+    """Each stretch as two (rank, key, at, place, anchor, bytes): the windows with half of their other bytes before the anchor, and
     the rest. Equal windows hold their anchor in the same place, so those of the first kind agree in the bytes right before it
     and those of the second in the bytes right after it; ``anchor`` then stands for the anchor with these bytes. Equal
     windows so meet under one key, and a stretch on its own under its key has no equal."""
@@ -209,10 +242,10 @@ def _halves(stretches: DataFrame, window: int, anchor: int) -> DataFrame:
     split = place - half + 1  # the first window of the second kind
     after = F.greatest(split, F.lit(0))
     before = F.struct(
-        F.col("at"), F.xxhash64("anchor", F.lit(0), F.substring("bytes", split, F.lit(half))).alias("anchor"),
+        F.col("at"), place.alias("place"), F.xxhash64("anchor", F.lit(0), F.substring("bytes", split, F.lit(half))).alias("anchor"),
         F.substring("bytes", F.lit(1), split - 1 + window).alias("bytes"))
     behind = F.struct(
-        (F.col("at") + after).alias("at"),
+        (F.col("at") + after).alias("at"), (place - after).alias("place"),
         F.xxhash64("anchor", F.lit(1), F.substring("bytes", place + anchor + 1, F.lit(window - anchor - half + 1))).alias("anchor"),
         F.substring("bytes", after + 1, F.length("bytes")).alias("bytes"))
     parts = F.array(F.when(split >= 1, before), F.when(after + window <= F.length("bytes"), behind))
@@ -221,6 +254,8 @@ def _halves(stretches: DataFrame, window: int, anchor: int) -> DataFrame:
 
 def _packs(anchors: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
     """Rows, sorted by anchor, in packs of whole anchors of about SHARD rows."""
+    if not len(rows):
+        return
     begin = 0
     cuts = [*np.flatnonzero(anchors[1:] != anchors[:-1]) + 1, len(rows)]
     for before, cut in zip([0, *cuts[:-1]], cuts, strict=True):

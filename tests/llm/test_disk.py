@@ -1,8 +1,11 @@
 """What the operators put on disk: shuffles and filters of bounded share."""
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from pagemill.llm import linededup
+from pagemill.llm import linededup, suffixdedup
 
 
 def test_line_keys_are_shuffled_once(spark):
@@ -23,3 +26,29 @@ def test_line_classes_outgrow_the_buckets(spark, monkeypatch):
     assert got.columns == ["id", "h1"]
     assert got.where("id < 1000").count() == 1000
     assert got.count() < 1000 + 19_000 * 0.03
+
+
+def test_only_shared_parts_are_sorted():
+    """The parts hold every window that two stretches of an anchor share, and little else."""
+    dice = random.Random(3)
+    window, size = 20, 4
+    for _ in range(200):
+        texts, place, anchors = [], [], []
+        bases = [bytes(dice.choices(b"ab\0", k=40)) for _ in range(2)]
+        for _ in range(dice.randint(1, 12)):
+            which = dice.randrange(2)
+            text = bytearray(bases[which])
+            for _ in range(dice.randint(0, 3)):
+                at = dice.choice([*range(18), *range(22, 40)])
+                text[at] = dice.choice(b"xyz\0")
+            begin, end = dice.randint(2, 18), dice.randint(22, 38)
+            texts.append(bytes(text[begin:end])), place.append(18 - begin), anchors.append(which)
+        begin, end = (x.tolist() for x in suffixdedup.shared_parts(texts, np.array(place), np.array(anchors), window))
+        for i, text in enumerate(texts):
+            shared = [
+                a for a in range(len(text) - window + 1) if a <= place[i] and a + window >= place[i] + size
+                and any(j != i and anchors[j] == anchors[i] and 0 <= (b := place[j] - place[i] + a) and texts[j][b : b + window] == text[a : a + window] for j in range(len(texts)))]
+            assert all(begin[i] <= a and a + window <= end[i] for a in shared)
+            assert 0 <= begin[i] <= place[i] <= end[i] <= len(text)
+    alone = suffixdedup.shared_parts([b"l" * 60 + b"anchor" + b"r" * 60, b"m" * 60 + b"anchor" + b"s" * 60], np.array([60, 60]), np.array([7, 7]), 100)
+    assert (alone[1] - alone[0]).tolist() == [6, 6]
