@@ -2,7 +2,7 @@
 
 Counting starts at the top order alone: at every word there is one window of three lead columns, padded with nulls where
 its piece ends, and only these windows are counted: within each task first, then after one shuffle by the first two
-words. There the pairs are sums over windows that already lie together, and ROLLUP sums the shorter prefixes, words and
+words, where a row holds all third words that follow them equally often in the task. There the pairs are sums over windows that already lie together, and ROLLUP sums the shorter prefixes, words and
 languages, so no n-gram of another length is ever made from the texts. Whatever a phrase is divided by occurs at least
 as often as the phrase itself, so everything below the least count goes right after the counting and the joins that
 follow are small."""
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,19 +48,45 @@ class WindowCounts:
         self.tokens.setdefault("und" if lang is None else lang, []).append(np.append(own, 0))
         self.held += len(own)
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        names = pa.array([None, *list(self.words)[len(BREAKS) :]], pa.string()) if len(self.words) > len(BREAKS) else None
+    def _counted(self) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        """Language, numbers of windows in order, how often each occurs."""
         for lang, held in self.tokens.items():
             one = np.concatenate([*held, [0, 0]])
             two, three = one[1:-1], one[2:]
             one = one[:-2]
             key = one << 2 * BITS | two << BITS | np.where(two > 0, three, 0)
-            keys, counts = np.unique(key[one > 0], return_counts=True)
+            yield lang, *np.unique(key[one > 0], return_counts=True)
+        self.start()
+
+    def _names(self) -> pa.Array:
+        return pa.array([None, *list(self.words)[len(BREAKS) :]], pa.string())
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        names = self._names()
+        for lang, keys, counts in self._counted():
             for at in range(0, len(keys), 100_000):
                 part = keys[at : at + 100_000]
                 columns = [names.take(pa.array(self._place(part >> shift & (1 << BITS) - 1))) for shift in (2 * BITS, BITS, 0)]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), *columns, pa.array(counts[at : at + 100_000], pa.int64())], names=["lang", "w1", "w2", "w3", "c"])
-        self.start()
+
+    def flush_followers(self) -> Iterator[pa.RecordBatch]:
+        """(first, w2, followers, c): first word, blank and language; second word; with blanks between all third words of their
+        windows that occur ``c`` times, where one beyond the end of the piece is empty."""
+        names = self._names()
+        thirds = pc.fill_null(names, "")
+        for lang, keys, counts in self._counted():
+            pair = keys >> BITS
+            order = np.argsort(pair << BITS | np.minimum(counts, (1 << BITS) - 1), kind="stable")  # nearly sorted already
+            pair, last, counts = pair[order], self._place(keys[order] & (1 << BITS) - 1), counts[order]
+            new = np.ones(len(pair), bool)
+            new[1:] = (pair[1:] != pair[:-1]) | (counts[1:] != counts[:-1])
+            cuts = np.append(np.flatnonzero(new), len(pair))
+            for at in range(0, len(cuts) - 1, 50_000):
+                begins = cuts[at : at + 50_001]
+                head = pair[begins[:-1]]
+                first, second = (names.take(pa.array(self._place(x))) for x in (head >> BITS, head & (1 << BITS) - 1))
+                lists = pa.ListArray.from_arrays(pa.array(begins - begins[0], pa.int32()), thirds.take(pa.array(last[begins[0] : begins[-1]])))
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(first, lang, " "), second, pc.binary_join(lists, " "), pa.array(counts[begins[:-1]], pa.int64())], names=["first", "w2", "followers", "c"])
 
     @staticmethod
     def _place(numbers: np.ndarray) -> np.ndarray:
@@ -67,8 +94,8 @@ class WindowCounts:
 
 
 def windows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, w1, w2, w3, c): the windows at every word of every text, counted within each task; w2 and w3 are null
-    beyond the end of the word's piece."""
+    """(first, w2, followers, c): the windows at every word of every text, counted within each task; see
+    :meth:`WindowCounts.flush_followers`."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = WindowCounts()
@@ -76,28 +103,30 @@ def windows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 counts.add(lang, text)
             if counts.held >= HELD or len(counts.words) >= WORDS:
-                yield from counts.flush()
-        yield from counts.flush()
+                yield from counts.flush_followers()
+        yield from counts.flush_followers()
 
     own = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return own.mapInArrow(count, "lang string, w1 string, w2 string, w3 string, c bigint")
+    return own.mapInArrow(count, "first string, w2 string, followers string, c bigint")
 
 
 def gram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(lang, w1, w2, w3, f, last) of all phrases of one to three words that occur ``least`` times or more (``last``: at
-    windows that reach the end of their piece), and (lang, n)."""
-    dealt = windows(docs, text_col, lang_col).repartition("lang", "w1", "w2")
+    """(lang, w1, w2, w3, f) of all phrases of one to three words that occur ``least`` times or more, and (lang, n)."""
+    dealt = windows(docs, text_col, lang_col).repartition("first", "w2")
     none = F.lit(None).cast("string")
-    # ``last``, how often a phrase ends its piece, needs the columns that pad: so all three branches read one shuffle
-    last = F.sum(F.when(F.col("w2").isNull() | F.col("w3").isNull(), F.col("c")).otherwise(0)).alias("last")
-    counted = dealt.groupBy("lang", "w1", "w2", "w3").agg(F.sum("c").alias("f"), last)
-    # a condition on the count keeps the filter above the aggregate
-    longest = counted.where(F.when(F.col("w3").isNotNull(), F.col("f")) >= least).select("lang", "w1", "w2", "w3", "f", "last")
-    pairs = dealt.groupBy("lang", "w1", "w2").agg(F.sum("c").alias("f"), last)
-    enough = pairs.where(F.when(F.col("w2").isNotNull(), F.col("f")) >= least).select("lang", "w1", "w2", none.alias("w3"), "f", "last")
-    words = dealt.groupBy("lang", "w1").agg(F.sum("c").alias("f"), last)
-    shorter = words.rollup("lang", "w1").agg(F.sum("f").alias("f"), F.sum("last").alias("last"), F.grouping_id().alias("level"))
-    shorter = shorter.where(F.expr(f"level = 1 OR (level = 0 AND f >= {least})")).select("lang", "w1", none.alias("w2"), none.alias("w3"), "f", "last")
+    parts = F.split("first", " ", 2)  # a word, which holds no blank, and the language
+    named = [F.get(parts, F.lit(1)).alias("lang"), F.get(parts, F.lit(0)).alias("w1")]
+    # all three branches use every column, so they read one shuffle
+    each = dealt.select("first", "w2", "c", F.explode_outer(F.split("followers", " ")).alias("w3"))
+    counted = each.groupBy("first", "w2", "w3").agg(F.sum("c").alias("f"))
+    # a condition on the count keeps the filter above the aggregate, also where it asks for a word
+    longest = counted.where(F.when(F.col("w3") != "", F.col("f")) >= least).select(*named, "w2", "w3", "f")
+    many = F.octet_length("followers") - F.octet_length(F.replace(F.col("followers"), F.lit(" "), F.lit(""))) + 1
+    n = F.sum(F.col("c") * many).alias("f")
+    enough = dealt.groupBy("first", "w2").agg(n).where(F.when(F.col("w2").isNotNull(), F.col("f")) >= least).select(*named, "w2", none.alias("w3"), "f")
+    words = dealt.groupBy("first").agg(n).select(*named, "f")
+    shorter = words.rollup("lang", "w1").agg(F.sum("f").alias("f"), F.grouping_id().alias("level"))
+    shorter = shorter.where(F.expr(f"level = 1 OR (level = 0 AND f >= {least})")).select("lang", "w1", none.alias("w2"), none.alias("w3"), "f")
     kept = saved(longest.unionByName(enough).unionByName(shorter), "grams")
     return kept.where("w1 IS NOT NULL"), kept.where("w1 IS NULL").select("lang", F.col("f").alias("n"))
 

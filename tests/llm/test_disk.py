@@ -1,11 +1,12 @@
 """What the operators put on disk: shuffles and filters of bounded share."""
 
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from pagemill.llm import linededup, suffixdedup
+from pagemill.llm import collocations, linededup, suffixdedup
 
 
 def test_line_keys_are_shuffled_once(spark):
@@ -52,3 +53,25 @@ def test_only_shared_parts_are_sorted():
             assert 0 <= begin[i] <= place[i] <= end[i] <= len(text)
     alone = suffixdedup.shared_parts([b"l" * 60 + b"anchor" + b"r" * 60, b"m" * 60 + b"anchor" + b"s" * 60], np.array([60, 60]), np.array([7, 7]), 100)
     assert (alone[1] - alone[0]).tolist() == [6, 6]
+
+
+def test_followers_hold_all_windows_in_fewer_bytes():
+    dice = random.Random(9)
+    words = [f"word{n}" for n in range(12)] + ["\u00a0", "\u3000x", "\0"]
+    texts = [(dice.choice(["en", "a b", "", None]), " ".join(dice.choices([*words, "the", "the", "of", ",", "\n"], k=400))) for _ in range(30)]
+    plain, packed = collocations.WindowCounts(), collocations.WindowCounts()
+    for row in texts:
+        plain.add(*row), packed.add(*row)
+    want, got = Counter(), Counter()
+    batches = list(plain.flush()), list(packed.flush_followers())
+    for b in batches[0]:
+        for r in b.to_pylist():
+            want[r["lang"], r["w1"], r["w2"], r["w3"]] += r["c"]
+    for b in batches[1]:
+        for r in b.to_pylist():
+            w1, lang = r["first"].split(" ", 1)
+            for w3 in r["followers"].split(" "):
+                got[lang, w1, r["w2"], w3 or None] += r["c"]
+    assert got == want
+    assert sum(b.nbytes for b in batches[1]) < 0.6 * sum(b.nbytes for b in batches[0])
+    assert not packed.tokens and not list(packed.flush_followers())
