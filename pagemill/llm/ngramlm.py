@@ -8,25 +8,29 @@ next shorter context. Probabilities are interpolated, so a state's arcs and its
     p(c|b)    = (n(b c) + priors[0] * p(c)) / (n(b) + priors[0])
     p(c|a b)  = (n(a b c) + priors[1] * p(c|b)) / (n(a b) + priors[1])
 
-Texts are packed into shards of bounded size. A shard asks once for the count of each of its different n-grams, with its
-own share of it: they are dealt by their hash to groups of bounded size, in blocks of one shard and group each, where the
-shares are summed; the sums go back in the order in which they were asked for. An n-gram comes once per shard, so none is
-hot. Within its group it is known by 64 further bits of hashes; as groups do not grow, neither does the chance that two
-n-grams are taken for one (1e-13 for each of them). A shard then builds the part of the automaton its texts can reach and walks every text from left to right, carrying
-the state. What is counted grows with the input; only words with a share of at least ``word_share`` of the tokens (so at
-most 1 / share) are broadcast, as short numbers with their counts. Other words are known by 63 bits of their hash and
-counted like the longer n-grams."""
+Texts are packed as numbers of words into shards of bounded size. A shard asks once for the count of each of its different
+n-grams, with its own share of it: they are dealt by their first two words to groups of bounded size, in blocks of one shard
+and group each, where the shares are summed; the sums go back in the order in which they were asked for. A block names a pair
+of words once, for the pair and all that follows it in the shard; words with a share of the tokens are a short number, other
+ones 63 bits of their hash. Pairs of two frequent words are split by what follows them, into the more parts the more often
+both words occur in the texts, so that no group holds more than its share. In a group an n-gram is known by 64 bits
+of hashes; as groups do not grow, neither does the chance that two n-grams are taken for one (1e-13 for each of them). A shard
+then builds the part of the automaton its texts can reach and takes every text from left to right: the state before a word
+is known by which n-grams end there, so all words of a shard are walked together. What is counted grows with the input; only
+words with a share of at least ``word_share`` of the tokens (so at most 1 / share) are broadcast, as short numbers with their
+counts. Other words are counted like the longer n-grams."""
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +38,7 @@ from pagemill.llm.repeats import MULTIPLIER, mix
 from pagemill.llm.shared import received, saved, ship, slices
 
 END = b" "  # no word holds a blank
-FLUSH = 400_000  # distinct items a counting task holds before it hands them on
+FLUSH = 2_000_000  # words a counting task holds, different in each slice of its texts, before it hands them on
 ALONE = 1 << 62  # in place of the words that a shorter n-gram lacks
 
 
@@ -43,7 +47,7 @@ class Settings:
     word_share: float = 1e-6
     priors: tuple[float, float] = (100.0, 20.0)  # tokens that the next shorter context weighs against what followed a context
     shard_bytes: int = 4 << 20  # of text; a longer text is a shard of its own size
-    group_bytes: int = 2 << 20  # of all texts, per group of n-grams
+    group_bytes: int = 4 << 20  # of all texts, per group of n-grams
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -51,25 +55,41 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return [*text.lower().split(), END] if text else [END]
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of :func:`tokens_of` for all texts in a row, without the ends, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string(), safe=False), "")))
+    words = lists.flatten()
+    full = pc.greater(pc.binary_length(words), 0)  # white space at either end of a text leaves an empty one
+    own = pc.list_parent_indices(lists).to_numpy()[full.to_numpy(zero_copy_only=False)]
+    return words.filter(full).cast(pa.binary()), np.bincount(own, minlength=len(texts))
+
+
 def count_words(texts: DataFrame) -> DataFrame:
-    """(word, n) over a binary column ``text``; added up in each task before anything is shuffled."""
+    """(word, n, seen) over a binary column ``text``: how often each word occurs in the texts that are ``learnt``, and in all;
+    added up in each task before anything is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        held, size = [], 0
         for batch in slices(batches):
-            for text in batch.column("text").to_pylist():
-                total.update(tokens_of(text))
-            if len(total) > FLUSH:
-                yield _counts(total)
-                total = Counter()
-        if total:
-            yield _counts(total)
+            learnt = batch.column("learnt").to_numpy(zero_copy_only=False)
+            words, sizes = split(batch.column("text"))
+            held.append(pa.table({"word": pa.array([END], pa.binary()), "n": [int(learnt.sum())], "seen": [len(learnt)]}))
+            for of, name, other in ((words, "seen", "n"), (words.filter(pa.array(np.repeat(learnt, sizes))), "n", "seen")):
+                values, n = of.value_counts().flatten()
+                held.append(pa.table({"word": values, name: n, other: np.zeros(len(n), np.int64)}).select(["word", "n", "seen"]))
+                size += len(values)
+            if size > FLUSH:
+                yield from _counts(held)
+                held, size = [], 0
+        if held:
+            yield from _counts(held)
 
-    return texts.mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "word binary, n bigint, seen bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
-def _counts(total: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
+def _counts(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    total = pa.concat_tables(held).group_by("word").aggregate([("n", "sum"), ("seen", "sum")])
+    yield from total.rename_columns(["word", "n", "seen"]).to_batches(max_chunksize=50_000)
 
 
 class Shard:
@@ -78,16 +98,21 @@ class Shard:
     ``names``: its words' numbers, sorted; ``tokens``: places in ``names``, all texts in a row; ``pairs`` and ``grams``: its
     different bigrams and trigrams, each as place of the front times the number of words plus place of the last word."""
 
-    def __init__(self, texts: list[bytes | None], ranks: dict[bytes, int]):
-        words: list[bytes] = []
-        sizes = []
-        for text in texts:
-            own = tokens_of(text)
-            words += own
-            sizes.append(len(own))
-        number = {w: ranks[w] if w in ranks else -1 - (xxhash.xxh64_intdigest(w, 42) >> 1) for w in set(words)}
-        self.sizes = np.array(sizes, np.int64)
-        self.names, self.tokens = np.unique(np.fromiter(map(number.__getitem__, words), np.int64, len(words)), return_inverse=True)
+    def __init__(self, texts: list[bytes | None] | pa.Array, ranks: dict[bytes, int]):
+        words, sizes = split(pa.array(texts, pa.binary()) if isinstance(texts, list) else texts)
+        coded = words.dictionary_encode()
+        known = [*coded.dictionary.to_pylist(), END]
+        number = np.fromiter((ranks[w] if w in ranks else -1 - (xxhash.xxh64_intdigest(w, 42) >> 1) for w in known), np.int64, len(known))
+        self.names, place = np.unique(number, return_inverse=True)
+        ends = np.cumsum(sizes + 1) - 1
+        tokens = np.full(len(words) + len(sizes), place[-1])
+        inner = np.ones(len(tokens), bool)
+        inner[ends] = False
+        tokens[inner] = place[coded.indices.to_numpy()]
+        self._index(sizes + 1, tokens)
+
+    def _index(self, sizes: np.ndarray, tokens: np.ndarray) -> None:
+        self.sizes, self.tokens = sizes, tokens
         self.rare, width = np.flatnonzero(self.names < 0), len(self.names)
         left = np.repeat(np.cumsum(self.sizes), self.sizes) - np.arange(len(self.tokens))  # words from here to the end of the text
         self.pair_at = np.flatnonzero(left >= 2)
@@ -96,6 +121,18 @@ class Shard:
         self.gram_at = self.pair_at[more]
         self.grams, self.gram_of = np.unique(self.pair_of[more] * width + self.tokens[self.gram_at + 2], return_inverse=True)
 
+    def stored(self) -> bytes:
+        """The shard without what follows from its words and texts."""
+        return blocks(self.sizes, *named(self.names, True), np.where((own := self.tokens - len(self.rare)) < 0, -2 * own - 1, 2 * own))
+
+    @classmethod
+    def restored(cls, data: bytes) -> Shard:
+        self = cls.__new__(cls)
+        sizes, short, rare, own = unblocks(data)
+        self.names = names_of(short, rare, True)
+        self._index(sizes, np.where(own & 1, -(own >> 1) - 1, own >> 1) + len(rare))
+        return self
+
     def wanted(self) -> np.ndarray:
         """What is to be counted: words without a rank, then bigrams, then trigrams, as three rows of numbers of words."""
         first, second = np.divmod(self.pairs, len(self.names))
@@ -107,11 +144,34 @@ class Shard:
             np.concatenate([lone, self.names[last]]),
         ])
 
-    def blocks(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The group of n-grams, of ``parts``, and the key of each that is wanted, and their order by both."""
+    def dealt(self, parts: int, seen: np.ndarray, least: float) -> Dealt:
+        """What is asked of each of ``parts`` groups; ``seen``: how often the ranked words occur in all texts, ``least``: tokens
+        of a group. All that begins with a rare word goes to one group."""
+        width, lone = len(self.names), len(self.rare)
         keys = self.wanted()
-        part, key = (hashes(keys, 1) % np.uint64(parts)).astype(np.int64), hashes(keys, 2)
-        return part, key, np.lexsort((key, part))
+        pair, last = np.divmod(self.grams, width)
+        known = np.zeros(width)
+        known[lone:] = seen[self.names[lone:]]
+        first, second = np.divmod(self.pairs, width)
+        into = 1 + (np.minimum(known[first], known[second]) // least).astype(np.int64)  # parts of a pair
+        by = keys[:2, : lone + len(self.pairs)].copy()
+        by[1, by[0] < 0] = ALONE
+        part = (hashes(by, 1) % np.uint64(parts)).astype(np.int64)  # of rare words and pairs
+        gram_part = part[lone + pair]
+        apart = np.flatnonzero(into[pair] > 1)
+        where = pair[apart]
+        salt = hashes(self.names[None, last[apart]], 3) % into[where].astype(np.uint64)
+        salted = hashes(np.stack([self.names[first[where]], self.names[second[where]], salt.view(np.int64)]), 1) % np.uint64(parts)
+        gram_part[apart] = np.where(salt > 0, salted.astype(np.int64), gram_part[apart])
+        # pairs whose grams are partly elsewhere are named there once more
+        moved = np.flatnonzero(gram_part != part[lone + pair])
+        again = np.unique(gram_part[moved] * len(self.pairs) + pair[moved]) if len(moved) else moved
+        again_part, again_pair = np.divmod(again, max(1, len(self.pairs)))
+        heads = np.concatenate([np.arange(lone + len(self.pairs)), lone + again_pair])
+        head_part = np.concatenate([part, again_part])
+        kind = np.min_scalar_type(parts)  # short numbers are sorted fast
+        order = np.lexsort((heads, head_part)) if len(again) else np.argsort(head_part.astype(kind), kind="stable")
+        return Dealt(keys, lone, heads[order], head_part[order], order < len(part), order_g := np.argsort(gram_part.astype(kind), kind="stable"), gram_part[order_g], lone + pair[order_g])
 
     def shares(self, learnt: np.ndarray) -> np.ndarray:
         """How often each of what is wanted occurs in the texts that are ``learnt``."""
@@ -129,14 +189,94 @@ def hashes(keys: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
+@dataclass
+class Dealt:
+    """What a shard asks for, in order of the groups.
+
+    ``heads``: places in ``wanted`` of rare words and pairs, of which only those marked ``own`` are asked for, the others
+    being there for the grams behind them; ``grams``: places among the grams; ``behind``: the head of each."""
+
+    wanted: np.ndarray
+    lone: int
+    heads: np.ndarray
+    head_part: np.ndarray
+    own: np.ndarray
+    grams: np.ndarray
+    gram_part: np.ndarray
+    behind: np.ndarray
+
+    def asked(self, n: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """A group and a block for it; ``n`` is the shard's own share of all that is wanted."""
+        parts, begins = np.unique(self.head_part, return_index=True)
+        ends = np.append(begins[1:], len(self.heads))
+        cuts = np.searchsorted(self.gram_part, np.append(parts, self.gram_part[-1] + 1 if len(self.gram_part) else 0))
+        first = len(self.wanted[0]) - len(self.grams)  # place of the first gram
+        for part, i, j, g, h in zip(parts.tolist(), begins.tolist(), ends.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            heads, grams = self.heads[i:j], self.grams[g:h] + first
+            rare, pairs = np.split(heads, [np.searchsorted(heads, self.lone)])
+            rare, front = self.wanted[0][rare], self.wanted[0][pairs]
+            front = np.where(front < 0, np.searchsorted(rare, front), len(rare) + front)
+            width = np.diff(np.searchsorted(self.behind[g:h], np.append(pairs, self.lone + first)))
+            share = np.where(self.own[i:j], n[heads], 0)
+            yield part, blocks(np.diff(rare, prepend=0), np.diff(front, prepend=0), *named(self.wanted[1][pairs]), width, *named(self.wanted[2][grams]), share, n[grams])
+
+    def found(self, answers: list[np.ndarray]) -> np.ndarray:
+        """The counts of all that is wanted, from what the groups answered, in their order: heads and grams of each."""
+        out = np.zeros(len(self.wanted[0]))
+        if answers:
+            heads, grams = np.concatenate(answers[::2]), np.concatenate(answers[1::2])
+            out[self.heads[self.own]] = heads[self.own]
+            out[len(out) - len(self.grams) + self.grams] = grams
+        return out
+
+
+def named(names: np.ndarray, ordered: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Names of words as short numbers, with zero for rare words, and the rare ones; as steps if they are nearly ``ordered``."""
+    short, rare = np.maximum(names + 1, 0), names[names < 0]
+    return (np.diff(short, prepend=0), np.diff(rare, prepend=0)) if ordered else (short, rare)
+
+
+def names_of(short: np.ndarray, rare: np.ndarray, ordered: bool = False) -> np.ndarray:
+    if ordered:
+        short, rare = np.cumsum(short), np.cumsum(rare)
+    out = short - 1
+    out[short == 0] = rare
+    return out
+
+
 def block(numbers: np.ndarray) -> bytes:
-    """64-bit numbers, compressed: all first bytes, then all second bytes and so on."""
-    return pa.compress(np.ascontiguousarray(np.ascontiguousarray(numbers, np.int64).reshape(-1, 1).view(np.uint8).T).tobytes(), codec="zstd", asbytes=True)
+    """64-bit numbers, cut into all first bytes, all second bytes and so on, each compressed apart as far as any is set."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(numbers, np.int64).reshape(-1, 1).view(np.uint8).T)
+    packed = []
+    for plane in planes[: planes.any(axis=1).nonzero()[0].max(initial=-1) + 1]:
+        data = pa.compress(plane, codec="zstd", asbytes=True)
+        packed.append(data if len(data) < len(plane) else plane.tobytes())
+    return b"".join([np.array([len(packed), *map(len, packed)], "<u4").tobytes(), *packed])
 
 
 def unblock(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd"), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).reshape(n)
+    used = int.from_bytes(data[:4], "little")
+    planes, at = np.zeros((n, 8), np.uint8), 4 + 4 * used
+    for i, size in enumerate(np.frombuffer(data, "<u4", used, 4).tolist()):
+        plane = data[at : at + size]
+        planes[:, i] = np.frombuffer(plane if size == n else pa.decompress(plane, decompressed_size=n, codec="zstd"), np.uint8)
+        at += size
+    return planes.view(np.int64).reshape(n)
+
+
+def blocks(*columns: np.ndarray) -> bytes:
+    """Columns of any length, one after the other."""
+    packed = [block(column) for column in columns]
+    return b"".join(x for column, data in zip(columns, packed, strict=True) for x in (np.array([len(column), len(data)], "<u4").tobytes(), data))
+
+
+def unblocks(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        n, size = np.frombuffer(data, "<u4", 2, at).tolist()
+        out.append(unblock(data[at + 8 : at + 8 + size], n))
+        at += 8 + size
+    return out
 
 
 def summed(key: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -153,7 +293,8 @@ class Automaton:
     """The part of the automaton that the texts of a shard can reach, from the counts of its words, bigrams and trigrams.
 
     A state is how many of the last words count as context (none, one, two); which words these are is known by the place
-    in the text, as are the arcs that may leave it: its word, bigram and trigram, numbered as in the shard."""
+    in the text, as are the arcs that may leave it: its word, bigram and trigram, numbered as in the shard. An arc is there if
+    its n-gram was counted."""
 
     def __init__(self, shard: Shard, n_word: np.ndarray, n_pair: np.ndarray, n_gram: np.ndarray, floor: float, priors: tuple[float, float]):
         words = len(shard.names)
@@ -164,81 +305,91 @@ class Automaton:
         likely = (n_pair + priors[0] * single[second]) / (n_word[first] + priors[0])
         back = likely[np.searchsorted(shard.pairs, second[pair] * words + last)]  # of the last two words
         chance = (n_gram + priors[1] * back) / (n_pair[pair] + priors[1])
-        self.known = (n_word > 0).tolist()
-        self.gain = (self.base.tolist(), self._arcs(likely, n_pair), self._arcs(chance, n_gram))
-        self.weight = tuple(np.log10(prior / (n + prior)).tolist() for prior, n in zip(priors, (n_word, n_pair), strict=True))
-
-    @staticmethod
-    def _arcs(chance: np.ndarray, n: np.ndarray) -> list[float | None]:
-        """Log probabilities; None where nothing was counted, so that there is no arc."""
-        gains = np.log10(chance).tolist()
-        for i in np.flatnonzero(n == 0).tolist():
-            gains[i] = None
-        return gains
+        self.front, self.arcs = pair, (n_pair > 0, n_gram > 0)
+        self.gain = (self.base, np.log10(likely), np.log10(chance))
+        self.weight = tuple(np.log10(prior / (n + prior)) for prior, n in zip(priors, (n_word, n_pair), strict=True))
+
+    def walk(self, tokens: np.ndarray, pair_at: np.ndarray, pairs: np.ndarray, gram_at: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """Three numbers per word, whose sum is its log probability: the weights of the failure arcs taken from the state of two
+        and of one word, and that of the arc. ``pairs`` and ``grams`` begin at the words ``pair_at`` and ``gram_at``.
+
+        Before a word the state is two words if their bigram was counted, else one if that word is known, else none; a
+        failure arc from a context that was not counted weighs nothing. So what is counted tells every arc."""
+        (one, two, three), (after_word, after_pair), (counted, longer) = self.gain, self.weight, self.arcs
+        steps = np.zeros((len(tokens), 3))
+        steps[:, 2] = one[tokens]
+        there = counted[pairs]
+        steps[pair_at + 1, 1] = np.where(there, 0, after_word[tokens[pair_at]])
+        steps[pair_at[there] + 1, 2] = two[pairs[there]]
+        there = longer[grams]
+        steps[gram_at + 2, 0] = np.where(there, 0, after_pair[self.front[grams]])
+        steps[gram_at[there] + 2, 1] = 0
+        steps[gram_at[there] + 2, 2] = three[grams[there]]
+        return steps
 
     def score(self, tokens: list[int], pairs: list[int], grams: list[int]) -> float:
-        """Log probability of a text, its words taken from left to right; ``pairs`` and ``grams`` begin at each word that has
-        one and two words after it."""
-        known, (one, two, three), (after_word, after_pair) = self.known, self.gain, self.weight
-        state, total = 0, 0.0
-        for i, w in enumerate(tokens):
-            if state == 2:
-                gain = three[grams[i - 2]]
-                if gain is not None:
-                    total += gain
-                    continue
-                total += after_pair[pairs[i - 2]]  # the failure arc
-                state = 1
-            if state == 1:
-                gain = two[pairs[i - 1]]
-                if gain is not None:
-                    total += gain
-                    state = 2
-                    continue
-                total += after_word[tokens[i - 1]]
-            total += one[w]
-            state = 1 if known[w] else 0
-        return total
-
-
-ASKED = "part bigint, shard bigint, many bigint, key binary, n binary"
+        """Log probability of a text; ``pairs`` and ``grams`` begin at each word that has one and two words after it."""
+        n = len(tokens)
+        pair_at, gram_at = np.arange(max(0, n - 1)), np.arange(max(0, n - 2))
+        return added(self.walk(np.array(tokens, int), pair_at, np.array(pairs, int)[: len(pair_at)], gram_at, np.array(grams, int)[: len(gram_at)]))
+
+
+def added(steps: np.ndarray) -> float:
+    """The sum, from the first number to the last."""
+    return float(np.cumsum(steps.ravel())[-1]) if len(steps) else 0.0
+
+
+ASKED = "part bigint, shard bigint, asked binary"
+ANSWERED = "part bigint, shard bigint, n binary"
 SCORED = "doc_id bigint, learnt boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def pack(texts: DataFrame, most: int) -> DataFrame:
-    """(shard, packed): the rows of ``texts`` in compressed Arrow streams of about ``most`` bytes of text, one row at least."""
+def pack(texts: DataFrame, most: int, ranking: Broadcast) -> DataFrame:
+    """(shard, packed, words): the rows of ``texts`` without their text in a compressed Arrow stream, and the words of about
+    ``most`` bytes of text, one row at least; dealt by shard."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        ranks, kept, size = received(ranking), [], 0
         for batch in slices(batches, most=max(1, most // 4)):
-            if held and size + batch.nbytes > most:
-                yield _packed(held)
-                held, size = [], 0
-            held.append(batch)
+            if kept and size + batch.nbytes > most:
+                yield _packed(kept, ranks)
+                kept, size = [], 0
+            kept.append(batch)
             size += batch.nbytes
-        if held:
-            yield _packed(held)
+        if kept:
+            yield _packed(kept, ranks)
 
-    return saved(texts.mapInArrow(work, "packed binary").withColumn("shard", F.monotonically_increasing_id()), "shards")
+    return texts.mapInArrow(work, "packed binary, words binary").withColumn("shard", F.monotonically_increasing_id()).repartition("shard")
 
 
-def _packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+def _packed(batches: list[pa.RecordBatch], ranks: dict[bytes, int]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches)
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        for batch in batches:
-            out.write_batch(batch)
-    return pa.RecordBatch.from_pydict({"packed": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+    rows = table.drop_columns("text")
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    words = Shard(table.column("text").combine_chunks(), ranks).stored()
+    return pa.RecordBatch.from_pydict({"packed": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "words": pa.array([words], pa.binary())})
 
 
 def count_asked(table: pa.Table) -> pa.Table:
     """The blocks of one group of n-grams, answered: the sums over all of them, in the order of each block."""
-    many = table.column("many").to_pylist()
-    steps, n = (np.concatenate([unblock(d, m) for d, m in zip(table.column(c).to_pylist(), many, strict=True)]) for c in ("key", "n"))
-    begins = np.cumsum([0, *many[:-1]])
-    key = np.cumsum(steps)  # steps from key to key, within each block; sums wrap around
-    key -= np.repeat(key[begins] - steps[begins], many)
-    total = np.split(summed(key, n), begins[1:])
-    return pa.table({"part": table.column("part"), "shard": table.column("shard"), "many": table.column("many"), "n": pa.array([block(t) for t in total], pa.binary())})
+    heads, grams = [], []
+    for data in table.column("asked").to_pylist():
+        rare, front, second, rare_second, width, third, rare_third, share, n = unblocks(data)
+        rare, front, lone = np.cumsum(rare), np.cumsum(front), len(rare)
+        inside = front < lone
+        front[inside] = rare[front[inside]]
+        front[~inside] -= lone
+        first, second = np.append(rare, front), np.append(np.full(lone, ALONE), names_of(second, rare_second))
+        third = names_of(third, rare_third)
+        behind = np.repeat(np.arange(lone, len(first)), width)
+        heads.append((hashes(np.stack([first, second, np.full(len(first), ALONE)]), 2), share))
+        grams.append((hashes(np.stack([first[behind], second[behind], third]), 2), n))
+    key, n = (np.concatenate(x) for x in zip(*heads, *grams, strict=True))
+    total = np.split(summed(key, n), np.cumsum([len(x) for x, _ in heads + grams])[:-1])
+    answers = [blocks(*x) for x in zip(total[: len(heads)], total[len(heads) :], strict=True)]
+    return pa.table({"part": table.column("part"), "shard": table.column("shard"), "n": pa.array(answers, pa.binary())})
 
 
 def score_texts(docs: DataFrame, learn_from: str, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,39 +403,30 @@ def score_texts(docs: DataFrame, learn_from: str, settings: Settings = Settings(
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.coalesce(F.expr(learn_from), F.lit(False)).alias("learnt"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     parts = 1 + size // settings.group_bytes
-    counts = saved(count_words(own.where("learnt").select("text")), "words")
-    tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    counts = saved(count_words(own.select("text", "learnt")), "words")
+    tokens, kinds, total = counts.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("n"), (F.col("n") > 0).cast("bigint"), F.col("seen")))).first()
     floor = float(tokens + 0.5 * (kinds + 1))
-    rows = counts.where(F.col("n") >= max(1.0, settings.word_share * tokens)).orderBy(F.desc("n"), "word").toArrow()
-    held = ship(docs.sparkSession, ({w: i for i, w in enumerate(rows.column("word").to_pylist())}, rows.column("n").to_numpy().astype(np.float64)))
-    shards = pack(own, settings.shard_bytes)
+    rows = counts.where(F.col("seen") >= max(1.0, settings.word_share * total)).orderBy(F.desc("seen"), "word").toArrow()
+    ranking = ship(docs.sparkSession, {w: i for i, w in enumerate(rows.column("word").to_pylist())})
+    held = ship(docs.sparkSession, tuple(rows.column(c).to_numpy().astype(np.float64) for c in ("n", "seen")))
+    shards = pack(own, settings.shard_bytes, ranking)
+    least = max(1.0, total / parts)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = received(held)[0]
+        seen = received(held)[1]
         for batch in batches:
-            for number, packed in zip(batch.column("shard").to_pylist(), batch.column("packed"), strict=True):
-                texts = pa.ipc.open_stream(packed.as_buffer()).read_all()
-                shard = Shard(texts.column("text").to_pylist(), ranks)
-                part, key, order = shard.blocks(parts)
-                n = shard.shares(texts.column("learnt").to_numpy().astype(bool))[order]
-                which, begins = np.unique(part[order], return_index=True)
-                steps = np.diff(key[order].view(np.int64), prepend=0)
-                steps[begins] = key[order][begins].view(np.int64)  # a block begins with its first key
-                out = {"part": which, "shard": np.full(len(which), number), "many": np.diff(np.append(begins, len(order)))}
-                for c, values in (("key", steps), ("n", n)):
-                    out[c] = pa.array([block(v) for v in np.split(values, begins[1:])] if len(which) else [], pa.binary())
-                yield pa.RecordBatch.from_pydict(out)
+            for number, packed, words in zip(batch.column("shard").to_pylist(), batch.column("packed"), batch.column("words"), strict=True):
+                shard = Shard.restored(words.as_py())
+                learnt = pa.ipc.open_stream(packed.as_buffer()).read_all().column("learnt").to_numpy().astype(bool)
+                rows = [{"part": part, "shard": number, "asked": data} for part, data in shard.dealt(parts, seen, least).asked(shard.shares(learnt))]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("asked", pa.binary())]))
 
     def walk(packed: pa.Table, answers: pa.Table) -> pa.Table:
-        ranks, often = received(held)
+        often, seen = received(held)
         texts = pa.ipc.open_stream(packed.column("packed")[0].as_buffer()).read_all()
-        shard = Shard(texts.column("text").to_pylist(), ranks)
-        order = shard.blocks(parts)[2]
-        found = np.zeros(len(order))
-        if len(order):
-            answers = answers.sort_by("part")
-            found[order] = np.concatenate([unblock(d, n) for d, n in zip(answers.column("n").to_pylist(), answers.column("many").to_pylist(), strict=True)])
-        n_rare, n_pair, n_gram = np.split(found, np.cumsum([len(shard.rare), len(shard.pairs)]))
+        shard = Shard.restored(packed.column("words")[0].as_py())
+        answered = [n for data in answers.sort_by("part").column("n").to_pylist() for n in unblocks(data)]
+        n_rare, n_pair, n_gram = np.split(shard.dealt(parts, seen, least).found(answered), np.cumsum([len(shard.rare), len(shard.pairs)]))
         n_word = np.zeros(len(shard.names))
         n_word[shard.rare] = n_rare
         ranked = shard.names >= 0
@@ -292,15 +434,13 @@ def score_texts(docs: DataFrame, learn_from: str, settings: Settings = Settings(
         automaton = Automaton(shard, n_word, n_pair, n_gram, floor, settings.priors)
         ends = np.cumsum(shard.sizes)
         begins = ends - shard.sizes
-        known, base = (n_word > 0).astype(np.int64)[shard.tokens], automaton.base[shard.tokens]
-        begins, ends = begins.tolist(), ends.tolist()
-        pair_at, gram_at = np.searchsorted(shard.pair_at, begins).tolist(), np.searchsorted(shard.gram_at, begins).tolist()
-        all_tokens, pairs, grams = shard.tokens.tolist(), shard.pair_of.tolist(), shard.gram_of.tolist()
-        scores = [automaton.score(all_tokens[i:j], pairs[p : p + j - i], grams[g : g + j - i]) for i, j, p, g in zip(begins, ends, pair_at, gram_at, strict=True)]
+        known, base = (n_word > 0).astype(np.int64)[shard.tokens], automaton.base[shard.tokens].tolist()
+        steps = automaton.walk(shard.tokens, shard.pair_at, shard.pair_of, shard.gram_at, shard.gram_of)
+        each = list(zip(begins.tolist(), ends.tolist(), strict=True))
         return pa.table({
             "doc_id": texts.column("doc_id"), "learnt": texts.column("learnt"), "n_tokens": shard.sizes, "n_known": np.add.reduceat(known, begins),
-            "base_score": [math.fsum(base[i:j]) for i, j in zip(begins, ends, strict=True)], "score": scores})
+            "base_score": [math.fsum(base[i:j]) for i, j in each], "score": [added(steps[i:j]) for i, j in each]})
 
-    answers = shards.mapInArrow(ask, ASKED).groupBy("part").applyInArrow(count_asked, "part bigint, shard bigint, many bigint, n binary")
+    answers = shards.mapInArrow(ask, ASKED).groupBy("part").applyInArrow(count_asked, ANSWERED)
     scored = shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(walk, SCORED)
     return scored.select("doc_id", "learnt", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

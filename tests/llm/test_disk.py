@@ -4,9 +4,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pagemill.llm import collocations, linededup, suffixdedup
+from pagemill.llm import collocations, linededup, ngramlm, suffixdedup
 
 
 def test_line_keys_are_shuffled_once(spark):
@@ -75,3 +76,55 @@ def test_followers_hold_all_windows_in_fewer_bytes():
     assert got == want
     assert sum(b.nbytes for b in batches[1]) < 0.6 * sum(b.nbytes for b in batches[0])
     assert not packed.tokens and not list(packed.flush_followers())
+
+
+def _asked(shards, parts, seen, least):
+    """What every shard finds after all groups have answered, and the bytes of each block."""
+    dealt = [s.dealt(parts, seen, least) for s in shards]
+    rows = [{"part": part, "shard": i, "asked": data} for i, (s, d) in enumerate(zip(shards, dealt, strict=True)) for part, data in d.asked(s.shares(np.ones(len(s.sizes), bool)))]
+    answers = {}
+    for part in {r["part"] for r in rows}:
+        for r in ngramlm.count_asked(pa.Table.from_pylist([r for r in rows if r["part"] == part])).to_pylist():
+            answers[r["shard"], r["part"]] = ngramlm.unblocks(r["n"])
+    return [d.found([n for key in sorted(answers) if key[0] == i for n in answers[key]]) for i, d in enumerate(dealt)], rows
+
+
+def test_grams_of_a_frequent_pair_are_dealt_apart_and_counted_together():
+    dice = random.Random(4)
+    words = ["of", "the", *(f"w{n}" for n in range(60))]
+    texts = [[(" ".join(f"of the {dice.choice(words)}" if dice.random() < 0.5 else dice.choice(words) for _ in range(150))).encode() for _ in range(4)] + [None, b"", b"of", b" \t"] for _ in range(3)]
+    n = Counter(tuple(t[i : i + k]) for text in sum(texts, []) for t in [ngramlm.tokens_of(text)] for k in (1, 2, 3) for i in range(len(t) - k + 1))
+    ranked = [b"of", b"the", b"w1", b"w2", b"w3", ngramlm.END]
+    ranks, seen = {w: i for i, w in enumerate(ranked)}, np.array([float(n[w,]) for w in ranked])
+    shards = [ngramlm.Shard.restored(ngramlm.Shard(t, ranks).stored()) for t in texts]
+    name = {-1 - (ngramlm.xxhash.xxh64_intdigest(w.encode(), 42) >> 1): w.encode() for w in words} | dict(enumerate(ranked))
+    for parts, least in [(1, 1e9), (50, 1e9), (50, 20.0), (300, 3.0)]:
+        found, _ = _asked(shards, parts, seen, least)
+        for s, counts in zip(shards, found, strict=True):
+            assert counts.tolist() == [n[tuple(name[i] for i in key if i != ngramlm.ALONE)] for key in s.wanted().T.tolist()]
+    groups = {g for s in shards for d in [s.dealt(50, seen, 20.0)] for g, b in zip(d.gram_part.tolist(), d.behind.tolist(), strict=True) if d.wanted[:2, b].tolist() == [0, 1]}
+    assert len(groups) > 5
+
+
+def test_asking_takes_few_bytes():
+    """Less than two thirds of what the 64-bit hashes of all n-grams took, which do not compress."""
+    dice = random.Random(8)
+    ranks = {f"v{n}".encode(): n for n in range(20_000)} | {ngramlm.END: 20_000}
+    texts = [" ".join(f"v{int(20_000 ** dice.random())}" if dice.random() < 0.85 else f"rare{dice.random()}" for _ in range(500)).encode() for _ in range(200)]
+    shard = ngramlm.Shard(texts, ranks)
+    _, rows = _asked([shard], 8, np.full(20_001, 1.0), 1e9)
+    assert sum(len(r["asked"]) for r in rows) < 5 * shard.wanted().shape[1]
+
+
+def test_words_are_split_as_in_one_text():
+    texts = [None, b"", b"  A\tb\x0bC ", "\u00c4\u00a0x\u2003Y \x1c \x85".encode(), b"\xff\xfe B\n\r\f", b"z" * 1000]
+    words, sizes = ngramlm.split(pa.array(texts, pa.binary()))
+    assert [w for t in texts for w in ngramlm.tokens_of(t)[:-1]] == words.to_pylist()
+    assert sizes.tolist() == [len(ngramlm.tokens_of(t)) - 1 for t in texts]
+
+
+def test_texts_are_packed_and_shuffled_once(spark, tables):
+    scored = ngramlm.score_texts(spark.read.parquet(f"{tables}/documents.parquet"), "doc_id % 3 = 0")
+    scored.collect()
+    final = scored._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("ReusedExchange") == 1 and final.count("Scan parquet") == 1
