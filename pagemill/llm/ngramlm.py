@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.repeats import MULTIPLIER, mix
-from pagemill.llm.shared import received, saved, ship, slices
+from pagemill.llm.shared import received, saved, ship, slices, small_batches
 
 END = b" "  # no word holds a blank
-FLUSH = 2_000_000  # words a counting task holds, different in each slice of its texts, before it hands them on
+FLUSH = 1_000_000  # words a counting task holds, different in each slice of its texts, before it hands them on
 ALONE = 1 << 62  # in place of the words that a shorter n-gram lacks
 
 
@@ -400,6 +400,7 @@ def score_texts(docs: DataFrame, learn_from: str, settings: Settings = Settings(
     smoothed word frequencies alone. A null text is an empty one: its end is its only token. Rows are scored each, also
     repeated ones; other columns are not looked at. Without any row to learn from every token is unknown. An empty table
     gives an empty one."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.coalesce(F.expr(learn_from), F.lit(False)).alias("learnt"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     parts = 1 + size // settings.group_bytes
