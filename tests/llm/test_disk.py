@@ -128,3 +128,19 @@ def test_texts_are_packed_and_shuffled_once(spark, tables):
     scored.collect()
     final = scored._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert final.count("ReusedExchange") == 1 and final.count("Scan parquet") == 1
+
+
+def test_rare_words_stay_out_of_the_windows(spark):
+    """Windows hold no word below the least count of its language, but all words are counted."""
+    rows = [("en", f"new york r{n} new york. the rare{n} city") for n in range(12)] + [("de", "york r1 the"), (None, "new York\tnew, york"), ("de", None)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    held = collocations.windows(docs).collect()
+    assert {w for r in held for w in (r["first"].split(" ", 1)[0], r["w2"], *r["followers"].split(" ")) if w} == {"new", "york", "the", "city"}
+    assert not any(r["w2"] for r in held if not r["first"].endswith(" en"))
+    total = Counter()
+    for r in held:
+        total[r["first"].split(" ", 1)[1]] += r["c"] * len(r["followers"].split(" "))
+    assert total == {"en": 96, "de": 3, "und": 4}
+    grams, totals = collocations.gram_counts(docs)
+    assert {tuple(r) for r in totals.collect()} == {("en", 96), ("de", 3), ("und", 4)}
+    assert {(r.w1, r.w2, r.f) for r in grams.collect()} == {("new", None, 24), ("york", None, 24), ("the", None, 12), ("city", None, 12), ("new", "york", 24)}
