@@ -245,12 +245,14 @@ def names_of(short: np.ndarray, rare: np.ndarray, ordered: bool = False) -> np.n
 
 
 def block(numbers: np.ndarray) -> bytes:
-    """64-bit numbers, cut into all first bytes, all second bytes and so on, each compressed apart as far as any is set."""
+    """64-bit numbers, cut into all first bytes, all second bytes and so on, each compressed apart as far as any is set. Below
+    bytes that are like random ones all others are taken for such, too."""
     planes = np.ascontiguousarray(np.ascontiguousarray(numbers, np.int64).reshape(-1, 1).view(np.uint8).T)
-    packed = []
-    for plane in planes[: planes.any(axis=1).nonzero()[0].max(initial=-1) + 1]:
-        data = pa.compress(plane, codec="zstd", asbytes=True)
-        packed.append(data if len(data) < len(plane) else plane.tobytes())
+    packed, shrinks = [], True
+    for plane in planes[: planes.any(axis=1).nonzero()[0].max(initial=-1) + 1][::-1]:
+        data = pa.compress(plane, codec="zstd", asbytes=True) if shrinks else b""
+        shrinks = shrinks and len(data) < len(plane)
+        packed.insert(0, data if shrinks else plane.tobytes())
     return b"".join([np.array([len(packed), *map(len, packed)], "<u4").tobytes(), *packed])
 
 
@@ -281,7 +283,7 @@ def unblocks(data: bytes) -> list[np.ndarray]:
 
 def summed(key: np.ndarray, n: np.ndarray) -> np.ndarray:
     """For every key the sum of ``n`` over all that are equal to it."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.ones(len(order), bool)
     new[1:] = key[order[1:]] != key[order[:-1]]
     out = np.empty(len(n), np.int64)
@@ -301,10 +303,11 @@ class Automaton:
         single = (n_word + 0.5) / floor
         self.base = np.log10(single)
         first, second = np.divmod(shard.pairs, words)
-        pair, last = np.divmod(shard.grams, words)
+        at = np.searchsorted(shard.pair_at, shard.gram_at)
+        pair, rest = np.zeros((2, len(shard.grams)), np.int64)  # of the first and of the last two words
+        pair[shard.gram_of], rest[shard.gram_of] = shard.pair_of[at], shard.pair_of[at + 1]
         likely = (n_pair + priors[0] * single[second]) / (n_word[first] + priors[0])
-        back = likely[np.searchsorted(shard.pairs, second[pair] * words + last)]  # of the last two words
-        chance = (n_gram + priors[1] * back) / (n_pair[pair] + priors[1])
+        chance = (n_gram + priors[1] * likely[rest]) / (n_pair[pair] + priors[1])
         self.front, self.arcs = pair, (n_pair > 0, n_gram > 0)
         self.gain = (self.base, np.log10(likely), np.log10(chance))
         self.weight = tuple(np.log10(prior / (n + prior)) for prior, n in zip(priors, (n_word, n_pair), strict=True))
