@@ -140,8 +140,9 @@ def finalists(
     children = rows_of(opened.join(items.select(key, "item").hint("merge"), key), [key, "field"], _child_rows("item", "pre"), "pre")
     elements = blocks.unionByName(children).dropDuplicates([key, "field", "pre"]).select(
         key, "field", "pre", "node", "text", F.lit(None).cast("array<string>").alias("values"), F.lit("").alias("meta"))
+    # as many rows as pages have metadata: an estimate may call them few, but they must not be broadcast
     metas = kept.select(key, "field").distinct().join(
-        items.select(key, F.posexplode_outer("item.metas").alias("at", "m")).where("m is not null"), key
+        items.select(key, F.posexplode_outer("item.metas").alias("at", "m")).where("m is not null").hint("merge"), key
     ).select(
         key, "field", (F.lit(-2) - F.col("at")).alias("pre"), F.lit(None).cast(tr.NODE).alias("node"),
         F.concat("m.key", F.lit(": "), F.substring(F.array_join("m.values", "; "), 1, 300)).alias("text"),
